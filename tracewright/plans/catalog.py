@@ -75,3 +75,6 @@ def scan_findings(spark, sf_dir):
 
     found = findings(build_index(derived_app.derived_sources(spark, sf_dir)))
     return found.select(*FINDING, c("severity.score").alias("score"), "id", band("severity.score").alias("band"))
+
+
+from . import table_queries  # noqa: E402,F401  (registers its queries)

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import framework as fw
 from ..functions.text import (
-    first_identifier, identifiers, is_non_runtime_path, is_report_path, is_workflow_path,
+    identifiers, is_non_runtime_path, is_report_path, is_workflow_path,
     last_segment, mentions_name, path_order, stable_hash, symbol_function,
 )
 from ..operators.facts import Facts, null_safe_in
+from ..operators.mentions import candidate_mentions
 from ..sources.hooks import collisions
 
 c = F.col
@@ -132,15 +133,12 @@ def _calls(ix: Index) -> DataFrame:
 def _tables(ix: Index) -> DataFrame:
     """SQL texts with every document type whose table they may mention.
 
-    A table name starts with a whole identifier of the query, so the join is on
-    that identifier; the exact test is left to each detector.
+    The exact test is left to each detector.
     """
     queries = ix.facts.rows.where(c("is_sql") & c("sql_query").isNotNull()).select(
         "repo", "path", "line_start", "func", "hash", "ord", "symbol_id", c("sql_query").alias("query")
     )
     queries = _with_symbols(queries, ix, "reachable")
-    words = F.array_distinct(F.transform(identifiers("query"), F.lower))
-    mentions = queries.withColumn("word", F.explode(F.filter(words, lambda w: w.startswith("tab"))))
     hooked = ix.permission_hooks.groupBy("repo", c("doctype").alias("name")).agg(
         F.max(c("section") == "permission_query_conditions").alias("query_hook"),
         F.max(c("section") == "has_permission").alias("permission_hook"),
@@ -148,9 +146,8 @@ def _tables(ix: Index) -> DataFrame:
     types = (
         ix.doctypes.select("repo", "name", "table_name", "is_submittable")
         .join(hooked, ["repo", "name"], "left").na.fill(False, ["query_hook", "permission_hook"])
-        .withColumn("word", F.lower(first_identifier("table_name")))
     )
-    joined = mentions.join(types, ["repo", "word"])
+    joined = candidate_mentions(queries, types, "query", "table_name", on=["repo"], prefix="tab")
     return _located(
         joined, "query", c("name").alias("doctype"), "table_name", "is_submittable", "query_hook",
         "permission_hook", "reachable",
