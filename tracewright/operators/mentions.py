@@ -24,11 +24,25 @@ def candidate_mentions(texts: DataFrame, names: DataFrame, text: str, name: str,
     return texts.withColumn("_word", F.explode(words)).join(keyed, [*on, "_word"]).drop("_word")
 
 
-def mentions(texts: DataFrame, names: DataFrame, text: str, name: str, on: list[str]) -> DataFrame:
-    """Pairs where the text mentions the name: case ignored, word boundaries, backticks allowed."""
-    return candidate_mentions(texts, names, text, name, on).where(mentions_name(text, name))
+def mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str]) -> DataFrame:
+    """(key, on, name) where the text mentions the name: case ignored, word boundaries,
+    backticks allowed.  ``key`` identifies a text.
 
-
-def exact_mentions(texts: DataFrame, names: DataFrame, text: str, name: str, on: list[str]) -> DataFrame:
-    """Pairs where the name is one whole identifier of the text, same case."""
-    return texts.withColumn(name, F.explode(identifiers(text))).join(names, [*on, name])
+    Words travel without their text, so a long text does not multiply itself.  A name of
+    one identifier is decided by the join alone; only names of several words fetch the
+    text again for the pattern.
+    """
+    words = texts.select(*key, *on, F.explode(F.array_distinct(F.transform(identifiers(text), F.lower))).alias("_word"))
+    first = first_identifier(name)
+    keyed = names.select(*on, name, F.lower(first).alias("_word"), (c(name) == first).alias("_single"))
+    pairs = words.join(keyed, [*on, "_word"]).select(*key, *on, name, "_single")
+    sure = pairs.where("_single").drop("_single")
+    open_pairs = pairs.where("NOT _single").drop("_single")
+    tested = open_pairs.join(texts.select(*key, *on, text), [*key, *on]).where(mentions_name(text, name))
+    return sure.unionByName(tested.drop(text))
+
+
+def exact_mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str]) -> DataFrame:
+    """(key, on, name) where the name is one whole identifier of the text, same case."""
+    words = texts.select(*key, *on, F.explode(identifiers(text)).alias(name))
+    return words.join(names.select(*on, name), [*on, name], "left_semi")

@@ -77,4 +77,4 @@ def scan_findings(spark, sf_dir):
     return found.select(*FINDING, c("severity.score").alias("score"), "id", band("severity.score").alias("band"))
 
 
-from . import table_queries  # noqa: E402,F401  (registers its queries)
+from . import fact_queries, table_queries  # noqa: E402,F401  (both register their queries)

@@ -80,7 +80,7 @@ def _located(df: DataFrame, *extra, file="path", line="line_start", function="fu
     return df.select(
         "repo", c(file).alias("file"), c(line).alias("line"), c(function).alias("function"),
         c("hash").alias("code_location_hash"), F.struct(path_order("path").alias("file"), c("ord").alias("ord")).alias("at"),
-        *extra,
+        (~is_non_runtime_path("path")).alias("runtime"), *extra,
     )
 
 
@@ -219,7 +219,7 @@ def _fields(ix: Index) -> DataFrame:
 
 # ---- detectors ---------------------------------------------------------------------------
 def _runtime():
-    return ~is_non_runtime_path("file")
+    return c("runtime")
 
 
 def say(*parts) -> Callable[[], Column]:

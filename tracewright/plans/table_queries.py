@@ -148,10 +148,14 @@ def hook_collisions(spark, sf):
 
 # ---- text and path predicates --------------------------------------------------------------------
 def _words(spark, sf):
-    return _t(spark, sf, "benchmark").select(text.first_identifier("text").alias("word")).where("word <> ''").distinct()
+    """Names to look for: the first word and the first two words of every item."""
+    items = _t(spark, sf, "benchmark")
+    pick = lambda pattern: items.select(F.regexp_extract("text", pattern, 1).alias("word"))
+    return pick("([A-Za-z0-9_]+)").union(pick("^([A-Za-z0-9_]+ [A-Za-z0-9_]+)")).where("word <> ''").distinct()
 
 
-_WORDS = "w AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z0-9_]+)', 1) AS word FROM benchmark WHERE regexp_extract(text, '([A-Za-z0-9_]+)', 1) <> '')"
+_WORDS = """w AS (SELECT DISTINCT word FROM (SELECT regexp_extract(text, '([A-Za-z0-9_]+)', 1) AS word FROM benchmark
+  UNION ALL SELECT regexp_extract(text, '^([A-Za-z0-9_]+ [A-Za-z0-9_]+)', 1) FROM benchmark) WHERE word <> '')"""
 
 
 @query("regex_table_mention", f"""
@@ -159,7 +163,7 @@ WITH {_WORDS} SELECT doc_id, word FROM documents, w
 WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '([^A-Za-z0-9_]|$)', 'i')""")
 def regex_table_mention(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    return mn.mentions(docs, _words(spark, sf), "text", "word", on=[]).select("doc_id", "word")
+    return mn.mentions(docs, _words(spark, sf), ["doc_id"], "text", "word", on=[]).select("doc_id", "word")
 
 
 @query("token_table_mention", f"""
@@ -167,7 +171,7 @@ WITH {_WORDS}, d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text
 SELECT doc_id, word FROM d JOIN w USING (word)""")
 def token_table_mention(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    return mn.exact_mentions(docs, _words(spark, sf), "text", "word", on=[]).select("doc_id", "word")
+    return mn.exact_mentions(docs, _words(spark, sf), ["doc_id"], "text", "word", on=[]).select("doc_id", "word")
 
 
 @query("path_predicates", f"""

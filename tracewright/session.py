@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # parsing is CPU bound: smaller read splits give more tasks
     "spark.sql.files.maxPartitionBytes": "32m",
+    # no Python stack capture for every column built (detectors build thousands)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
