@@ -37,7 +37,8 @@ def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def _keep(df, key, order, pick):
     rest = [name for name in df.columns if name not in key]
-    kept = df.groupBy(*key).agg(pick(F.struct(*rest), order).alias("_row"))
+    # a struct is never NULL, so rows with a NULL order take part
+    kept = df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(order)).alias("_row"))
     return kept.select(*key, "_row.*").select(*df.columns)
 
 
