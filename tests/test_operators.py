@@ -225,7 +225,7 @@ def test_reports(spark):
     assert rates == {"FR-PERM-001": (5, 0.4, False), "FR-INJ-001": (5, 1.0, True)}
     assert [r.n for r in rp.status_counts(book).orderBy("position").collect()] == [2, 1, 1, 0, 7, 1]
     assert {r.family: r.n for r in rp.family_coverage(book).collect() if r.n} == {"FR-PERM": 6, "FR-INJ": 6}
-    report = rp.track_record(book)
+    report = "\n".join(r.line for r in rp.in_order(rp.track_record(book)).collect())
     assert "| FR-PERM-001 v1 | 3 | 2 | 60% |" in report and "| FR-INJX-001 v1 | 0 | 0 | N/A |" in report
     assert "| a | 1 | 1 | 1 | 2 |" in report and "| rce | 12 |" in report and "- No merged upstream records." in report
 
@@ -253,6 +253,8 @@ def test_pages_clamp(spark):
     ids = lambda n: [r.id for r in vw.page(df, [F.col("id")], n).collect()]
     assert ids(1) == list(range(25)) and ids(3) == ids(99) == list(range(50, 60)) and ids(0) == ids(1)
     assert vw.page(df.limit(0), [F.col("id")], 2).collect() == []
+    deep = spark.range(30000)
+    assert [r.id for r in vw.page(deep, [F.col("id")], 1100).collect()] == list(range(27475, 27500))
 
 
 def test_selection_is_unique(spark):

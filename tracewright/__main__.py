@@ -76,10 +76,13 @@ def _scan(spark, args) -> int:
 
 
 def _report(spark, args) -> int:
-    from .operators.reports import track_record
+    from .operators.reports import in_order, track_record
+    from .session import materialise
     from .sinks import read_ledger_folder
 
-    print(track_record(read_ledger_folder(spark, args.ledger)))
+    ledger = materialise(read_ledger_folder(spark, args.ledger), "ledger")
+    for row in in_order(track_record(ledger)).toLocalIterator():
+        print(row.line)
     return 0
 
 

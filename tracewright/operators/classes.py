@@ -28,15 +28,11 @@ def document_classes(rows: DataFrame) -> DataFrame:
         "repo", "path", "cls", "name", "pos", c("b.name").alias("base"), c("b.qualified").alias("qualified")
     )
     first_seen = classes.groupBy("repo", c("name").alias("base")).agg(F.min("pos").alias("first_pos"))
-    plain = (
-        bases.where(~c("qualified"))
-        .join(first_seen, ["repo", "base"], "left")
-        .where(c("base").endswith("Document") | (c("first_pos") < c("pos")))
-    )
     key = ["repo", "path", "cls", "name", "pos"]
-    direct = plain.select(*key).unionByName(
-        bases.where(c("qualified") & c("base").endswith("Document")).select(*key)
-    )
+    # the usual base is decided by its name alone and stays out of the join
+    named = c("base").endswith("Document")
+    seen = bases.where(~c("qualified") & ~named).join(first_seen, ["repo", "base"]).where(c("first_pos") < c("pos"))
+    direct = bases.where(named).select(*key).unionByName(seen.select(*key))
     found = direct.distinct()
     open_bases = bases.where(c("qualified") & ~c("base").endswith("Document"))
     if not open_bases.isEmpty():

@@ -57,21 +57,21 @@ def fact_columns() -> dict[str, Column]:
     allow_guest = F.coalesce(F.get(_guest_flags, F.lit(0)), F.lit(False))
 
     # ---- calls -------------------------------------------------------------------------
-    is_call = kind("call")
-    is_bare_call = is_call & (c("shape") == "Name")
-    is_sql = is_call & (c("name") == fw.SQL_CALL)
+    _call = kind("call")
+    is_bare_call = _call & (c("shape") == "Name")
+    is_sql = _call & (c("name") == fw.SQL_CALL)
     sql_query = c("value0.text")
     sql_parameterised = (c("n_args") > 1) | F.array_contains(c("keywords"), "values")
-    is_set_value = is_call & (c("name") == fw.SET_VALUE_CALL)
+    is_set_value = _call & (c("name") == fw.SET_VALUE_CALL)
     set_value_doctype = F.when(c("n_args") > 0, F.get(c("arg_texts"), F.lit(0))).otherwise(_keyword_text("doctype"))
     set_value_field = F.when(c("n_args") >= 3, F.get(c("arg_texts"), F.lit(2))).otherwise(
         _keyword_text("fieldname", "field")
     )
-    is_commit = is_call & (c("name") == fw.COMMIT_CALL)
-    is_enqueue = is_call & (c("name") == fw.ENQUEUE_CALL)
+    is_commit = _call & (c("name") == fw.COMMIT_CALL)
+    is_enqueue = _call & (c("name") == fw.ENQUEUE_CALL)
     has_dedupe_key = any_in(c("keywords"), fw.DEDUPE_KEYWORDS)
-    is_eval = is_call & c("name").isin(*fw.EVAL_CALLS)
-    is_builder = is_call & c("name").isin(*fw.BUILDER_CALLS)
+    is_eval = _call & c("name").isin(*fw.EVAL_CALLS)
+    is_builder = _call & c("name").isin(*fw.BUILDER_CALLS)
 
     _names_table = null_safe_in(c("value0.callee"), fw.BUILDER_TABLE_CALLS) | F.coalesce(
         c("value0.callee").endswith(".DocType"), F.lit(False)
@@ -89,19 +89,19 @@ def fact_columns() -> dict[str, Column]:
         .otherwise(from_request("value0.origins"))
     )
 
-    is_get_doc = is_call & (c("name") == fw.GET_DOC_CALL)
+    is_get_doc = _call & (c("name") == fw.GET_DOC_CALL)
     _spreads_keywords = F.coalesce(F.exists(c("keywords"), lambda k: k.isNull()), F.lit(False))
     get_doc_is_controlled = _spreads_keywords | (
         (c("n_args") == 1) & null_safe_in(c("arg0.node"), ("Name", "Call")) & from_request("arg0.origins")
     )
     _is_file_method = null_safe_in(c("attr"), fw.FILE_METHODS) & ~null_safe_in(c("name"), fw.FILE_CALLS)
-    is_file_access = is_call & (
+    is_file_access = _call & (
         (null_safe_in(c("name"), fw.FILE_CALLS) & from_request("arg0.origins"))
         | (_is_file_method & from_request("receiver_origins"))
     )
     file_call_name = F.when(c("name") == "", c("attr")).otherwise(c("name"))
 
-    is_message = is_call & c("name").isin(*fw.MESSAGE_CALLS)
+    is_message = _call & c("name").isin(*fw.MESSAGE_CALLS)
     is_hardcoded_message = is_message & (c("arg0.node") == "Constant") & c("arg0.text").isNotNull()
     _arg_is_call = c("arg0.node") == "Call"
     _translated = null_safe_in(c("arg0.callee"), ("_", "frappe._")) | F.coalesce(
@@ -112,7 +112,7 @@ def fact_columns() -> dict[str, Column]:
     _neutral = _arg_is_call & F.when(_is_format, F.coalesce(_plain_template, F.lit(False))).otherwise(_translated)
     is_unescaped_message = is_message & c("arg0").isNotNull() & from_request("arg0.origins") & ~_neutral
 
-    is_outbound = is_call & c("name").isin(*fw.OUTBOUND_CALLS)
+    is_outbound = _call & c("name").isin(*fw.OUTBOUND_CALLS)
     _fixed_host = F.coalesce(
         ((c("arg0.node") == "JoinedStr") | (_arg_is_call & _is_format) | ((c("arg0.node") == "BinOp") & (c("arg0.method") == "%")))
         & c("arg0.template").rlike("(?s)^https?://.*?/"),
@@ -121,11 +121,11 @@ def fact_columns() -> dict[str, Column]:
     outbound_is_dynamic = c("arg0").isNotNull() & (c("arg0.node") != "Constant") & ~_fixed_host
 
     is_string_dispatch = (
-        is_call & c("name").isin(*fw.DISPATCH_CALLS) & (c("arg0.node") == "Constant") & c("arg0.text").isNotNull()
+        _call & c("name").isin(*fw.DISPATCH_CALLS) & (c("arg0.node") == "Constant") & c("arg0.text").isNotNull()
     )
     dispatch_target = F.when(is_string_dispatch, c("arg0.text"))
-    is_dynamic_method = is_call & (c("receiver") == "Call")
-    is_unresolved = is_call & (c("shape") != "Name") & (c("name") == "")
+    is_dynamic_method = _call & (c("receiver") == "Call")
+    is_unresolved = _call & (c("shape") != "Name") & (c("name") == "")
 
     value_from_request = from_request("value0.origins")
     argument_from_request = from_request("arg0.origins")
@@ -152,14 +152,14 @@ def fact_columns() -> dict[str, Column]:
         | (kind("attr") & (c("shape") == "watched") & (c("name") == fw.SESSION_USER))
         | (kind("if") & F.coalesce((_developer_only | _caller_compared) & _denies, F.lit(False)))
         | (kind("raise") & c("name").contains("PermissionError"))
-        | (is_call & (_permission_call | _throws_denial))
+        | (_call & (_permission_call | _throws_denial))
     )
     is_path_guard = kind("if") & (
         any_in(c("methods"), fw.PATH_GUARD_METHODS) | any_in(c("calls"), fw.PATH_GUARD_CALLS)
     )
 
     # ---- mutations ---------------------------------------------------------------------
-    is_mutation = is_call & (
+    is_mutation = _call & (
         null_safe_in(c("attr"), fw.WRITE_METHODS)
         | null_safe_in(c("name"), fw.WRITE_CALLS)
         | F.coalesce((c("name") == fw.SQL_CALL) & sql_query.rlike(fw.WRITE_SQL_PATTERN), F.lit(False))
@@ -207,21 +207,25 @@ class Facts:
     def _where(self, condition: Column, **columns: Column) -> DataFrame:
         return self.rows.where(condition).select(*_LOCATION, *[v.alias(k) for k, v in columns.items()])
 
+    def _calls(self, condition: Column, **columns: Column) -> DataFrame:
+        """Call facts: the kind prunes to the part of each file that holds calls."""
+        return self._where(kind("call") & condition, **columns)
+
     @property
     def functions(self):
         return self._where(kind("def"), name=c("name"))
 
     @property
     def endpoints(self):
-        return self._where(c("is_endpoint"), name=c("name"), allow_guest=c("allow_guest"))
+        return self._where(kind("def") & c("is_endpoint"), name=c("name"), allow_guest=c("allow_guest"))
 
     @property
     def report_entry_points(self):
-        return self._where(c("is_report_entry"), name=c("name"))
+        return self._where(kind("def") & c("is_report_entry"), name=c("name"))
 
     @property
     def calls(self):
-        return self._where(c("is_bare_call"), callee_name=c("raw"))
+        return self._calls(c("is_bare_call"), callee_name=c("raw"))
 
     @property
     def imports(self):
@@ -239,19 +243,19 @@ class Facts:
 
     @property
     def string_dispatch_calls(self):
-        return self._where(c("is_string_dispatch"), target=c("dispatch_target"))
+        return self._calls(c("is_string_dispatch"), target=c("dispatch_target"))
 
     @property
     def dynamic_method_calls(self):
-        return self._where(c("is_dynamic_method"), method_name=c("attr"))
+        return self._calls(c("is_dynamic_method"), method_name=c("attr"))
 
     @property
     def unresolved_calls(self):
-        return self._where(c("is_unresolved"))
+        return self._calls(c("is_unresolved"))
 
     @property
     def sql_calls(self):
-        return self._where(
+        return self._calls(
             c("is_sql"), parameterized=c("sql_parameterised"), dynamic=c("sql_query").isNull(),
             request_controlled=c("value_from_request"), query=c("sql_query"),
         )
@@ -262,43 +266,43 @@ class Facts:
 
     @property
     def commit_calls(self):
-        return self._where(c("is_commit"))
+        return self._calls(c("is_commit"))
 
     @property
     def set_value_calls(self):
-        return self._where(c("is_set_value"), doctype_arg=c("set_value_doctype"), field_name=c("set_value_field"))
+        return self._calls(c("is_set_value"), doctype_arg=c("set_value_doctype"), field_name=c("set_value_field"))
 
     @property
     def direct_writes(self):
-        return self._where(c("is_set_value"), field_name=c("set_value_field"))
+        return self._calls(c("is_set_value"), field_name=c("set_value_field"))
 
     @property
     def mutations(self):
-        return self._where(c("is_mutation"), call_name=c("name"))
+        return self._calls(c("is_mutation"), call_name=c("name"))
 
     @property
     def path_accesses(self):
-        guards = self.rows.where(c("is_path_guard")).select("repo", "path", "fn").distinct().withColumn("g", F.lit(True))
-        found = self._where(c("is_file_access"), call_name=c("file_call_name"))
+        guards = self.rows.where(kind("if") & c("is_path_guard")).select("repo", "path", "fn").distinct().withColumn("g", F.lit(True))
+        found = self._calls(c("is_file_access"), call_name=c("file_call_name"))
         return found.join(guards, ["repo", "path", "fn"], "left").withColumn(
             "has_guard", F.coalesce("g", F.lit(False))
         ).drop("g")
 
     @property
     def enqueue_calls(self):
-        return self._where(c("is_enqueue"), has_dedupe_key=c("has_dedupe_key"))
+        return self._calls(c("is_enqueue"), has_dedupe_key=c("has_dedupe_key"))
 
     @property
     def eval_exec_calls(self):
-        return self._where(c("is_eval"), call_type=c("name"), request_controlled=c("argument_from_request"))
+        return self._calls(c("is_eval"), call_type=c("name"), request_controlled=c("argument_from_request"))
 
     @property
     def query_builder_calls(self):
-        return self._where(c("is_builder"), dynamic_table=c("builder_is_dynamic"))
+        return self._calls(c("is_builder"), dynamic_table=c("builder_is_dynamic"))
 
     @property
     def get_doc_kwargs(self):
-        return self._where(c("is_get_doc") & c("get_doc_is_controlled"), request_controlled=F.lit(True))
+        return self._calls(c("is_get_doc") & c("get_doc_is_controlled"), request_controlled=F.lit(True))
 
     @property
     def ignore_permissions(self):
@@ -306,19 +310,19 @@ class Facts:
 
     @property
     def hardcoded_user_strings(self):
-        return self._where(c("is_hardcoded_message"), call_kind=c("name"))
+        return self._calls(c("is_hardcoded_message"), call_kind=c("name"))
 
     @property
     def msgprint_calls(self):
-        return self._where(c("is_unescaped_message"), uses_unescaped_user_input=F.lit(True))
+        return self._calls(c("is_unescaped_message"), uses_unescaped_user_input=F.lit(True))
 
     @property
     def outbound_request_calls(self):
-        return self._where(c("is_outbound") & c("outbound_is_dynamic"), url_arg_is_dynamic=F.lit(True))
+        return self._calls(c("is_outbound") & c("outbound_is_dynamic"), url_arg_is_dynamic=F.lit(True))
 
     @property
     def bare_except_blocks(self):
-        return self._where(c("is_silent_except"), swallows_return=F.lit(True), catches_base_exception=F.lit(True))
+        return self._where(kind("except") & c("is_silent_except"), swallows_return=F.lit(True), catches_base_exception=F.lit(True))
 
     @property
     def mutable_default_args(self):
@@ -327,7 +331,7 @@ class Facts:
 
     @property
     def queries_in_loop(self):
-        return self._where(c("is_query_in_loop"), query_kind=F.lit("get_doc"), loop_iterates_over_query_result=F.lit(True))
+        return self._where(kind("loop_call") & c("is_query_in_loop"), query_kind=F.lit("get_doc"), loop_iterates_over_query_result=F.lit(True))
 
     @property
     def class_lifecycles(self):
@@ -346,7 +350,7 @@ class Facts:
 
         ``document_classes``: (repo, path, cls, doctype), see ``operators.classes``.
         """
-        reads = self.rows.where(c("is_field_read") & (c("read_from_get_doc") | (c("shape") == "self"))).select(
+        reads = self.rows.where(kind("attr") & c("is_field_read") & (c("read_from_get_doc") | (c("shape") == "self"))).select(
             *_LOCATION, "cls", "shape", c("attr").alias("fieldname"),
             F.when(c("read_from_get_doc"), c("owner_text")).alias("assigned"),
         )

@@ -150,10 +150,23 @@ def _labelled(edges: DataFrame, kind: str) -> DataFrame:
 
 
 # ---- traversal ---------------------------------------------------------------------
-def _step(frontier: DataFrame, graph: CallGraph, adjacency: DataFrame) -> DataFrame:
-    """Nodes one hop from the frontier, hubs already replaced by their members."""
-    hop = frontier.join(adjacency, ["repo", "src"]).select("repo", c("dst").alias("hub")).distinct()
-    through = hop.join(graph.members, ["repo", "hub"], "left")
+HUB_PARTS = 32
+
+
+def _salted(members: DataFrame) -> DataFrame:
+    """Members with the part of their hub they belong to: a popular method name may
+    hold a large share of all functions and must not be joined in one task."""
+    return members.withColumn("part", F.pmod(F.hash("member"), F.lit(HUB_PARTS)))
+
+
+def _through_hubs(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes (repo, hub) with hubs replaced by their members; plain nodes stay.
+
+    Every hub is asked once per part; plain nodes have a single copy."""
+    is_hub = c("hub").startswith("*")
+    parts = F.when(is_hub, F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = nodes.withColumn("part", F.explode(parts))
+    through = asked.join(members, ["repo", "hub", "part"], "left")
     return through.select("repo", F.coalesce("member", "hub").alias("src")).where(~c("src").startswith("*")).distinct()
 
 
@@ -163,7 +176,7 @@ def reach(graph: CallGraph, seeds: DataFrame, max_hops: int) -> DataFrame:
     A chain of joins whose length is the hop bound: every step carries the nodes
     found so far along, so no step's plan appears twice.
     """
-    adjacency = graph.adjacency
+    adjacency, members = graph.adjacency, _salted(graph.members)
     found = seeds.select("repo", c("symbol_id").alias("src")).distinct()
     for _ in range(max_hops):
         hop = (
@@ -171,11 +184,7 @@ def reach(graph: CallGraph, seeds: DataFrame, max_hops: int) -> DataFrame:
             .select("repo", F.explode(F.array("src", "dst")).alias("hub"))
             .where(c("hub").isNotNull()).distinct()
         )
-        found = (
-            hop.join(graph.members, ["repo", "hub"], "left")
-            .select("repo", F.coalesce("member", "hub").alias("src"))
-            .where(~c("src").startswith("*")).distinct()
-        )
+        found = _through_hubs(hop, members)
     return found.select("repo", c("src").alias("symbol_id"))
 
 
@@ -186,16 +195,15 @@ def reach_all(graph: CallGraph, seeds: DataFrame) -> DataFrame:
     nodes are written once, so neither the plan nor the repeated work grows.
     """
     graph = stored(graph)
-    adjacency = graph.adjacency
+    adjacency, members = graph.adjacency, _salted(graph.members)
     frontier = materialise(seeds.select("repo", c("symbol_id").alias("src")).distinct(), "reach")
     found = [frontier]
     while True:
         known = found[0]
         for part in found[1:]:
             known = known.unionByName(part)
-        new = materialise(
-            _step(frontier, graph, adjacency).join(known, ["repo", "src"], "left_anti"), "reach"
-        )
+        hop = frontier.join(adjacency, ["repo", "src"]).select("repo", c("dst").alias("hub")).distinct()
+        new = materialise(_through_hubs(hop, members).join(known, ["repo", "src"], "left_anti"), "reach")
         if new.isEmpty():
             return known.select("repo", c("src").alias("symbol_id"))
         found.append(new)

@@ -147,28 +147,48 @@ def proof_summary(findings: DataFrame) -> DataFrame:
     return counts.withColumn("proven_pct", F.coalesce(ratio(c("proven") * 100, c("total")), F.lit(0.0)))
 
 
-def track_record(ledger: DataFrame) -> str:
-    """The track record as Markdown; every table is a small aggregate."""
-    table = lambda head, rows: [head, "| " + " | ".join("---" for _ in head.strip("| ").split("|")) + " |", *rows]
-    lines = ["# Track Record", "", "## Evidence Status", ""]
-    lines += table("| Status | Count |", [f"| {r.status} | {r.n} |" for r in status_counts(ledger).orderBy("position").collect()])
-    lines += ["", "## Rule Precision", ""]
-    lines += table("| Rule | Proven | False Positives | Precision |", [
-        f"| {r.rule_id} v{r.rule_version} | {r.proven} | {r.false_positives} | "
-        + ("N/A" if r.precision is None else f"{r.precision:.0%}") + " |"
-        for r in precision_by_rule(ledger).orderBy("rule_id", "rule_version").collect()])
-    lines += ["", "## Rule Coverage", ""]
-    lines += table("| Family | Category | Findings |", [
-        f"| {r.family} | {r.title} | {r.n} |" for r in family_coverage(ledger).orderBy("position").collect()])
+def track_record(ledger: DataFrame) -> DataFrame:
+    """The track record as lines of Markdown: (section, position, line), to be read in
+    that order.  Every section is an aggregate and stays distributed until written."""
+    spark = ledger.sparkSession
+    parts: list[DataFrame] = []
+
+    def fixed(section: int, *lines: str) -> None:
+        rows = [(section, f"{n:06d}", line) for n, line in enumerate(lines)]
+        parts.append(spark.createDataFrame(rows, "section int, position string, line string"))
+
+    def table(section: int, title: str, columns: list[str], rows: DataFrame, position: Column, *cells: Column) -> None:
+        fixed(section, "", f"## {title}", "")
+        rule = ["---", *["---:"] * (len(columns) - 1)]
+        fixed(section + 1, f"| {' | '.join(columns)} |", f"| {' | '.join(rule)} |")
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell.cast("string") for cell in cells]), F.lit(" |"))
+        parts.append(rows.select(F.lit(section + 2).alias("section"), position.cast("string").alias("position"), line.alias("line")))
+
+    precision = F.when(c("precision").isNull(), "N/A").otherwise(F.concat(F.bround(c("precision") * 100).cast("int"), F.lit("%")))
+    fixed(0, "# Track Record")
+    table(10, "Evidence Status", ["Status", "Count"], status_counts(ledger), F.lpad(c("position").cast("string"), 3, "0"), c("status"), c("n"))
+    table(20, "Rule Precision", ["Rule", "Proven", "False Positives", "Precision"], precision_by_rule(ledger),
+          F.concat_ws("\u0001", "rule_id", "rule_version"), F.concat(c("rule_id"), F.lit(" v"), c("rule_version")), c("proven"), c("false_positives"), precision)
+    table(30, "Rule Coverage", ["Family", "Category", "Findings"], family_coverage(ledger), F.lpad(c("position").cast("string"), 3, "0"),
+          c("family"), c("title"), c("n"))
     if ledger.select("repo").where("repo IS NOT NULL").distinct().limit(2).count() > 1:
-        lines += ["", "## Per-Repo Breakdown", ""]
-        lines += table("| Repo | Candidates | Proven | Merged | FP |", [
-            f"| {r.repo} | {r.candidate} | {r.proven} | {r.merged} | {r.false_positive} |"
-            for r in by_repo(ledger).orderBy("repo").toLocalIterator()])
-    impacts = impact_distribution(ledger).orderBy("position").collect()
-    if impacts:
-        lines += ["", "## Severity Distribution", ""]
-        lines += table("| Impact Class | Count |", [f"| {r.impact_class} | {r.n} |" for r in impacts])
-    lines += ["", "## Upstream History", ""]
-    merged = [f"- {r.id}: merged upstream at {r.upstream_pr}" for r in merged_upstream(ledger).orderBy("id").toLocalIterator()]
-    return "\n".join(lines + (merged or ["- No merged upstream records."])) + "\n"
+        table(40, "Per-Repo Breakdown", ["Repo", "Candidates", "Proven", "Merged", "FP"], by_repo(ledger), c("repo"),
+              c("repo"), c("candidate"), c("proven"), c("merged"), c("false_positive"))
+    impacts = impact_distribution(ledger)
+    if not impacts.isEmpty():
+        table(50, "Severity Distribution", ["Impact Class", "Count"], impacts, F.lpad(c("position").cast("string"), 3, "0"), c("impact_class"), c("n"))
+    fixed(60, "", "## Upstream History", "")
+    merged = merged_upstream(ledger)
+    if merged.isEmpty():
+        fixed(61, "- No merged upstream records.")
+    else:
+        parts.append(merged.select(F.lit(61).alias("section"), c("id").alias("position"), F.concat(
+            F.lit("- "), c("id"), F.lit(": merged upstream at "), c("upstream_pr")).alias("line")))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return lines
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    return lines.orderBy("section", "position")

@@ -46,11 +46,22 @@ def top(findings: DataFrame, order: list[Column], k: int = 0) -> DataFrame:
     return ordered.limit(k) if k else ordered
 
 
+SHALLOW_ROWS = 10_000
+
+
 def page(findings: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page, 1-based; a number out of range is moved to the nearest page."""
+    """One page, 1-based; a number out of range is moved to the nearest page.
+
+    Every task keeps at most the rows up to the page; a page far down is looked up in
+    the numbered list instead.  ``order`` should be total.
+    """
     pages = max(1, math.ceil(findings.count() / size))
     number = min(max(1, number), pages)
-    return findings.orderBy(*order).offset((number - 1) * size).limit(size)
+    first = (number - 1) * size
+    if first + size <= SHALLOW_ROWS:
+        return findings.orderBy(*order).offset(first).limit(size)
+    shown = numbered(findings, order, "_number").where(c("_number").between(first + 1, first + size))
+    return shown.orderBy("_number").drop("_number")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.text import (
     identifiers, is_non_runtime_path, is_report_path, is_workflow_path,
     last_segment, mentions_name, path_order, stable_hash, symbol_function,
 )
-from ..operators.facts import Facts, null_safe_in
+from ..operators.facts import Facts, kind, null_safe_in
 from ..operators.mentions import candidate_mentions
 from ..sources.hooks import collisions
 
@@ -107,7 +107,7 @@ def _calls(ix: Index) -> DataFrame:
         "hardcoded_text": c("is_hardcoded_message"),
         "unescaped_text": c("is_unescaped_message"),
     }
-    marked = ix.facts.rows.where(c("is_call")).select(
+    marked = ix.facts.rows.where(kind("call")).select(
         "repo", "path", "line_start", "func", "hash", "ord", "symbol_id", "name",
         c("set_value_doctype").alias("doctype"), c("set_value_field").alias("field"),
         *[F.coalesce(v, F.lit(False)).alias(k) for k, v in marks.items()],
@@ -118,8 +118,11 @@ def _calls(ix: Index) -> DataFrame:
         "repo", c("name").alias("doctype"), "is_submittable", "istable", "owner_scoped", F.lit(True).alias("known")
     )
     handled = ix.handlers.select("repo", last_segment("handler").alias("bare"), F.lit(True).alias("is_handler")).distinct()
+    # most calls name no type: give them keys that match nothing instead of one NULL key,
+    # which would send all of them to a single task
+    nobody = F.concat(F.lit("\u0000"), F.pmod(F.hash("path", "ord"), F.lit(1024)).cast("string"))
     joined = (
-        marked.withColumn("bare", last_segment("func"))
+        marked.withColumn("bare", last_segment("func")).withColumn("doctype", F.coalesce("doctype", nobody))
         .join(types, ["repo", "doctype"], "left").join(handled, ["repo", "bare"], "left")
         .na.fill(False, ["is_submittable", "istable", "owner_scoped", "known", "is_handler"])
     )
@@ -135,7 +138,7 @@ def _tables(ix: Index) -> DataFrame:
 
     The exact test is left to each detector.
     """
-    queries = ix.facts.rows.where(c("is_sql") & c("sql_query").isNotNull()).select(
+    queries = ix.facts.rows.where(kind("call") & c("is_sql") & c("sql_query").isNotNull()).select(
         "repo", "path", "line_start", "func", "hash", "ord", "symbol_id", c("sql_query").alias("query")
     )
     queries = _with_symbols(queries, ix, "reachable")
@@ -157,7 +160,7 @@ def _tables(ix: Index) -> DataFrame:
 
 @view("endpoints")
 def _endpoints(ix: Index) -> DataFrame:
-    rows = ix.facts.rows.where(c("is_endpoint")).select(
+    rows = ix.facts.rows.where(kind("def") & c("is_endpoint")).select(
         "repo", "path", "line_start", "func", "hash", "ord", "symbol_id", c("allow_guest").alias("allow_guest")
     )
     return _located(_with_symbols(rows, ix, "guarded", "mutates", "sets_value"),
@@ -177,14 +180,19 @@ def _paths(ix: Index) -> DataFrame:
 
 @view("classes")
 def _classes(ix: Index) -> DataFrame:
+    return _located(ix.facts.class_lifecycles, "class_name", "methods", "has_on_submit", "has_on_cancel", function="class_name")
+
+
+@view("amended_classes")
+def _amended_classes(ix: Index) -> DataFrame:
+    """Submit handlers of amendable types; of all types where a repository names none."""
     amendable = ix.doctypes.where("is_amendable").select("repo", c("name").alias("class_name"), F.lit(True).alias("amendable"))
-    any_amendable = amendable.select("repo", F.lit(True).alias("some_amendable")).distinct()
+    naming = amendable.select("repo", F.lit(True).alias("some_amendable")).distinct()
     rows = (
-        ix.facts.class_lifecycles.join(amendable, ["repo", "class_name"], "left")
-        .join(any_amendable, ["repo"], "left").na.fill(False, ["amendable", "some_amendable"])
+        ix.facts.class_lifecycles.where("has_on_submit").join(amendable, ["repo", "class_name"], "left")
+        .join(naming, ["repo"], "left").na.fill(False, ["amendable", "some_amendable"])
     )
-    return _located(rows, "class_name", "methods", "has_on_submit", "has_on_cancel", "amendable", "some_amendable",
-                    function="class_name")
+    return _located(rows, "class_name", "methods", "amendable", "some_amendable", function="class_name")
 
 
 @view("collisions")
@@ -199,7 +207,7 @@ def _collisions(ix: Index) -> DataFrame:
 
 @view("statements")
 def _statements(ix: Index) -> DataFrame:
-    rows = ix.facts.rows.where(c("is_silent_except") | c("is_query_in_loop"))
+    rows = ix.facts.rows.where(kind("except") & c("is_silent_except") | kind("loop_call") & c("is_query_in_loop"))
     return _located(rows.withColumn("func", symbol_function("symbol_id")), "kind")
 
 
@@ -351,8 +359,8 @@ DETECTORS: tuple[Detector, ...] = (
         "Set the status this way and compare it with docstatus.",
     ),
     Detector(
-        "FR-WKFL-004", "classes",
-        lambda: c("has_on_submit") & (~c("some_amendable") | c("amendable"))
+        "FR-WKFL-004", "amended_classes",
+        lambda: (~c("some_amendable") | c("amendable"))
         & ~F.arrays_overlap("methods", F.array(F.lit("before_insert"), F.lit("after_insert"))),
         say("Amendable class '", ":class_name", "' does not reset fields when it is amended."),
         "Submit, cancel and amend a document and look for values that should be empty.",

@@ -16,8 +16,6 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # parsing is CPU bound: smaller read splits give more tasks
-    "spark.sql.files.maxPartitionBytes": "32m",
     # no Python stack capture for every column built (detectors build thousands)
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
@@ -46,27 +44,18 @@ def work_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a columnar table and read it back.
 
     Unlike a cached block the table survives the loss of executors, cuts the
-    lineage, and lets later readers prune columns and partitions.
+    lineage, and lets later readers prune columns and row groups.
     """
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), "tracewright", f"{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(_table_schema(df, partition_by)).parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _table_schema(df: DataFrame, partition_by):
-    from pyspark.sql.types import StructType
-
-    fields = [f for f in df.schema.fields if f.name not in partition_by]
-    return StructType(fields + [df.schema[name] for name in partition_by])
-
 _shipped: set[str] = set()
 
 
