@@ -31,17 +31,21 @@ def spark_session(app_name: str = "tracewright", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder all executors share: the cluster's checkpoint folder.
 
     Only a session that names none (a local test) falls back to a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        folder = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        configured = folder
-    return configured
+    if configured:
+        return configured
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="tracewright-")
+    return _own_folders[application]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
