@@ -24,17 +24,32 @@ def candidate_mentions(texts: DataFrame, names: DataFrame, text: str, name: str,
     return texts.withColumn("_word", F.explode(words)).join(keyed, [*on, "_word"]).drop("_word")
 
 
+def _keys(tokens):
+    """Single identifiers and pairs of neighbours, lower case.
+
+    Zipped with its own tail, so that the tokens are not cut anew for every position.
+    """
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.concat(tokens, F.array_compact(pairs)))
+
+
+def _tokens(text):
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
+
+
 def mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str]) -> DataFrame:
     """(key, on, name) where the text mentions the name: case ignored, word boundaries,
     backticks allowed.  ``key`` identifies a text.
 
     Words travel without their text, so a long text does not multiply itself.  A name of
-    one identifier is decided by the join alone; only names of several words fetch the
+    one identifier is decided by the join alone.  A longer name is joined on its first
+    two identifiers, which must be neighbours in the text, and only such pairs fetch the
     text again for the pattern.
     """
-    words = texts.select(*key, *on, F.explode(F.array_distinct(F.transform(identifiers(text), F.lower))).alias("_word"))
-    first = first_identifier(name)
-    keyed = names.select(*on, name, F.lower(first).alias("_word"), (c(name) == first).alias("_single"))
+    words = texts.select(*key, *on, F.explode(_keys(_tokens(c(text)))).alias("_word"))
+    parts = _tokens(c(name))
+    keyed = names.select(*on, name, F.concat_ws(" ", F.slice(parts, 1, 2)).alias("_word"),
+                         (c(name) == first_identifier(name)).alias("_single"))
     pairs = words.join(keyed, [*on, "_word"]).select(*key, *on, name, "_single")
     sure = pairs.where("_single").drop("_single")
     open_pairs = pairs.where("NOT _single").drop("_single")
