@@ -158,3 +158,14 @@ def blob_sizes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def parts(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+    """Consecutive slices of a batch with about ``limit`` bytes of text each (one row at least)."""
+    lengths = batch.column(column).cast(pa.large_binary())
+    _, offsets = flat(lengths)
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1, i + 1)
+        yield batch.slice(i, j - i)
+        i = j

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
+from .line_dedup import line_dedup
 from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -28,3 +30,46 @@ def table(spark, sf_dir: str, name: str):
 def op1_substring_dedup(spark, sf_dir):
     found = substring_dedup(table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_line_dedup", r"""
+    WITH lines AS (
+        SELECT doc_id, n, lines[n] AS line,
+               translate(regexp_replace(lines[n], '^[ \t-\r]+|[ \t-\r]+$', '', 'g'),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+    frequent AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+    FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id""")
+def op6_line_dedup(spark, sf_dir):
+    found = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TOKENS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+
+@query("op2_decontamination", f"""
+    WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TOKENS} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+           FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                 FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+    covered AS (SELECT doc_id, count(*) AS n_hit
+                FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op2_decontamination(spark, sf_dir):
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
