@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .language_id import held_out, identify, train
 from .line_dedup import line_dedup
 from .substring_dedup import substring_dedup
 
@@ -73,3 +74,11 @@ def op2_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    models = train(docs, teach=~held_out("doc_id"))
+    row = docs.select(F.struct("doc_id", held_out("doc_id").alias("held_out")).alias("row"), "text")
+    return identify(row, models, "row").select("row.*", "lang_pred", "score", "rejected")
