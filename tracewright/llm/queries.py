@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .language_id import held_out, identify, train
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -82,3 +83,27 @@ def op4_language_id(spark, sf_dir):
     models = train(docs, teach=~held_out("doc_id"))
     row = docs.select(F.struct("doc_id", held_out("doc_id").alias("held_out")).alias("row"), "text")
     return identify(row, models, "row").select("row.*", "lang_pred", "score", "rejected")
+
+
+@query("op9_near_dedup", r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+    reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM documents
+        UNION SELECT reach.x, links.b FROM reach JOIN links ON links.a = reach.y),
+    least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM least LEFT JOIN sizes USING (doc_id)""")
+def op9_near_dedup(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=75)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_same").cast("int")))).select(
+        "doc_id", "n_shingles", "component_id", "kept")
