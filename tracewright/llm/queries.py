@@ -8,6 +8,7 @@ from .decontamination import decontaminate
 from .language_id import held_out, identify, train
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -107,3 +108,9 @@ def op9_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=75)
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_same").cast("int")))).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_source_mixing")
+def op10_source_mixing(spark, sf_dir):
+    found = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
