@@ -91,9 +91,10 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
-    """(id, n_words, n_hit, items, starts, ends): ids of the items that occur, sorted as
-    strings, and the hit word intervals [start, end)."""
+                  item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5,
+                  with_text: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, items, starts, ends[, text]): ids of the items that occur, sorted
+    as strings, and the hit word intervals [start, end)."""
     found = item_windows(items, item_id, item_text, window, gram)
     # lengths below the window and used slots: bounded by the window and by SLOTS
     short = sorted(r.n for r in found.filter(F.col("n") < window).select("n").distinct().collect())
@@ -133,7 +134,8 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     out = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+        T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
+        *[T.StructField(text_col, T.BinaryType())] * with_text])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +164,8 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()),
                     pa.array(names, pa.list_(pa.string())), lists(np.concatenate(begins), ends_of, pa.int32()),
-                    lists(np.concatenate(stops), ends_of, pa.int32())], names=[f.name for f in out.fields])
+                    lists(np.concatenate(stops), ends_of, pa.int32()), *[part.column("text")] * with_text],
+                    names=[f.name for f in out.fields])
 
-    return docs.join(hits, "row_key", "left").select("id", "text", "items").mapInArrow(extend, out)
+    found = docs.join(hits, "row_key", "left").select("id", "text", "items").mapInArrow(extend, out)
+    return found.withColumn(text_col, F.col(text_col).cast("string")) if with_text else found

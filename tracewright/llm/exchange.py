@@ -29,19 +29,24 @@ RANGE_HASHES = 4 << 20
 _own: dict[str, str] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session that names
+    none gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="shared-"))
+    return folder
+
 
-    Only a local session that names none gets a folder of its own.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder; Spark removes them once nothing
+    refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.split("[")[0] == "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

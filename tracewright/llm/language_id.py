@@ -257,14 +257,15 @@ def margin_of(letters: np.ndarray) -> np.ndarray:
     return 4.0 / np.sqrt(np.maximum(letters, 1))
 
 
-def identify(df: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, nats, rejected): score is the share of the chosen language
+def identify(df: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text",
+             with_text: bool = False) -> DataFrame:
+    """(id, lang_pred, score, nats, rejected[, text]): score is the share of the chosen language
     among all, for the average of up to 20 characters."""
     shared = df.sparkSession.sparkContext.broadcast(models)
     out = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()), T.StructField("nats", T.DoubleType()),
-        T.StructField("rejected", T.BooleanType())])
+        T.StructField("rejected", T.BooleanType()), *[T.StructField(text_col, T.BinaryType())] * with_text])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -285,6 +286,8 @@ def identify(df: DataFrame, models: Models | None, id_col: str = "doc_id", text_
                     pred = [UNKNOWN if x else models.langs[i] for x, i in zip(none.tolist(), choice.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                     pa.array(best, pa.float64(), mask=none), pa.array(bad)], names=[f.name for f in out.fields])
+                     pa.array(best, pa.float64(), mask=none), pa.array(bad), *[part.column("text")] * with_text],
+                    names=[f.name for f in out.fields])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(predict, out)
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(predict, out)
+    return found.withColumn(text_col, F.col(text_col).cast("string")) if with_text else found

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,14 +248,20 @@ def verified_links(clusters: DataFrame, sizes: DataFrame, sets: DataFrame, perce
     return tasks.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long, common long")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75,
                     half: int = 12, rows: int = 3, agree: int | None = None) -> DataFrame:
-    """(row_key, id, n_shingles, n_same, component_id, kept): n_same counts rows of equal id and
-    text, which share their row_key (a hash of both) and are one row here."""
+    """(row_key, id, n_shingles, n_same, component_id, keeper, kept): n_same counts rows of equal
+    id and text, which share their row_key (a hash of both) and are one row here; keeper is
+    the row_key of the one row that stands for its group."""
     if agree is None:
         agree = int(0.55 * 2 * half * rows)
     text = F.col(text_col).cast("string")
-    docs = df.select(F.xxhash64(F.col(id_col), text).alias("row_key"), F.col(id_col).alias("id"), text.cast("binary").alias("text"))
+    docs = df.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), text.cast("binary").alias("text"))
     made = signatures(docs, shingle, half, rows)
     # small rows only; the texts are read again for the classes that must be verified
     signed = checkpointed(made.withColumn("class", F.xxhash64("n", "sum_a", "sum_b")))
@@ -290,7 +296,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # an empty set is a group of its own row
     rows_ = rows_.withColumn("group", F.when(empty, F.struct(F.lit(0).alias("kind"), F.col("row_key").alias("key"))).otherwise(
         F.struct(F.lit(1).alias("kind"), F.coalesce("component", "class").alias("key"))))
-    least = rows_.groupBy("group").agg(F.min("id").alias("component_id"))
+    least = rows_.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("least")).select(
+        "group", F.col("least.id").alias("component_id"), F.col("least.row_key").alias("keeper"))
     return rows_.join(least, "group").select(
-        "row_key", F.col("id").alias(id_col), "n_shingles", "n_same", "component_id",
+        "row_key", F.col("id").alias(id_col), "n_shingles", "n_same", "component_id", "keeper",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
