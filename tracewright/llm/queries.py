@@ -8,6 +8,7 @@ from .decontamination import decontaminate
 from .language_id import held_out, identify, train
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .secret_scan import BASE, KINDS, OWNED, scan_secrets
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 
@@ -114,3 +115,53 @@ def op9_near_dedup(spark, sf_dir):
 def op10_source_mixing(spark, sf_dir):
     found = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def _sql_matches(kind: str, nr: int, pattern: str, least: int) -> str:
+    whole = "(?s)(.*?)(" + pattern.replace("'", "''") + ")"
+    return (f"SELECT doc_id, owner, repo, '{kind}' AS kind, {nr} AS nr, {least} AS least, "
+            + ", ".join(f"regexp_extract_all(text, '{whole}', {i}) AS m{i}" for i in (1, 2, 3)) + " FROM texts")
+
+
+_RANDOM = "v ~ '.*[A-Z].*' AND v ~ '.*[a-z].*' AND v ~ '.*[0-9].*' AND 3 * len(list_distinct(string_split(v, ''))) >= length(v)"
+
+
+@query("op8_secret_scan", f"""
+    WITH texts AS (SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS text FROM documents),
+    matches AS ({" UNION ALL ".join(_sql_matches(k, i, p, n) for i, (k, p, n) in enumerate((*BASE, OWNED)))}),
+    single AS (
+        SELECT * EXCLUDE (m1, m2, m3), unnest(m1) AS b, unnest(m2) AS f, unnest(m3) AS v, unnest(range(len(m1))) AS i FROM matches),
+    placed AS (
+        SELECT *, sum(length(b) + length(f)) OVER (PARTITION BY doc_id, nr ORDER BY i) AS stop FROM single),
+    spans AS (
+        SELECT doc_id, owner, repo, kind, nr, v, stop - length(f) AS start, stop, {_RANDOM} AS random
+        FROM placed WHERE length(v) >= least),
+    candidates AS (
+        SELECT * FROM spans s WHERE nr < 3 OR (random AND NOT EXISTS (
+            SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.nr < 3 AND o.start < s.stop AND s.start < o.stop))),
+    spread AS (SELECT v, count(DISTINCT owner) AS owners FROM candidates GROUP BY v),
+    judged AS (
+        SELECT c.*, CASE WHEN owners > 1 THEN 'example' WHEN random OR kind IN ('access', 'hex') THEN 'live' ELSE 'plain' END AS verdict,
+               kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span
+        FROM candidates c JOIN spread USING (v)),
+    result AS (SELECT * FROM judged WHERE nr < 3 OR verdict = 'live')
+    SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+           count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'owned') AS n_owned,
+           sha256(coalesce(string_agg(span, ',' ORDER BY start, nr) FILTER (WHERE nr < 3), '')) AS base_sha256,
+           coalesce(string_agg(span, ',' ORDER BY start, nr), '') AS spans,
+           count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
+    FROM documents LEFT JOIN result USING (doc_id) GROUP BY doc_id""")
+def op8_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=c("source"))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(field, value):
+        return F.size(F.filter("spans", lambda x: x[field] == value)).cast("long").alias(f"n_{value}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "owned")
+    return found.select(
+        "doc_id", *(count("kind", kind) for kind in KINDS), F.sha2(text(base), 256).alias("base_sha256"),
+        text(c("spans")).alias("spans"), *(count("verdict", verdict) for verdict in ("live", "example")))
