@@ -11,6 +11,8 @@ from .near_dedup import near_duplicates
 from .secret_scan import BASE, KINDS, OWNED, scan_secrets
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
+from .url_filter import domains_of, filter_urls, host_of
+from .vector_search import nearest
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -165,3 +167,61 @@ def op8_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id", *(count("kind", kind) for kind in KINDS), F.sha2(text(base), 256).alias("base_sha256"),
         text(c("spans")).alias("spans"), *(count("verdict", verdict) for verdict in ("live", "example")))
+
+
+@query("op5_vector_search")
+def op5_vector_search(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def dated_entries(pages):
+    """A dated block list that follows from the pages: the digits of each domain's MD5 tell
+    whether, where and when the domain is listed, removed and listed again."""
+    domains = pages.select(F.explode(domains_of(host_of(c("url")), least=2)).alias("domain")).distinct()
+    digits = F.md5(c("domain"))
+
+    def number(start, length):
+        return F.conv(F.substring(digits, start, length), 16, 10).cast("int")
+
+    first = F.date_add(F.lit("2024-01-01").cast("date"), number(3, 2))
+    gone = F.date_add(first, number(5, 2) + 1)
+    steps = F.array(
+        F.struct(F.lit("add").alias("action"), first.alias("day")),
+        F.when(number(7, 1) >= 4, F.struct(F.lit("remove").alias("action"), gone.alias("day"))),
+        F.when((number(7, 1) >= 4) & (number(8, 1) >= 8), F.struct(F.lit("add").alias("action"), F.date_add(gone, 30).alias("day"))))
+    return domains.filter(number(1, 1) < 6).select(
+        F.when(number(2, 1) < 8, "ads").otherwise("malware").alias("list"), "domain",
+        F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("step")).select("list", "domain", "step.day", "step.action")
+
+
+@query("op7_url_filter", r"""
+    WITH captures AS (
+        SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
+               trim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host
+        FROM pages),
+    parts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM captures WHERE host <> ''),
+    suffixes AS (SELECT host, len(l) - i + 1 AS n, array_to_string(l[i:], '.') AS domain
+                 FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM parts)),
+    digits AS (SELECT domain, md5(domain) AS m FROM (SELECT DISTINCT domain FROM suffixes WHERE n >= 2)),
+    numbers AS (
+        SELECT domain, CAST('0x' || m[1:1] AS INTEGER) AS a, CAST('0x' || m[2:2] AS INTEGER) AS b,
+               CAST('0x' || m[3:4] AS INTEGER) AS c, CAST('0x' || m[5:6] AS INTEGER) AS d,
+               CAST('0x' || m[7:7] AS INTEGER) AS e, CAST('0x' || m[8:8] AS INTEGER) AS f FROM digits),
+    listed AS (
+        SELECT domain, CASE WHEN b < 8 THEN 'ads' ELSE 'malware' END AS list, DATE '2024-01-01' + c AS since,
+               CASE WHEN e >= 4 THEN DATE '2024-01-01' + c + d + 1 END AS until FROM numbers WHERE a < 6
+        UNION ALL
+        SELECT domain, CASE WHEN b < 8 THEN 'ads' ELSE 'malware' END, DATE '2024-01-01' + c + d + 31, NULL
+        FROM numbers WHERE a < 6 AND e >= 4 AND f >= 8),
+    hits AS (
+        SELECT c.host, c.fetched, l.list, l.domain, l.since,
+               row_number() OVER (PARTITION BY c.host, c.fetched ORDER BY length(l.domain) DESC, l.list) AS nr
+        FROM (SELECT DISTINCT host, fetched FROM captures) c JOIN suffixes s ON s.host = c.host
+        JOIN listed l ON l.domain = s.domain AND l.since <= c.fetched AND (l.until IS NULL OR c.fetched < l.until))
+    SELECT page_id, url, c.host, c.fetched, h.host IS NOT NULL AS blocked, list, "domain", CAST(since AS DATE) AS since
+    FROM captures c LEFT JOIN hits h ON h.host = c.host AND h.fetched = c.fetched AND h.nr = 1""")
+def op7_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (c("page_id") % 366).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched"))
+    return filter_urls(captures, dated_entries(pages))
