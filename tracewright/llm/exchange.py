@@ -58,10 +58,10 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str, total: int) -> tuple[DataFrame, int]:
+def chunked(df: DataFrame, id_col: str, text_col: str, total: int, size: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """(chunk, id, text as bytes).  The chunk follows from the row alone, so that lost
     tasks can be run again; equal texts of different documents go to different chunks."""
-    n = max(shuffle_partitions(df.sparkSession), -(-total // CHUNK_BYTES))
+    n = max(shuffle_partitions(df.sparkSession), -(-total // size))
     text = F.col(text_col).cast("string")
     return df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("chunk"),
                      F.col(id_col).alias("id"), text.cast("binary").alias("text")), n

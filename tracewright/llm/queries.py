@@ -11,6 +11,7 @@ from .near_dedup import near_duplicates
 from .secret_scan import BASE, KINDS, OWNED, scan_secrets
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filter import domains_of, filter_urls, host_of
 from .vector_search import nearest
 
@@ -232,3 +233,10 @@ def op7_url_filter(spark, sf_dir):
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), (c("page_id") % 366).cast("int"))
     captures = pages.select("page_id", "url", fetched.alias("fetched"))
     return filter_urls(captures, dated_entries(pages))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
