@@ -30,6 +30,8 @@ from .arrays import U, flat, parts, window_hashes
 UNKNOWN = "und"
 _SPACE = 0x20
 _PREFIX_BITS = 16
+#: one of so many sampled texts sets the limit of rejection instead of teaching
+CALIBRATING = 5
 
 
 @cache
@@ -200,8 +202,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _sample(df: DataFrame, text_col: str, lang_col: str, teach: Column, train_chars: int) -> DataFrame:
-    """(lang, text, used): labelled texts up to the bound for each language, then a
-    quarter as many characters for calibration."""
+    """(lang, text, used): labelled texts up to the bound for each language; one in
+    ``CALIBRATING`` is not used for training."""
     text = F.col(text_col).cast("string")
     rows = df.filter(teach & F.col(lang_col).isNotNull() & text.isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
@@ -215,8 +217,8 @@ def _sample(df: DataFrame, text_col: str, lang_col: str, teach: Column, train_ch
         (F.col("order") / F.lit(float(1 << 64)) + 0.5 < share))
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("order", "text")
                                           .rowsBetween(Window.unboundedPreceding, -1))
-    return (near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bound * 1.25)
-            .select("lang", "text", (F.col("before") < bound).alias("used")))
+    return near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bound).select(
+        "lang", "text", (F.pmod("order", F.lit(CALIBRATING)) > 0).alias("used"))
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach: Column | None = None, order: int = 5,
