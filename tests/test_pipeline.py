@@ -247,7 +247,11 @@ def test_stream(spark, packed, tmp_path):
     packed({"r": {"a.py": "def f(a=[]):\n    pass\n", "b.py": "def g(a={}):\n    pass\n"}}).coalesce(1).write.mode("append").parquet(incoming)
     assert run()
     assert sorted(r.file for r in latest_findings(spark, out).collect()) == ["a.py", "b.py"]
-    assert spark.read.parquet(out).count() == 3
+    assert spark.read.parquet(f"{out}/findings").count() == 3
+    # a file that is fixed in a later batch has no finding left
+    packed({"r": {"a.py": "def f(a=None):\n    pass\n"}}).coalesce(1).write.mode("append").parquet(incoming)
+    assert run()
+    assert [r.file for r in latest_findings(spark, out).collect()] == ["b.py"]
 
 
 # ---- registered queries --------------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def _arguments(argv):
     scan.add_argument("--limit", type=int, default=50, help="rows to print")
     scan.add_argument("--rule", action="append", help="only this rule")
     scan.add_argument("--fp-log")
-    scan.add_argument("--diff", metavar="REF", help="only files changed since REF (one repository)")
+    scan.add_argument("--diff", metavar="REF", help="only files changed since REF in their repository")
     scan.add_argument("--baseline")
     scan.add_argument("--generate-baseline", metavar="PATH")
     scan.add_argument("--ledger", help="folder that gets a YAML file per new finding")
@@ -48,22 +48,32 @@ def main(argv=None) -> int:
 
 def _scan(spark, args) -> int:
     from . import config, scan_multi, sinks
-    from .operators.findings import by_severity
-    from .operators.ledger import ledger_rows
-    from .session import materialise
+    from .session import materialise, work_tables
 
-    repos = {os.path.basename(os.path.abspath(p)): p for p in args.path}
+    named = [(os.path.basename(os.path.abspath(p)), p) for p in args.path]
     if args.config:
-        repos.update(config.load_scan_config(args.config).folders())
+        named += config.load_scan_config(args.config).folders().items()
+    repos = dict(named)
+    if len(repos) < len(named):
+        print("two repositories have one name; give them ids in a --config file", file=sys.stderr)
+        return 2
     if not repos or not all(os.path.exists(p) for p in repos.values()):
         print("nothing to scan", file=sys.stderr)
         return 2
     options = {"rules": args.rule}
     if args.diff:
-        options["changed"] = config.changed_files(spark, next(iter(repos.values())), args.diff)
+        options["changed"] = config.changed_in(spark, repos, args.diff)
     if args.baseline:
         options["baseline"] = sinks.read_baseline(spark, args.baseline)
-    found = materialise(scan_multi(spark, repos, fp_log=args.fp_log, **options), "findings")
+    with work_tables(spark):
+        return _found(args, materialise(scan_multi(spark, repos, fp_log=args.fp_log, **options), "findings"))
+
+
+def _found(args, found) -> int:
+    from . import sinks
+    from .operators.findings import by_severity
+    from .operators.ledger import ledger_rows
+
     for row in found.orderBy(*by_severity()).limit(args.limit).collect():
         print(f"{row.severity.score:6.1f} {row.rule_id} {row.repo}/{row.file}:{row.line} {row.function}  {row.evidence}")
     if args.output:

@@ -111,12 +111,27 @@ def load_false_positives(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(rows), FALSE_POSITIVES)
 
 
-def changed_files(spark: SparkSession, repo: str, reference: str) -> DataFrame | None:
-    """Paths changed since a git reference, or None (no filter) when git cannot tell."""
+def _changed(folder: str, reference: str) -> list[str] | None:
     import subprocess
 
     try:
-        done = subprocess.run(["git", "diff", "--name-only", reference], cwd=repo, capture_output=True, text=True, check=True, timeout=30)
+        done = subprocess.run(["git", "diff", "--name-only", reference], cwd=folder, capture_output=True, text=True, check=True, timeout=30)
     except (OSError, subprocess.SubprocessError):
         return None
-    return spark.createDataFrame([(line,) for line in done.stdout.splitlines() if line], "path string")
+    return [line for line in done.stdout.splitlines() if line]
+
+
+def changed_files(spark: SparkSession, repo: str, reference: str) -> DataFrame | None:
+    """Paths changed since a git reference, or None (no filter) when git cannot tell."""
+    paths = _changed(repo, reference)
+    return None if paths is None else spark.createDataFrame([(path,) for path in paths], "path string")
+
+
+def changed_in(spark: SparkSession, repos: dict[str, str], reference: str) -> DataFrame:
+    """(repo, path) of each repository's own changes; a repository that git cannot tell
+    about gets the empty path, which every file ends with."""
+    rows = []
+    for repo, folder in repos.items():
+        paths = _changed(folder, reference)
+        rows += [(repo, path) for path in ([""] if paths is None else paths)]
+    return spark.createDataFrame(rows, "repo string, path string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -37,11 +38,14 @@ _own_folders: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder all executors share: the cluster's checkpoint folder.
 
-    Only a session that names none (a local test) falls back to a folder of its own.
+    Only a local session that names none (a test) falls back to a folder of its own; on
+    a cluster each executor would write to its own disk, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
         _own_folders[application] = tempfile.mkdtemp(prefix="tracewright-")
@@ -56,10 +60,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), "tracewright", f"{name}-{uuid.uuid4().hex}")
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def work_tables(spark: SparkSession):
+    """Removes the work tables written within, once the block ends.
+
+    For callers who write their results themselves (the command line, a micro-batch); what
+    is read lazily from the work tables must be done by then.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _open_scopes.pop():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _shipped: set[str] = set()
 
 

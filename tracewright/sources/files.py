@@ -24,6 +24,9 @@ from ..session import ship_package
 from ..schemas import SOURCE_FILES, arrow_schema
 
 LISTING = "repo string, path string, abs_path string"
+START = "repo string, root string, start string"
+# folders no selection of a scan wants; they are not entered at all
+PRUNED = tuple(sorted(set(SKIPPED_DIRS) & set(SKIPPED_SCHEMA_DIRS)))
 
 
 def from_table(table: DataFrame, *, repo="repo", path="path", content="content") -> DataFrame:
@@ -46,17 +49,29 @@ def pack(files: DataFrame, target: str) -> None:
     files.withColumn("kind", kind).write.partitionBy("kind").mode("errorifexists").parquet(target)
 
 
-def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*") -> DataFrame:
-    """Names of all files below the given roots, walked inside tasks."""
-    starts = [item for repo, root in repos.items() for item in _first_level(repo, os.path.abspath(root))]
-    listing = arrow_schema(LISTING)
+def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*", pruned=PRUNED) -> DataFrame:
+    """Names of all files below the given roots, walked inside tasks.
+
+    The folders of the first two levels are dealt out again before they are walked, so a
+    repository with one large folder is not walked by one task.
+    """
+    starts = [item for repo, root in repos.items() for item in _first_level(repo, os.path.abspath(root), pruned)]
+    listing, start_schema = arrow_schema(LISTING), arrow_schema(START)
     ship_package(spark)
+    tasks = spark.sparkContext.defaultParallelism * 4
+
+    def deeper(batches):
+        for batch in batches:
+            rows = [{"repo": repo, "root": root, "start": path}
+                    for repo, root, start in zip(*(batch.column(i).to_pylist() for i in range(3)))
+                    for path in ([start] if os.path.isfile(start) else _entries(start, pruned))]
+            yield pa.RecordBatch.from_pylist(rows, schema=start_schema)
 
     def walk(batches):
         for batch in batches:
             for repo, root, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 block = []
-                for path in _walk(start):
+                for path in _walk(start, pruned):
                     if fnmatch.fnmatchcase(os.path.basename(path), pattern):
                         relative = os.path.relpath(path, root).replace(os.sep, "/")
                         block.append({"repo": repo, "path": relative, "abs_path": path})
@@ -66,23 +81,30 @@ def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*") -
                 if block:
                     yield pa.RecordBatch.from_pylist(block, schema=listing)
 
-    entries = spark.createDataFrame(starts or [("", "", "")], "repo string, root string, start string")
-    entries = entries.where("start <> ''").repartition(max(1, min(len(starts), spark.sparkContext.defaultParallelism)))
-    return entries.mapInArrow(walk, LISTING)
+    entries = spark.createDataFrame(starts or [("", "", "")], START).where("start <> ''")
+    for _ in range(2):
+        entries = entries.repartition(max(1, min(tasks, len(starts) * 16))).mapInArrow(deeper, START)
+    return entries.repartition(tasks, "start").mapInArrow(walk, LISTING)
 
 
-def _first_level(repo, root):
+def _first_level(repo, root, pruned):
     if os.path.isfile(root):
         return [(repo, os.path.dirname(root), root)]
     if not os.path.isdir(root):
         return []
-    return [(repo, root, os.path.join(root, name)) for name in sorted(os.listdir(root))]
+    return [(repo, root, path) for path in _entries(root, pruned)]
 
 
-def _walk(start):
+def _entries(folder, pruned):
+    return [os.path.join(folder, name) for name in sorted(os.listdir(folder))
+            if name not in pruned or os.path.isfile(os.path.join(folder, name))]
+
+
+def _walk(start, pruned):
     if os.path.isfile(start):
         yield start
-    for folder, _, names in os.walk(start):
+    for folder, folders, names in os.walk(start):
+        folders[:] = [name for name in folders if name not in pruned]
         for name in names:
             yield os.path.join(folder, name)
 
@@ -94,7 +116,11 @@ def without_folders(files: DataFrame, skipped=SKIPPED_DIRS) -> DataFrame:
 
 
 def read_contents(files: DataFrame, spread: bool = True) -> DataFrame:
-    """Add ``content``; names are first spread over the cluster, then read."""
+    """Add ``content``; names are first spread over the cluster, then read.
+
+    A file that cannot be read (rights, a path an executor does not mount) keeps its row
+    with a null content, which the parsers report.
+    """
     schema = arrow_schema(SOURCE_FILES)
     ship_package(files.sparkSession)
 
@@ -106,9 +132,9 @@ def read_contents(files: DataFrame, spread: bool = True) -> DataFrame:
                     with open(row["abs_path"], "rb") as handle:
                         row["content"] = handle.read()
                 except OSError:
-                    continue
+                    row["content"] = None
                 block.append(row)
-                size += len(row["content"])
+                size += len(row["content"] or b"")
                 if size >= 8 << 20:
                     yield pa.RecordBatch.from_pylist(block, schema=schema)
                     block, size = [], 0

@@ -30,18 +30,23 @@ def _leaves(value, keys=()):
                 yield from _leaves(child, keys + (key,))
 
 
-def hook_rows(content: bytes) -> list[dict]:
+def hook_rows(content: bytes | None) -> list[dict]:
+    """Leaves of one file; a file that cannot be read or parsed is one problem."""
     try:
-        tree = ast.parse(content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"))
-    except (SyntaxError, ValueError):
+        return _hook_rows(content)
+    except (SyntaxError, ValueError, AttributeError, RecursionError, MemoryError):
         return [{"problem": "parse_error", "pos": 0}]
+
+
+def _hook_rows(content):
+    tree = ast.parse(content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"))
     assigned, rows = {}, []
     for node in tree.body:
         for target in node.targets if isinstance(node, ast.Assign) else ():
             if isinstance(target, ast.Name):
                 try:
                     assigned[target.id] = ast.literal_eval(node.value)
-                except (ValueError, TypeError):
+                except (ValueError, TypeError, RecursionError, MemoryError):
                     rows.append({"problem": target.id})
     for section in SECTIONS:
         if isinstance(assigned.get(section), dict):
@@ -121,6 +126,9 @@ def collisions(handlers: DataFrame) -> DataFrame:
         .agg(
             F.count_distinct("app").alias("n_apps"), F.count("*").alias("n_handlers"),
             F.min_by("abs_path", "ord").alias("first_path"),
+            # handlers of one event are few; in declaration order
+            F.transform(F.array_sort(F.collect_list(F.struct("ord", "app", "handler"))), lambda h: F.struct(
+                h["app"].alias("app"), h["handler"].alias("handler"))).alias("handlers"),
         )
         .where("n_apps > 1")
     )

@@ -4,36 +4,51 @@ A table of packed files ``(repo, path, content)`` is read as a stream; every
 micro-batch is scanned with the batch plan and appended to the findings table.  A
 batch sees only its own files, so calls into files that arrived earlier resolve when
 those are part of the batch again; run the batch scan for whole-repository results.
+The files of a batch are recorded with its number: a file's newest batch says all that
+is left to find in it, so findings that were fixed do not stay.
 Progress is observable through Spark's own ``StreamingQueryListener``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+c = F.col
 PACKED = "repo string, path string, content binary"
 
 
 def scan_stream(spark: SparkSession, incoming: str, findings_path: str, checkpoint: str, *,
-                available_now: bool = True, max_files_per_batch: int = 1000, **options) -> StreamingQuery:
+                available_now: bool = True, every: str = "1 minute", max_files_per_batch: int = 1000, **options) -> StreamingQuery:
+    """``every``: time between micro-batches unless all that is there is read at once."""
     from ..plans.scan import scan_files
+    from ..session import work_tables
     from ..sinks import public_columns
     from ..sources.files import from_table
 
     stream = spark.readStream.schema(PACKED).option("maxFilesPerTrigger", max_files_per_batch).parquet(incoming)
 
     def scan_batch(batch: DataFrame, number: int) -> None:
-        found = public_columns(scan_files(from_table(batch), **options))
-        # a repeated batch (after a failure) replaces its own output
-        found.write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
+        with work_tables(spark):
+            found = public_columns(scan_files(from_table(batch), **options))
+            # a repeated batch (after a failure) replaces its own output
+            found.write.mode("overwrite").parquet(f"{findings_path}/findings/batch={number}")
+            batch.select("repo", c("path").alias("file")).distinct().write.mode("overwrite").parquet(
+                f"{findings_path}/files/batch={number}")
 
     writer = stream.writeStream.foreachBatch(scan_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def latest_findings(spark: SparkSession, findings_path: str) -> DataFrame:
-    """One row per finding of the stream's output: the newest batch wins."""
+    """One row per finding that the newest batch of its file still has.
+
+    Findings without a file of their own in a batch (an event hooked by several files)
+    belong to the file they name.
+    """
     from ..operators.findings import keep_last
 
-    return keep_last(spark.read.parquet(findings_path), ["repo", "id"], "batch")
+    newest = spark.read.parquet(f"{findings_path}/files").groupBy("repo", "file").agg(F.max("batch").alias("batch"))
+    found = spark.read.parquet(f"{findings_path}/findings").join(newest, ["repo", "file", "batch"], "left_semi")
+    return keep_last(found, ["repo", "id"], "batch")
