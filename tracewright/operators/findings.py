@@ -22,8 +22,8 @@ def fingerprint(rule="rule_id", file="file", function="function", location="code
     return stable_hash(F.concat_ws("|", col(rule), col(file), col(function), col(location)), 32)
 
 
-def keep_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row per key: the one with the greatest ``order``.
+def keep_last(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the one with the greatest ``order`` (without one, the greatest row).
 
     An aggregation rather than a window: rows of one key are combined before the
     shuffle, so many copies of one key never meet in a single task.
@@ -31,14 +31,18 @@ def keep_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return _keep(df, key, order, F.max_by)
 
 
-def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
+def keep_first(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     return _keep(df, key, order, F.min_by)
 
 
 def _keep(df, key, order, pick):
     rest = [name for name in df.columns if name not in key]
-    # a struct is never NULL, so rows with a NULL order take part
-    kept = df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(order)).alias("_row"))
+    if not rest:
+        return df.distinct()
+    # a struct is never NULL, so rows with a NULL order take part; of equal orders the
+    # rest of the row decides, so that the choice never depends on the order of arrival
+    ranked = [order] if order is not None else []
+    kept = df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(*ranked, *rest)).alias("_row"))
     return kept.select(*key, "_row.*").select(*df.columns)
 
 
@@ -98,13 +102,17 @@ def drop_known(candidates: DataFrame, baseline: DataFrame) -> DataFrame:
 def only_changed(candidates: DataFrame, changed: DataFrame) -> DataFrame:
     """Candidates whose file is, or ends with, a changed path.
 
-    ``changed``: (path).  A candidate's few distinct files are listed with all
-    their suffixes, which makes the suffix test an equi-join; no change, no row.
+    ``changed``: (path), or (repo, path) where each repository has changes of its own.  Of
+    a candidate's file only the suffixes as long as some changed path are listed (the
+    lengths are few), which makes the suffix test an equi-join; no change, no row.
     """
-    suffixes = F.transform(F.sequence(F.lit(1), F.length("file")), lambda n: F.right(c("file"), n))
-    files = candidates.select("file").where("file <> ''").distinct().select("file", F.explode(suffixes).alias("path"))
-    hit = files.join(changed.select("path").distinct(), ["path"], "left_semi").select("file").distinct()
-    return candidates.join(hit, ["file"], "left_semi")
+    own = ["repo"] if "repo" in changed.columns else []
+    lengths = sorted(r.n for r in changed.select(F.length("path").alias("n")).distinct().where("n IS NOT NULL").collect())
+    possible = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("file"))
+    suffixes = F.transform(possible, lambda n: F.right(c("file"), n))
+    files = candidates.select(*own, "file").where("file <> ''").distinct().select(*own, "file", F.explode(suffixes).alias("path"))
+    hit = files.join(changed.select(*own, "path").distinct(), [*own, "path"], "left_semi").select(*own, "file").distinct()
+    return candidates.join(hit, [*own, "file"], "left_semi")
 
 
 def exclude_paths(candidates: DataFrame, globs: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .findings import keep_last
+from .findings import keep_first, keep_last
 
 c = F.col
 
@@ -35,9 +35,12 @@ def ledger_rows(findings: DataFrame, today: str) -> DataFrame:
     )
 
 
-def insert_absent(ledger: DataFrame, new: DataFrame) -> DataFrame:
-    """The ledger plus the rows whose id it does not have; existing rows stay untouched."""
-    return ledger.unionByName(new.dropDuplicates(["id"]).join(ledger.select("id"), ["id"], "left_anti"))
+def insert_absent(ledger: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The ledger plus the rows whose id it does not have; existing rows stay untouched.
+
+    Of several new rows of an id the one with the smallest ``order`` comes in.
+    """
+    return ledger.unionByName(keep_first(new, ["id"], order).join(ledger.select("id"), ["id"], "left_anti"))
 
 
 def apply_results(ledger: DataFrame, results: DataFrame, today: str, order: str | None = None) -> DataFrame:
@@ -46,13 +49,10 @@ def apply_results(ledger: DataFrame, results: DataFrame, today: str, order: str
     ``results``: (finding_id, status, proof_tier, reproducer_hash).  passed -> proven,
     failed -> false_positive, dry_run changes nothing, any other status is only
     recorded in the history.  Rows are matched by finding id, and the tier counts
-    only for a passed proof.  With several results per finding ``order`` names the
-    column that decides which is the latest.
+    only for a passed proof.  Of several results of a finding the one with the greatest
+    ``order`` counts; dry runs are left out before.
     """
-    real = results.where(c("status") != "dry_run")
-    if order is not None:
-        real = keep_last(real, ["finding_id"], order)
-    real = real.select(
+    real = keep_last(results.where(c("status") != "dry_run"), ["finding_id"], order).select(
         c("finding_id").alias("id"), c("status").alias("r_status"), c("proof_tier").alias("r_tier"),
         c("reproducer_hash").alias("r_hash"),
     )
@@ -115,9 +115,11 @@ def eligible(ledger: DataFrame, min_tier: int = 2, finding_id: str | None = None
     return chosen if finding_id is None else chosen.where(c("id") == finding_id)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``old`` replaced or extended by ``new`` (the last of equal keys wins)."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``old`` replaced or extended by ``new``; of several new rows of a key the one
+    with the greatest ``order`` wins."""
+    last = keep_last(new, key, order)
+    return old.join(last.select(*key), key, "left_anti").unionByName(last)
 
 
 def outcome(status) -> Column:
@@ -126,9 +128,12 @@ def outcome(status) -> Column:
     return F.when(text == "PASSED", "proven").when(text == "FAILED", "refuted").when(text == "SKIPPED", "skipped").otherwise("error")
 
 
-def update_status(findings: DataFrame, results: DataFrame) -> DataFrame:
-    """Findings with the status of their proof result.  ``results``: (finding_id, proof_status)."""
-    r = results.select("finding_id", c("proof_status").alias("_ps"))
+def update_status(findings: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Findings with the status of their proof result (of several, the greatest ``order``).
+
+    ``results``: (finding_id, proof_status).
+    """
+    r = keep_last(results, ["finding_id"], order).select("finding_id", c("proof_status").alias("_ps"))
     joined = findings.join(r, ["finding_id"], "left")
     return joined.withColumn("status", F.when(c("_ps").isNotNull(), outcome("_ps")).otherwise(c("status"))).drop("_ps")
 

@@ -10,51 +10,57 @@ from ..functions.text import first_identifier, identifiers, mentions_name
 c = F.col
 
 
-def candidate_mentions(texts: DataFrame, names: DataFrame, text: str, name: str, on: list[str], prefix: str = "") -> DataFrame:
+def candidate_mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str],
+                       prefix: str = "") -> DataFrame:
     """Texts joined with the names they may mention.
 
     A name that occurs as a whole word starts with a whole identifier of the text, so
-    the join key is that identifier (lower case) instead of a pattern.  Names must
-    start with an identifier.  ``prefix``: lower-case start all names share, if any.
+    the join key is that identifier (lower case) instead of a pattern.  Words travel with
+    the text's ``key`` only; a text is fetched once for each name found.  Names must start
+    with an identifier.  ``prefix``: lower-case start all names share, if any.
     """
     words = F.array_distinct(F.transform(identifiers(text), F.lower))
     if prefix:
         words = F.filter(words, lambda w: w.startswith(prefix))
     keyed = names.withColumn("_word", F.lower(first_identifier(name)))
-    return texts.withColumn("_word", F.explode(words)).join(keyed, [*on, "_word"]).drop("_word")
+    found = texts.select(*on, *key, F.explode(words).alias("_word")).join(keyed, [*on, "_word"]).drop("_word")
+    return texts.join(found, [*on, *key])
 
 
-def _keys(tokens):
-    """Single identifiers and pairs of neighbours, lower case.
+_WORD = "[a-z0-9_]+"
 
-    Zipped with its own tail, so that the tokens are not cut anew for every position.
-    """
-    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    return F.array_distinct(F.concat(tokens, F.array_compact(pairs)))
 
+def _keys(parts):
+    """Identifiers of a text and pairs of neighbours with what stands between, lower case.
 
-def _tokens(text):
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
+    ``parts`` are identifiers and separators in turn, and begin with an identifier.
+    """
+    pair = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.concat(a, b))
+    pair = F.zip_with(pair, F.slice(parts, F.lit(3), F.size(parts)), lambda a, b: F.concat(a, b))
+    word = lambda x: x.rlike(f"^{_WORD}")
+    return F.array_distinct(F.filter(F.concat(parts, pair), lambda x: x.isNotNull() & word(x)))
 
 
 def mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str]) -> DataFrame:
     """(key, on, name) where the text mentions the name: case ignored, word boundaries,
     backticks allowed.  ``key`` identifies a text.
 
-    Words travel without their text, so a long text does not multiply itself.  A name of
-    one identifier is decided by the join alone.  A longer name is joined on its first
-    two identifiers, which must be neighbours in the text, and only such pairs fetch the
-    text again for the pattern.
+    A text is cut into words once, and words travel without it, so a long text does not
+    multiply itself.  Names of one or two identifiers are decided by the join alone.  A
+    longer one is joined on its first two, and only such pairs fetch the text again for
+    the pattern.
     """
-    words = texts.select(*key, *on, F.explode(_keys(_tokens(c(text)))).alias("_word"))
-    parts = _tokens(c(name))
-    keyed = names.select(*on, name, F.concat_ws(" ", F.slice(parts, 1, 2)).alias("_word"),
-                         (c(name) == first_identifier(name)).alias("_single"))
-    pairs = words.join(keyed, [*on, "_word"]).select(*key, *on, name, "_single")
-    sure = pairs.where("_single").drop("_single")
-    open_pairs = pairs.where("NOT _single").drop("_single")
-    tested = open_pairs.join(texts.select(*key, *on, text), [*key, *on]).where(mentions_name(text, name))
-    return sure.unionByName(tested.drop(text))
+    # exploding a list of one keeps the optimizer from cutting the text anew for each use
+    cut = texts.select(*key, *on, F.explode(F.array(F.regexp_extract_all(
+        F.lower(c(text)), F.lit(f"{_WORD}|(?<=[a-z0-9_])[^a-z0-9_]+"), 0))).alias("_parts"))
+    words = cut.select(*key, *on, F.explode(_keys(c("_parts"))).alias("_word"))
+    start = F.regexp_extract(F.lower(c(name)), f"^{_WORD}(?:[^a-z0-9_]+{_WORD})?", 0)
+    keyed = names.select(*on, name, start.alias("_word"), (start == F.lower(c(name))).alias("_whole"))
+    pairs = words.join(keyed, [*on, "_word"]).select(*key, *on, name, "_whole")
+    longer = texts.join(pairs.where("NOT _whole").drop("_whole"), [*key, *on]).where(mentions_name(text, name))
+    if keyed.where("NOT _whole").isEmpty():
+        return pairs.drop("_whole")
+    return pairs.where("_whole").drop("_whole").unionByName(longer.select(*key, *on, name))
 
 
 def exact_mentions(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, on: list[str]) -> DataFrame:

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scoring import band
 from ..functions.text import contains_text, line_number, python_lines
 from ..session import materialise
-from .findings import keep_first
+from .findings import keep_first, keep_last
 
 c = F.col
 PAGE_SIZE = 25
-MAX_CONTEXT = 50
 
 
 def filtered(findings: DataFrame, *, text: str = "", status: str = "", severity: str = "", score="score") -> DataFrame:
@@ -46,40 +45,54 @@ def top(findings: DataFrame, order: list[Column], k: int = 0) -> DataFrame:
     return ordered.limit(k) if k else ordered
 
 
-SHALLOW_ROWS = 10_000
-
-
 def page(findings: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """One page, 1-based; a number out of range is moved to the nearest page.
 
-    Every task keeps at most the rows up to the page; a page far down is looked up in
-    the numbered list instead.  ``order`` should be total.
+    The list is put in order and numbered once, in ranges; its length and the page both
+    come from that table.  ``order`` must be total.
     """
-    pages = max(1, math.ceil(findings.count() / size))
-    number = min(max(1, number), pages)
-    first = (number - 1) * size
-    if first + size <= SHALLOW_ROWS:
-        return findings.orderBy(*order).offset(first).limit(size)
-    shown = numbered(findings, order, "_number").where(c("_number").between(first + 1, first + size))
+    ranges = _in_ranges(findings, order)
+    pages = max(1, math.ceil(ranges.total / size))
+    first = (min(max(1, number), pages) - 1) * size
+    shown = ranges.with_numbers("_number").where(c("_number").between(first + 1, first + size))
     return shown.orderBy("_number").drop("_number")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """Global 1-based row numbers without sorting everything in one task.
 
-    Rows are range-partitioned by the order and written; each partition numbers its
-    own rows and adds the number of rows in the partitions before it (one small row
-    per partition).  ``order`` should be total.
+    Rows are range-partitioned and sorted, numbered within their range as they pass,
+    and written; the number of rows in the ranges before is added on reading.  One
+    shuffle, as many ranges as the session's shuffles have.  ``order`` must be total.
     """
-    parts = df.sparkSession.sparkContext.defaultParallelism * 2
-    ranged = materialise(
-        df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_in", inside).join(F.broadcast(offsets), ["_part"]).withColumn(
-        name, c("_in") + c("_before")).drop("_part", "_in", "_before")
+    return _in_ranges(df, order).with_numbers(name)
+
+
+@dataclass(frozen=True)
+class _Ranges:
+    rows: DataFrame
+    sizes: list  # (range, rows), as many as there are ranges
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def with_numbers(self, name: str) -> DataFrame:
+        before, starts = 0, []
+        for part, n in self.sizes:
+            starts += [F.lit(part), F.lit(before)]
+            before += n
+        start = F.element_at(F.create_map(*starts), c("_part")) if starts else F.lit(0)
+        return self.rows.withColumn(name, c("_in") + start).drop("_part", "_in")
+
+
+def _in_ranges(df: DataFrame, order: list[Column]) -> _Ranges:
+    # the id holds the range in its upper and the place within it in its lower 33 bits
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialise(placed.withColumns({
+        "_part": F.shiftright("_id", 33), "_in": c("_id").bitwiseAND((1 << 33) - 1) + 1}).drop("_id"), "numbered")
+    sizes = rows.groupBy("_part").agg(F.max("_in").alias("n")).collect()
+    return _Ranges(rows, sorted((r["_part"], r.n) for r in sizes))
 
 
 LOCATOR = ["file", "line", "rule_id", "function"]
@@ -118,7 +131,7 @@ def snippets(requests: DataFrame, files: DataFrame, before: int = 2, after: int
     bounded list of line numbers, so it is an equi-join on the line; only requested
     files are split into lines.
     """
-    before, after = (max(0, min(n, MAX_CONTEXT)) for n in (before, after))
+    before, after = max(0, before), max(0, after)
     target = line_number("line")
     wanted = (
         requests.select("repo", "file", target.alias("target")).where(c("target").isNotNull()).distinct()
@@ -130,13 +143,15 @@ def snippets(requests: DataFrame, files: DataFrame, before: int = 2, after: int
         "repo", "file", "target", c("line").alias("num"), c("text").alias("code"), (c("line") == c("target")).alias("is_error"))
 
 
-def proof_details(findings: DataFrame, proofs: DataFrame) -> DataFrame:
+def proof_details(findings: DataFrame, proofs: DataFrame, order: str | None = None) -> DataFrame:
     """Each finding with its proof result, or a default when it was never run.
 
+    Of several results of a finding the one with the greatest ``order`` counts.
+
     ``findings``: (finding_id, status, proof_status, proof_tier);
     ``proofs``: (finding_id, proof_status, proof_tier, exit_code, stdout, error_message).
     """
-    p = proofs.select(
+    p = keep_last(proofs, ["finding_id"], order).select(
         "finding_id", c("proof_status").alias("p_status"), c("proof_tier").alias("p_tier"), "exit_code", "stdout",
         "error_message", F.lit(True).alias("has_proof"))
     joined = findings.select(

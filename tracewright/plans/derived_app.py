@@ -119,12 +119,13 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> ScanInput:
     spread = part.select("p_partkey", "p_brand", "p_type", "p_size").repartition(
         spark.sparkContext.defaultParallelism * 2, "p_partkey")
     modules = _files(spread, FILE, MODULE)
-    part.createOrReplaceTempView("_part")
-    grouped = lambda path, content, by: spark.sql(
-        f"SELECT {REPO} AS repo, {path} AS path, concat('/src/', {REPO}, '/', {path}) AS abs_path,"
-        f" CAST({content} AS BINARY) AS content FROM _part GROUP BY {by}"
-    )
+
+    def grouped(path: str, content: str, *by: str) -> DataFrame:
+        made = part.groupBy(*by).agg(F.expr(content).cast("binary").alias("content"))
+        return made.select(F.expr(REPO).alias("repo"), F.expr(path).alias("path"),
+                           F.expr(f"concat('/src/', {REPO}, '/', {path})").alias("abs_path"), "content")
+
     shared = grouped("'shared.py'", SHARED, "p_brand")
-    schema = grouped(f"concat('doc/', {DOC_FOLDER}, '/', {DOC_FOLDER}, '.json')", SCHEMA, "p_brand, p_type")
-    hooks = grouped("concat(lower(p_type), '/hooks.py')", HOOKS, "p_brand, p_type")
+    schema = grouped(f"concat('doc/', {DOC_FOLDER}, '/', {DOC_FOLDER}, '.json')", SCHEMA, "p_brand", "p_type")
+    hooks = grouped("concat(lower(p_type), '/hooks.py')", HOOKS, "p_brand", "p_type")
     return ScanInput(modules.unionByName(shared), schema, hooks)

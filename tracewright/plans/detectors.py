@@ -150,7 +150,7 @@ def _tables(ix: Index) -> DataFrame:
         ix.doctypes.select("repo", "name", "table_name", "is_submittable")
         .join(hooked, ["repo", "name"], "left").na.fill(False, ["query_hook", "permission_hook"])
     )
-    joined = candidate_mentions(queries, types, "query", "table_name", on=["repo"], prefix="tab")
+    joined = candidate_mentions(queries, types, ["path", "ord"], "query", "table_name", on=["repo"], prefix="tab")
     return _located(
         joined, "query", c("name").alias("doctype"), "table_name", "is_submittable", "query_hook",
         "permission_hook", "reachable",
@@ -187,10 +187,14 @@ def _classes(ix: Index) -> DataFrame:
 def _amended_classes(ix: Index) -> DataFrame:
     """Submit handlers of amendable types; of all types where a repository names none."""
     amendable = ix.doctypes.where("is_amendable").select("repo", c("name").alias("class_name"), F.lit(True).alias("amendable"))
-    naming = amendable.select("repo", F.lit(True).alias("some_amendable")).distinct()
+    # a repository counts once; its classes meet that row under spread keys, so that one
+    # large repository is not one task
+    spread = F.sequence(F.lit(0), F.lit(63))
+    naming = amendable.select("repo").distinct().select("repo", F.explode(spread).alias("salt"), F.lit(True).alias("some_amendable"))
     rows = (
         ix.facts.class_lifecycles.where("has_on_submit").join(amendable, ["repo", "class_name"], "left")
-        .join(naming, ["repo"], "left").na.fill(False, ["amendable", "some_amendable"])
+        .withColumn("salt", F.pmod(F.hash("path", "ord"), F.lit(64)))
+        .join(naming, ["repo", "salt"], "left").na.fill(False, ["amendable", "some_amendable"])
     )
     return _located(rows, "class_name", "methods", "amendable", "some_amendable", function="class_name")
 
@@ -462,24 +466,39 @@ def candidates(ix: Index, rules: list[str] | None = None, log=None) -> DataFrame
               if (d.rule_id in rules if rules is not None else d.enabled)]
     parts = []
     for name in dict.fromkeys(d.view for _, d in chosen):
-        try:
-            matches = F.filter(
-                F.array(*[_candidate(d, n) for n, d in chosen if d.view == name]), lambda m: m.isNotNull()
-            )
-            parts.append(_shape(ix.view(name).withColumn("m", F.explode(matches))))
-        except Exception as problem:  # one broken view must not stop the scan
-            if log is None:
-                raise
-            log(name, problem)
+        base = _unless_broken(lambda: ix.view(name), name, log)
+        own = [(n, d) for n, d in chosen if d.view == name]
+        if base is not None and log is not None:  # a broken detector does not take the others of its view along
+            own = [(n, d) for n, d in own
+                   if _unless_broken(lambda: base.select(_candidate(d, n)), d.rule_id, log) is not None]
+        if base is not None and own:
+            matches = F.filter(F.array(*[_candidate(d, n) for n, d in own]), lambda m: m.isNotNull())
+            parts.append(_shape(base.withColumn("m", F.explode(matches))))
     for position, (rule_id, build) in enumerate(_custom.items(), len(DETECTORS)):
         if rules is None or rule_id in rules:
-            parts.append(_own(ix, rule_id, build, position))
+            part = _unless_broken(lambda: _own(ix, rule_id, build, position), rule_id, log)
+            parts += [part] if part is not None else []
+    if not parts:
+        none = ix.facts.rows.sparkSession.range(0).select(
+            *[F.lit("").alias(x) for x in ("repo", "file", "function", "code_location_hash", "evidence")], F.lit(0).alias("line"))
+        parts = [_own(ix, "", lambda _: none, 0)]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def _unless_broken(build, name, log):
+    """What ``build`` makes; with a log, a failure is told there and gives None."""
+    try:
+        return build()
+    except Exception as problem:
+        if log is None:
+            raise
+        log(name, problem)
+        return None
+
+
 def _own(ix, rule_id, build, position):
     df = build(ix)
     given = lambda name, default: c(name) if name in df.columns else F.lit(default)

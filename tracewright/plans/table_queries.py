@@ -138,29 +138,40 @@ def dispatch_lookup(spark, sf):
 # ---- hook declarations --------------------------------------------------------------------------
 @query("hook_collisions", """
 SELECT p_type AS doctype, 'on_' || p_size AS event, count(DISTINCT p_brand) AS n_apps, count(*) AS n_handlers,
-  arg_min(p_brand, row(p_brand, p_partkey)) AS first_path FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1""")
+  arg_min(p_brand, row(p_brand, p_partkey)) AS first_path,
+  string_agg(p_brand || ':' || p_name, ',' ORDER BY p_brand, p_partkey) AS handlers FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1""")
 def hook_collisions(spark, sf):
     handlers = _t(spark, sf, "part").select(
         F.lit("r").alias("repo"), c("p_brand").alias("app"), c("p_type").alias("doctype"), F.expr("concat('on_', p_size)").alias("event"),
         c("p_name").alias("handler"), F.struct(c("p_brand").alias("file"), c("p_partkey").alias("pos")).alias("ord"), c("p_brand").alias("abs_path"))
-    return hk.collisions(handlers).drop("repo")
+    listed = F.array_join(F.transform("handlers", lambda h: F.concat_ws(":", h["app"], h["handler"])), ",")
+    return hk.collisions(handlers).withColumn("handlers", listed).drop("repo")
 
 
 # ---- text and path predicates --------------------------------------------------------------------
+_IDENTIFIER = "[A-Za-z0-9_]+"
+
+
 def _words(spark, sf):
-    """Names to look for: the first word and the first two words of every item."""
-    items = _t(spark, sf, "benchmark")
-    pick = lambda pattern: items.select(F.regexp_extract("text", pattern, 1).alias("word"))
-    return pick("([A-Za-z0-9_]+)").union(pick("^([A-Za-z0-9_]+ [A-Za-z0-9_]+)")).where("word <> ''").distinct()
+    """Names to look for: every identifier of the items, and every two with one space between."""
+    runs = F.explode(F.regexp_extract_all("text", F.lit(f"{_IDENTIFIER}(?: {_IDENTIFIER})*"), 0)).alias("run")
+    words = _t(spark, sf, "benchmark").select(runs).select(F.split("run", " ").alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return words.select(F.explode(F.concat("w", F.array_compact(pairs))).alias("word")).distinct()
+
 
+def _runs_sql(column: str) -> str:
+    return f"""SELECT {column}, string_split(unnest(regexp_extract_all(text, '{_IDENTIFIER}(?: {_IDENTIFIER})*')), ' ') AS w"""
 
-_WORDS = """w AS (SELECT DISTINCT word FROM (SELECT regexp_extract(text, '([A-Za-z0-9_]+)', 1) AS word FROM benchmark
-  UNION ALL SELECT regexp_extract(text, '^([A-Za-z0-9_]+ [A-Za-z0-9_]+)', 1) FROM benchmark) WHERE word <> '')"""
+
+_WORDS = f"""b AS (SELECT w FROM ({_runs_sql('item_id')} FROM benchmark)),
+w AS (SELECT unnest(w) AS word FROM b UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b))"""
 
 
 @query("regex_table_mention", f"""
-WITH {_WORDS} SELECT doc_id, word FROM documents, w
-WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '([^A-Za-z0-9_]|$)', 'i')""")
+WITH {_WORDS}, d AS ({_runs_sql('doc_id')} FROM documents),
+t AS (SELECT doc_id, lower(unnest(w)) AS word FROM d UNION SELECT doc_id, lower(w[i] || ' ' || w[i + 1]) FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
+SELECT doc_id, w.word FROM t JOIN w ON t.word = lower(w.word)""")
 def regex_table_mention(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     return mn.mentions(docs, _words(spark, sf), ["doc_id"], "text", "word", on=[]).select("doc_id", "word")
@@ -392,17 +403,18 @@ def display_numbers(spark, sf):
 # ---- ledger and reports: labelled documents ------------------------------------------------------------
 _LEDGER_SQL = """led AS (SELECT 'd' || doc_id AS id, 'FR-' || upper(lang) || '-' || source AS taxonomy_id, source AS rule_id, lang AS rule_version,
   CASE WHEN n_chars > 3000 THEN 'big' WHEN n_chars > 1000 THEN 'mid' ELSE 'small' END AS repo,
-  CASE WHEN quality = 1 AND toxic = 0 THEN 'proven' WHEN quality = 1 THEN 'merged' WHEN toxic = 1 THEN 'candidate' ELSE 'false_positive' END AS status,
+  CASE WHEN quality = 1 AND toxic = 0 THEN 'proven' WHEN quality = 1 THEN 'merged' WHEN toxic = 1 OR quality IS NULL THEN 'candidate' ELSE 'false_positive' END AS status,
   CASE lang WHEN 'en' THEN 'rce' WHEN 'fr' THEN 'data_exposure' ELSE 'availability' END AS impact_class, toxic, quality, n_chars, text
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 def _ledger(spark, sf):
-    docs = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), ["doc_id"])
+    """Documents as ledger rows; one without a label is a candidate."""
+    docs = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), ["doc_id"], "left")
     return docs.selectExpr(
         "concat('d', doc_id) AS id", "concat('FR-', upper(lang), '-', source) AS taxonomy_id", "source AS rule_id", "lang AS rule_version",
         "CASE WHEN n_chars > 3000 THEN 'big' WHEN n_chars > 1000 THEN 'mid' ELSE 'small' END AS repo",
-        "CASE WHEN quality = 1 AND toxic = 0 THEN 'proven' WHEN quality = 1 THEN 'merged' WHEN toxic = 1 THEN 'candidate' ELSE 'false_positive' END AS status",
+        "CASE WHEN quality = 1 AND toxic = 0 THEN 'proven' WHEN quality = 1 THEN 'merged' WHEN toxic = 1 OR quality IS NULL THEN 'candidate' ELSE 'false_positive' END AS status",
         "CASE lang WHEN 'en' THEN 'rce' WHEN 'fr' THEN 'data_exposure' ELSE 'availability' END AS impact_class", "toxic", "quality", "n_chars", "text",
         "substr(sha2(text, 256), 1, 16) AS code_location_hash")
 
@@ -450,7 +462,7 @@ def impact_distribution(spark, sf):
 
 
 def _results(spark, sf):
-    """One proof result per labelled document longer than 500 characters."""
+    """Proof results of the documents longer than 500 characters."""
     return _ledger(spark, sf).where("n_chars > 500").selectExpr(
         "id AS finding_id", "CASE WHEN toxic = 1 THEN 'failed' WHEN n_chars > 4000 THEN 'dry_run' WHEN n_chars > 2000 THEN 'skipped' ELSE 'passed' END AS status",
         "2 AS proof_tier", "substr(code_location_hash, 1, 8) AS reproducer_hash")
@@ -472,20 +484,28 @@ def ledger_transition(spark, sf):
     return changed.select("id", "status", "proof_tier", F.size("status_history").alias("n_history"), "proven")
 
 
-@query("ledger_insert_absent", """
-SELECT CAST(doc_id AS VARCHAR) AS id, 'labels' AS origin FROM labels UNION ALL
-SELECT CAST(doc_id AS VARCHAR), 'documents' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+_ITEM_ORIGIN = "concat(l_returnflag, '-', l_linenumber, '-', l_partkey)"
+
+
+@query("ledger_insert_absent", f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, 'documents' AS origin FROM documents UNION ALL
+SELECT CAST(l_orderkey AS VARCHAR), min({_ITEM_ORIGIN}) FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents) GROUP BY 1""")
 def ledger_insert_absent(spark, sf):
-    old = _t(spark, sf, "labels").select(c("doc_id").cast("string").alias("id"), F.lit("labels").alias("origin"))
-    new = _t(spark, sf, "documents").select(c("doc_id").cast("string").alias("id"), F.lit("documents").alias("origin"))
+    """Many new rows of one id: the first comes in."""
+    old = _t(spark, sf, "documents").select(c("doc_id").cast("string").alias("id"), F.lit("documents").alias("origin"))
+    new = _t(spark, sf, "lineitem").select(c("l_orderkey").cast("string").alias("id"), F.expr(_ITEM_ORIGIN).alias("origin"))
     return lg.insert_absent(old, new)
 
 
-@query("upsert", """
-SELECT doc_id, 'labels' AS origin FROM labels UNION ALL SELECT doc_id, 'documents' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("upsert", f"""
+WITH n AS (SELECT l_orderkey AS id, {_ITEM_ORIGIN} AS origin, l_shipdate AS changed, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_shipdate DESC, {_ITEM_ORIGIN} DESC) AS nr FROM lineitem)
+SELECT id, origin, changed FROM n WHERE nr = 1 UNION ALL SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT id FROM n)""")
 def upsert(spark, sf):
-    old = _t(spark, sf, "documents").select("doc_id", F.lit("documents").alias("origin"))
-    return lg.upsert(old, _t(spark, sf, "labels").select("doc_id", F.lit("labels").alias("origin")), ["doc_id"])
+    """Several changes of one key: the last wins."""
+    old = _t(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_orderstatus").alias("origin"), c("o_orderdate").alias("changed"))
+    new = _t(spark, sf, "lineitem").select(c("l_orderkey").alias("id"), F.expr(_ITEM_ORIGIN).alias("origin"), c("l_shipdate").alias("changed"))
+    return lg.upsert(old, new, ["id"], "changed")
 
 
 @query("ledger_violations", """
@@ -565,29 +585,36 @@ def proof_summary(spark, sf):
     return rp.proof_summary(_scan_findings(spark, sf))
 
 
-@query("proof_detail", f"""WITH p AS (SELECT l_orderkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'skipped' ELSE 'passed' END AS ps, CASE WHEN l_returnflag = 'A' THEN NULL ELSE 0 END AS ec,
+# every line of an order is a proof result of it; the last one counts
+_LAST_ITEM = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1"
+
+
+def _item_results(spark, sf):
+    return _t(spark, sf, "lineitem").withColumn("nr", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@query("proof_detail", f"""WITH p AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'skipped' ELSE 'passed' END AS ps, CASE WHEN l_returnflag = 'A' THEN NULL ELSE 0 END AS ec,
     CASE WHEN l_linestatus = 'F' THEN 'out' ELSE '' END AS so, CASE WHEN l_quantity > 30 THEN 'No bench configured here' WHEN l_quantity > 15 THEN 'no reproducer' WHEN l_quantity > 5 THEN 'x' END AS em
-    FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) = 1)), j AS (SELECT o_orderkey, {_STATE} AS s, p.* FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+    FROM lineitem QUALIFY {_LAST_ITEM}), j AS (SELECT o_orderkey, {_STATE} AS s, p.* FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
   SELECT o_orderkey AS finding_id, coalesce(ps, s) AS proof_status, CASE WHEN l_orderkey IS NULL THEN 0 ELSE 1 END AS proof_tier, ec AS exit_code, coalesce(so, '') AS stdout,
   CASE WHEN l_orderkey IS NULL THEN CASE WHEN s = 'candidate' THEN 'not run' END WHEN ps = 'skipped' OR (ec IS NULL AND so = '') THEN
     CASE WHEN em LIKE 'No bench%' THEN 'no server configured' WHEN em = 'no reproducer' THEN 'no strategy for this rule' ELSE coalesce(em, 'skipped') END END AS skip_reason FROM j""")
 def proof_detail(spark, sf):
-    first = _t(spark, sf, "lineitem").where("l_linenumber = 1")
-    single = gr.exactly_one(first, ["l_orderkey"], "l_linenumber").select("l_orderkey")
-    proofs = first.join(single, ["l_orderkey"]).selectExpr(
+    proofs = _item_results(spark, sf).selectExpr(
         "l_orderkey AS finding_id", "CASE WHEN l_returnflag = 'R' THEN 'skipped' ELSE 'passed' END AS proof_status", "1 AS proof_tier",
         "CASE WHEN l_returnflag = 'A' THEN NULL ELSE 0 END AS exit_code", "CASE WHEN l_linestatus = 'F' THEN 'out' ELSE '' END AS stdout",
-        "CASE WHEN l_quantity > 30 THEN 'No bench configured here' WHEN l_quantity > 15 THEN 'no reproducer' WHEN l_quantity > 5 THEN 'x' END AS error_message")
+        "CASE WHEN l_quantity > 30 THEN 'No bench configured here' WHEN l_quantity > 15 THEN 'no reproducer' WHEN l_quantity > 5 THEN 'x' END AS error_message", "nr")
     found = _scan_findings(spark, sf).select("finding_id", "status", F.lit(None).cast("string").alias("proof_status"), F.lit(0).alias("proof_tier"))
-    return vw.proof_details(found, proofs)
+    return vw.proof_details(found, proofs, "nr")
 
 
-@query("status_update", f"""SELECT o_orderkey AS finding_id, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 200000 THEN 'proven' WHEN o_totalprice > 100000 THEN 'refuted'
-  WHEN o_totalprice > 50000 THEN 'skipped' ELSE 'error' END ELSE {_STATE} END AS status FROM orders""")
+@query("status_update", f"""WITH p AS (SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem QUALIFY {_LAST_ITEM})
+  SELECT o_orderkey AS finding_id, CASE WHEN l_orderkey IS NULL THEN {_STATE} WHEN l_linestatus = 'O' THEN 'error'
+  WHEN l_returnflag = 'A' THEN 'proven' WHEN l_returnflag = 'N' THEN 'refuted' ELSE 'skipped' END AS status FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""")
 def status_update(spark, sf):
-    results = _t(spark, sf, "orders").where("o_orderstatus = 'F'").select(c("o_orderkey").alias("finding_id"), F.expr(
-        "CASE WHEN o_totalprice > 200000 THEN 'passed' WHEN o_totalprice > 100000 THEN 'FAILED' WHEN o_totalprice > 50000 THEN 'Skipped' ELSE 'odd' END").alias("proof_status"))
-    return lg.update_status(_scan_findings(spark, sf), results).select("finding_id", "status")
+    results = _item_results(spark, sf).select(c("l_orderkey").alias("finding_id"), F.expr(
+        "CASE WHEN l_linestatus = 'O' THEN 'odd' WHEN l_returnflag = 'A' THEN 'passed' WHEN l_returnflag = 'N' THEN 'FAILED' ELSE 'Skipped' END").alias("proof_status"), "nr")
+    return lg.update_status(_scan_findings(spark, sf), results, "nr").select("finding_id", "status")
 
 
 @query("keep_newest", "SELECT o_orderkey FROM orders ORDER BY (o_orderdate, o_orderkey) DESC LIMIT 1000")
