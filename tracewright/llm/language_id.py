@@ -207,14 +207,14 @@ def _sample(df: DataFrame, text_col: str, lang_col: str, teach: Column, train_ch
     text = F.col(text_col).cast("string")
     rows = df.filter(teach & F.col(lang_col).isNotNull() & text.isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    n_langs = totals.count()
-    bound = F.lit(train_chars / max(n_langs, 1))
+    # one number per language, as the models themselves; the scan then drops rows by it
+    totals = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    bound = F.lit(train_chars / max(len(totals), 1))
+    share = F.create_map(*(F.lit(x) for lang, chars in totals.items() for x in (lang, 2.5 * train_chars / len(totals) / max(chars, 1))))
     # a random 64-bit order; the filter keeps about twice the bound before rows are ranked
-    order = F.xxhash64("text")
-    share = 2.5 * bound / F.greatest("chars", F.lit(1))
-    near = rows.withColumn("order", order).join(totals, "lang").filter(
-        (F.col("order") / F.lit(float(1 << 64)) + 0.5 < share))
+    near = rows.withColumn("order", F.xxhash64("text"))
+    if totals:
+        near = near.filter(F.col("order") / F.lit(float(1 << 64)) + 0.5 < F.element_at(share, F.col("lang")))
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("order", "text")
                                           .rowsBetween(Window.unboundedPreceding, -1))
     return near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bound).select(
