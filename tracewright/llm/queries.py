@@ -33,7 +33,17 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+    repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (s)),
+    words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT words.doc_id, count(g.p) AS n_removed, string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE g.p IS NULL) AS t
+             FROM words LEFT JOIN gone g ON g.doc_id = words.doc_id AND g.p = words.p GROUP BY words.doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""")
 def op1_substring_dedup(spark, sf_dir):
     found = substring_dedup(table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -235,7 +245,20 @@ def op7_url_filter(spark, sf_dir):
     return filter_urls(captures, dated_entries(pages))
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", """
+    WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+    windows AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS s
+                FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+    repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+    hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN repeated USING (s)),
+    runs AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+    pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans),
+    kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS stop,
+                    string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS t FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+           sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""")
 def op3_suffix_dedup(spark, sf_dir):
     found = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
