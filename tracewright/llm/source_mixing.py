@@ -31,6 +31,8 @@ from .exchange import checkpointed, shuffle_partitions
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 50_000
 MAX_STEPS = 60
+#: parts of a source's rows that meet its one row of totals apart
+SALTS = 64
 #: rounds of single-copy corrections
 CORRECTIONS = 4
 
@@ -109,6 +111,12 @@ def tilts(counts: DataFrame, targets: DataFrame, cap: int = 2, tolerance: float
     return scale.select("key").join(state.select("key", "tilt"), "key", "left")
 
 
+def _with_source(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows with the columns of their source; a large source's rows are dealt out."""
+    spread = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("size", "nr"), F.lit(SALTS))).join(spread, ["key", "salt"]).drop("salt")
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
     """(id, source, size, source_size, target, rate, copies, taken) of every document."""
@@ -143,12 +151,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         change = F.when(F.col("missing") > 0, 1).otherwise(-1)
         able = F.when(F.col("missing") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         left = F.abs(F.col("missing") - change * F.col("size"))
-        best = (rounded.join(missing, "key").filter(able & (left < F.abs("missing"))).groupBy("key").agg(
+        best = (_with_source(rounded, missing).filter(able & (left < F.abs("missing"))).groupBy("key").agg(
             F.min(F.struct(left.alias("left"), F.col("size").alias("size"), F.col("nr").alias("nr"), change.alias("change"))).alias("best"))
             .select("key", F.col("best.size").alias("size"), F.col("best.nr").alias("nr"), F.col("best.change").alias("change")))
         rounded = rounded.join(best, ["key", "size", "nr"], "left").withColumn(
             "copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
         rounded = checkpointed(rounded)
-    return rounded.join(targets.select("key", "source_size", "target"), "key").select(
+    return _with_source(rounded, targets.select("key", "source_size", "target")).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).alias("taken"))
