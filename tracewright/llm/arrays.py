@@ -160,7 +160,7 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def parts(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def parts(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Consecutive slices of a batch with about ``limit`` bytes of text each (one row at least)."""
     lengths = batch.column(column).cast(pa.large_binary())
     _, offsets = flat(lengths)

@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, shingle: int, half: int, rows: int) -> DataFrame
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text", 2 << 20):
+            for part in parts(batch, "text", 1 << 19):
                 sets, offsets = shingle_sets(part.column("text"), shingle)
                 sizes = np.diff(offsets)
                 sums = []
@@ -277,7 +277,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text", 2 << 20):
+            for part in parts(batch, "text", 1 << 19):
                 sets, offsets = shingle_sets(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([
                     part.column("class"),
