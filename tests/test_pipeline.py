@@ -13,6 +13,7 @@ from tracewright import __main__ as cli
 from tracewright import config, sinks
 from tracewright.operators import fixes
 from tracewright.operators.ledger import ledger_rows
+from tracewright.plans.detectors import candidates
 from tracewright.plans.scan import ScanInput, build_index, call_graph
 from tracewright.sources import doctypes as dt
 from tracewright.sources import files as src
@@ -144,6 +145,15 @@ def test_baseline_round_trip(spark, found, tmp_path):
     assert sinks.read_baseline(spark, str(document)).count() == sinks.read_baseline(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_payload_is_one_document(spark, found, tmp_path):
+    groups = {"candidates": found, "proven": found.limit(0), "again": found.where("rule_id = 'FR-PERM-001'")}
+    sinks.write_payload(groups, str(tmp_path / "payload"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "payload").glob("part-*")))
+    document = json.loads(text)
+    assert list(document) == list(groups) and document["proven"] == []
+    assert sorted(x["id"] for x in document["candidates"]) == sorted(r.id for r in found.collect())
+
+
 def test_tables_and_ledger_folder(spark, found, tmp_path):
     sinks.write_json(found, str(tmp_path / "json"), by_repo=True)
     assert spark.read.json(str(tmp_path / "json")).count() == found.count() and (tmp_path / "json" / "repo=local").is_dir()
@@ -163,24 +173,58 @@ def test_tables_and_ledger_folder(spark, found, tmp_path):
 
 # ---- fixes -------------------------------------------------------------------------------------------
 def test_fix_previews_and_rechecks(spark, folder, found):
-    files = src.read_contents(src.python_files(src.list_files(spark, {"local": folder})))
-    patches = {r.rule_id: r for r in fixes.fix_previews(found, files).collect()}
+    names = src.python_files(src.list_files(spark, {"local": folder}))
+    patches = {r.rule_id: r for r in fixes.fix_previews(found, names).collect()}
     assert set(patches) == {"FR-PERM-001", "FR-HOOK-001", "FR-HOOK-004", "FR-HOOK-006"}
     assert all(p.is_valid for p in patches.values())
     assert "+    frappe.only_for('System Manager')\n" in patches["FR-PERM-001"].diff and patches["FR-PERM-001"].start_line == 5
     assert "+\t\texcept Exception:\n" in patches["FR-HOOK-006"].diff
     assert "deduplicate=True)" in patches["FR-HOOK-004"].modified_source
+    files = src.from_folders(spark, {"local": folder})
     whole = {r.file: r for r in fixes.fixed_files(found, files).collect()}
     assert whole["shop/x.py"].n_edits == 3 and whole["shop/x.py"].is_valid
-    before = {r.finding_id: r.status for r in fixes.recheck(found, files).collect()}
     fixed = files.join(spark.createDataFrame([(r.file, r.fixed) for r in whole.values()], "path string, fixed string"), ["path"], "left").select(
         "repo", "path", "abs_path", F.coalesce(F.encode("fixed", "UTF-8"), "content").alias("content"))
-    after = {r.finding_id: r.status for r in fixes.recheck(found, fixed).collect()}
     rules = {r.id: r.rule_id for r in found.collect()}
-    state = lambda rule, results: {s for i, s in results.items() if rules[i] == rule}
-    assert state("FR-HOOK-001", before) == state("FR-HOOK-004", before) == state("FR-HOOK-006", before) == {"passed"}
-    assert state("FR-HOOK-001", after) == state("FR-HOOK-004", after) == {"failed"}
-    assert state("FR-PERM-001", before) == {"skipped"}
+
+    def state(rule, sources):
+        again = candidates(build_index(ScanInput.of_files(sources)), rules=list(fixes.RECHECKED))
+        return {r.status for r in fixes.recheck(found, again).collect() if rules[r.finding_id] == rule}
+    assert state("FR-HOOK-001", files) == state("FR-HOOK-004", files) == state("FR-HOOK-006", files) == {"passed"}
+    assert state("FR-HOOK-001", fixed) == state("FR-HOOK-004", fixed) == {"failed"}
+    assert state("FR-PERM-001", files) == {"skipped"}
+
+
+@pytest.mark.parametrize("rule, line, before, after", [
+    ("FR-HOOK-004", 1, "frappe.enqueue('m.f')  # later (soon)\n", "frappe.enqueue('m.f', deduplicate=True)  # later (soon)\n"),
+    ("FR-HOOK-004", 2, "x = frappe.enqueue(\n    'é',  # one)\n    queue='long'\n)\n", "x = frappe.enqueue(\n    'é',  # one)\n    queue='long', deduplicate=True\n)\n"),
+    ("FR-HOOK-004", 1, "frappe.enqueue('m.f', (1),)\r\n", "frappe.enqueue('m.f', (1), deduplicate=True)\r\n"),
+    ("FR-HOOK-004", 1, "é = enqueue(); frappe.enqueue('a', job_id=1)\n", "é = enqueue(deduplicate=True); frappe.enqueue('a', job_id=1)\n"),
+    ("FR-HOOK-004", 1, "frappe.enqueue('a', job_id=1)\n", None),
+    ("FR-HOOK-006", 3, "try:\n    f()\nexcept : # any\n    pass\n", "try:\n    f()\nexcept Exception : # any\n    pass\n"),
+    ("FR-HOOK-006", 3, "try:\n    f()\nexcept Exception:\n    pass\n", None),
+    ("FR-PERM-001", 3, "class A:\n    def f(self): pass\n@w\ndef f():\n    'text'\n    pass\n", "class A:\n    def f(self): pass\n@w\ndef f():\n    'text'\n    frappe.only_for('System Manager')\n    pass\n"),
+    ("FR-PERM-001", 1, "def f():\n    'text'", "def f():\n    'text'\n    frappe.only_for('System Manager')"),
+    ("FR-PERM-001", 1, "def f(): pass\n", None), ("FR-PERM-001", 9, "def f(): pass\n", None), ("FR-PERM-001", 1, "def f(:\n", None),
+    ("FR-HOOK-001", 4, "class A:\n  def on_cancel(self): pass\nclass B:\n  def on_submit(self):\n    pass\nx = 1\n",
+     "class A:\n  def on_cancel(self): pass\nclass B:\n  def on_submit(self):\n    pass\n\n  def on_cancel(self):\n      # undo what on_submit does\n      pass\nx = 1\n")])
+def test_edits(rule, line, before, after):
+    from tracewright.sources import source_edits as edits
+
+    edit, = edits.edits_of(before, [(rule, line)])
+    assert (edit and edits.apply_edits(before, [edit])) == after
+    assert after is None or edits.is_sound(before, after)
+
+
+def test_one_bad_file_does_not_end_the_job(spark, packed):
+    deep = "x = " + "+".join(["1"] * 50_000) + "\n"
+    files = packed({"r": {"a.py": "def f(a=[]):\n    pass\n", "b.py": b"\xff\xfe", "hooks.py": "doc_events = " + "a." * 20_000 + "b\n", "d.py": deep}})
+    given = src.from_table(files).withColumn("content", F.when(F.col("path") != "d.py", F.col("content")))
+    index = build_index(ScanInput.of_files(given))
+    assert {r.file for r in candidates(index).collect()} >= {"a.py"}
+    assert {r.path for r in index.facts.parse_errors.select("path").collect()} == {"b.py", "d.py", "hooks.py"}
+    some = spark.createDataFrame([("r", "b.py", "i", "FR-HOOK-006", 1)], "repo string, file string, id string, rule_id string, line int")
+    assert fixes.fix_previews(some, src.from_table(files)).collect() == []
 
 
 # ---- configuration -------------------------------------------------------------------------------------

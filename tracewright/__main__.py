@@ -108,13 +108,15 @@ def _fp_report(spark, args) -> int:
 def _fix(spark, args) -> int:
     from . import scan
     from .operators.fixes import fix_previews
-    from .sources.files import list_files, python_files, read_contents
+    from .session import work_tables
+    from .sources.files import list_files, python_files
 
-    found = scan(spark, args.path, rules=[args.rule] if args.rule else None)
-    if args.finding_id:
-        found = found.where(F.col("id") == args.finding_id)
-    files = read_contents(python_files(list_files(spark, {"local": args.path})))
-    fix_previews(found, files).write.mode("overwrite").json(args.output)
+    with work_tables(spark):
+        found = scan(spark, args.path, rules=[args.rule] if args.rule else None)
+        if args.finding_id:
+            found = found.where(F.col("id") == args.finding_id)
+        names = python_files(list_files(spark, {"local": args.path}))
+        fix_previews(found, names).write.mode("overwrite").json(args.output)
     return 0
 
 

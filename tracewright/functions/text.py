@@ -84,8 +84,8 @@ def symbol_function(symbol_id) -> Column:
 
 def spaced_class_name(name) -> Column:
     """``POSInvoice`` -> ``POS Invoice``: a run of capitals stays one word."""
-    runs = F.regexp_replace(col(name), "(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return F.regexp_replace(runs, "(?<=[a-z0-9])(?=[A-Z])", " ")
+    # before a capital: after a small letter or digit, or where a run of capitals ends in a word
+    return F.regexp_replace(col(name), "(?=[A-Z])(?<=[a-z0-9])|(?=[A-Z][a-z])(?<=[A-Z])", " ")
 
 
 # ---- tokens and mentions -----------------------------------------------------
@@ -100,6 +100,7 @@ def first_identifier(text) -> Column:
 def mentions_name(text, name) -> Column:
     """``name`` occurs in ``text`` as a whole (case ignored, optional backticks)."""
     quoted = F.regexp_replace(col(name), r"([^A-Za-z0-9_ ])", r"\\$1")
+    # fixed values: what stands around a name in a text that mentions it
     pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])`?"), quoted, F.lit("`?(?![A-Za-z0-9_])"))
     return F.regexp_like(col(text), pattern)
 

@@ -142,6 +142,7 @@ def silenced_on_line(candidates: DataFrame, lines: DataFrame, directive: str = D
 
 def directive_rules(text, directive: str = DIRECTIVE) -> Column:
     """Rule ids the comments of a line silence: NULL without a comment, [] for all."""
+    # fixed values: the form of the comment
     pattern = rf"(?i)#\s*{directive}\s*:\s*ignore(?:\s+([A-Z0-9 ,\-]+))?"
     lists = F.regexp_extract_all(col(text), F.lit(pattern), 1)
     ids = F.flatten(F.transform(lists, lambda l: F.split(l, r"[\s,]+")))

@@ -32,6 +32,7 @@ class CallGraph:
     edges: DataFrame
     members: DataFrame
     unresolved: DataFrame | None = None
+    is_stored: bool = False
 
     @property
     def adjacency(self) -> DataFrame:
@@ -141,8 +142,15 @@ def build_call_graph(facts: Facts, handlers: DataFrame | None = None) -> CallGra
 def stored(graph: CallGraph) -> CallGraph:
     """The graph with its distinct edges and members written once: a traversal joins
     them in every hop, and should neither plan nor compute them again each time."""
+    if graph.is_stored:
+        return graph
     adjacency = materialise(graph.adjacency, "adjacency")
-    return CallGraph(adjacency, materialise(graph.members, "members"), graph.unresolved)
+    return CallGraph(adjacency, materialise(graph.members, "members"), graph.unresolved, True)
+
+
+def callees(graph: CallGraph) -> DataFrame:
+    """(repo, src, callees): the distinct direct callees of each caller, in order."""
+    return graph.adjacency.groupBy("repo", "src").agg(F.array_sort(F.collect_set("dst")).alias("callees"))
 
 
 def _labelled(edges: DataFrame, kind: str) -> DataFrame:
@@ -151,6 +159,7 @@ def _labelled(edges: DataFrame, kind: str) -> DataFrame:
 
 # ---- traversal ---------------------------------------------------------------------
 HUB_PARTS = 32
+FOUND_PARTS = 4
 
 
 def _salted(members: DataFrame) -> DataFrame:
@@ -192,7 +201,8 @@ def reach_all(graph: CallGraph, seeds: DataFrame) -> DataFrame:
     """Everything reachable from the seeds (seeds included), cycles allowed.
 
     Semi-naive: each round joins only the nodes found last, and every round's new
-    nodes are written once, so neither the plan nor the repeated work grows.
+    nodes are written once.  What was found is kept in at most ``FOUND_PARTS`` tables, merged
+    when there are more, so neither the plan nor the files to read grow with the rounds.
     """
     graph = stored(graph)
     adjacency, members = graph.adjacency, _salted(graph.members)
@@ -206,7 +216,7 @@ def reach_all(graph: CallGraph, seeds: DataFrame) -> DataFrame:
         new = materialise(_through_hubs(hop, members).join(known, ["repo", "src"], "left_anti"), "reach")
         if new.isEmpty():
             return known.select("repo", c("src").alias("symbol_id"))
-        found.append(new)
+        found = [*found, new] if len(found) < FOUND_PARTS else [materialise(known.unionByName(new), "reach")]
         frontier = new
 
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sinks
 from ..operators import fixes, ledger as lg
+from ..operators import rules as rl
 from ..sources import doctypes as dt
+from ..sources import files as src
+from ..sources.python_source import syntax_rows
 from . import derived_app as app
 from .catalog import _ENABLED, derived_index, query
 from .detector_oracle import union_sql, with_base
-from .scan import call_graph, findings
+from .detectors import DETECTORS, candidates
+from .scan import ScanInput, build_index, call_graph, findings
 
 c = F.col
 
@@ -136,27 +141,91 @@ def _python_files(spark, sf):
     return app.derived_sources(spark, sf).python
 
 
-@query("recheck_findings", with_base(f"""SELECT rule_id, "function", file, repo, CASE
-  WHEN rule_id IN ('FR-HOOK-001', 'FR-HOOK-004', 'FR-HOOK-006', 'FR-HOOK-007', 'FR-PERF-001', 'FR-DATA-001') THEN 'passed'
-  WHEN rule_id = 'FR-WKFL-003' THEN 'passed'
-  WHEN rule_id = 'FR-HOOK-003' THEN 'failed' ELSE 'skipped' END AS status FROM ({union_sql([
-      r for r in _ENABLED if r in ('FR-HOOK-001', 'FR-HOOK-004', 'FR-HOOK-006', 'FR-HOOK-007', 'FR-PERF-001', 'FR-DATA-001', 'FR-WKFL-003', 'FR-SQLI-001')])})"""))
-def recheck_findings(spark, sf):
-    """Static re-check of findings (a rule without a re-check is skipped).  The
-    endpoints of HOOK-003 also save the document, so they are left to the tests."""
-    ids = ["FR-HOOK-001", "FR-HOOK-004", "FR-HOOK-006", "FR-HOOK-007", "FR-PERF-001", "FR-DATA-001", "FR-WKFL-003", "FR-SQLI-001"]
-    found = findings(derived_index(spark, sf), rules=ids)
-    checked = fixes.recheck(found, _python_files(spark, sf)).select(c("finding_id").alias("id"), c("status").alias("outcome"))
-    return found.join(checked, ["id"]).select("rule_id", "function", "file", "repo", c("outcome").alias("status"))
+_RECHECKED = [r for r in _ENABLED if r in fixes.RECHECKED]
 
 
-@query("fix_previews", with_base(f"""SELECT rule_id, file, is_valid, start_line FROM (
-  SELECT rule_id, file, true AS is_valid, CASE rule_id WHEN 'FR-HOOK-001' THEN 30 WHEN 'FR-HOOK-004' THEN 26 ELSE line + 1 END AS start_line
-  FROM ({union_sql(['FR-HOOK-001', 'FR-HOOK-004', 'FR-PERM-001'])}))"""))
+@query("recheck_findings", with_base(f"""SELECT rule_id, "function", file, line, repo, CASE WHEN rule_id = 'FR-SQLI-001' THEN 'skipped'
+  WHEN coalesce(p_retailprice > 1200, false) THEN 'failed' ELSE 'passed' END AS status
+  FROM ({union_sql([*_RECHECKED, 'FR-SQLI-001'])}) LEFT JOIN (SELECT {app.REPO} AS repo, {app.FILE} AS file, p_retailprice FROM part) USING (repo, file)"""))
+def recheck_findings(spark, sf):
+    """Findings against current sources, in which the modules of expensive parts are empty."""
+    found = findings(derived_index(spark, sf), rules=[*_RECHECKED, "FR-SQLI-001"])
+    given = app.derived_sources(spark, sf)
+    emptied = spark.read.parquet(f"{sf}/part.parquet").where("p_retailprice > 1200").select(
+        F.expr(app.REPO).alias("repo"), F.expr(app.FILE).alias("path"), F.lit(True).alias("_gone"))
+    current = given.python.join(emptied, ["repo", "path"], "left").withColumn(
+        "content", F.when(c("_gone"), F.lit("").cast("binary")).otherwise(c("content"))).drop("_gone")
+    again = candidates(build_index(ScanInput(current, given.schema, given.hooks)), rules=_RECHECKED)
+    checked = fixes.recheck(found, again).select(c("finding_id").alias("id"), c("status").alias("outcome"))
+    return found.join(checked, ["id"]).select("rule_id", "function", "file", "line", "repo", c("outcome").alias("status"))
+
+
+_LINE_BREAK = "chr(10)"
+
+
+def _fixed_module(rule: str) -> str:
+    """SQL of the module's text after the fix of a rule."""
+    lines = {n: v for n, v in app.LINES.items()}
+    if rule == "FR-PERM-001":
+        lines = lines | {32: f"concat({lines[32]}, {_LINE_BREAK}, '    frappe.only_for(''System Manager'')')"}
+    if rule == "FR-HOOK-004":
+        lines = lines | {26: f"concat(substr({lines[26]}, 1, length({lines[26]}) - 1), ', deduplicate=True)')"}
+    text = f"concat_ws({_LINE_BREAK}, " + ", ".join(lines[n] for n in sorted(lines)) + ")"
+    return text
+
+
+@query("fix_previews", with_base(f"""SELECT f.rule_id, f.file, f.line, true AS is_valid, CASE WHEN f.rule_id = 'FR-HOOK-001' THEN NULL
+    WHEN f.rule_id = 'FR-HOOK-004' THEN sha256({_fixed_module('FR-HOOK-004')})
+    WHEN f.line = 31 OR f.line = 32 THEN sha256({_fixed_module('FR-PERM-001')}) END AS new_text
+  FROM ({union_sql(['FR-HOOK-001', 'FR-HOOK-004', 'FR-PERM-001'])}) f LEFT JOIN part ON {app.REPO} = f.repo AND {app.FILE} = f.file"""))
 def fix_previews(spark, sf):
     """Patches of all fixable findings (a handler that names its exception needs none)."""
     found = findings(derived_index(spark, sf), rules=["FR-HOOK-001", "FR-HOOK-004", "FR-HOOK-006", "FR-PERM-001"])
-    return fixes.fix_previews(found, _python_files(spark, sf)).select("rule_id", "file", "is_valid", "start_line")
+    patches = fixes.fix_previews(found, app.derived_sources(spark, sf).python).join(
+        found.select(c("id").alias("finding_id"), "line"), ["finding_id"])
+    known = (c("rule_id") == "FR-HOOK-004") | ((c("rule_id") == "FR-PERM-001") & c("line").isin(31, 32))
+    return patches.select("rule_id", "file", "line", "is_valid", F.when(known, F.sha2("modified_source", 256)).alias("new_text"))
+
+
+_RULES = ", ".join(f"('{d.rule_id}', '{d.version}', {str(d.enabled).lower()})" for d in DETECTORS)
+
+
+@query("findings_by_rule", with_base(f"""SELECT r.rule_id, r.rule_version, r.enabled, regexp_replace(r.rule_id, '-[^-]*$', '') AS family,
+  count(f.rule_id) AS n_findings, count(DISTINCT f.repo || '/' || f.file) AS n_files
+  FROM (VALUES {_RULES}) r(rule_id, rule_version, enabled) LEFT JOIN ({union_sql(_ENABLED)}) f USING (rule_id) GROUP BY 1, 2, 3"""))
+def findings_by_rule(spark, sf):
+    return rl.by_rule(rl.rule_table(spark), findings(derived_index(spark, sf))).select(
+        "rule_id", "rule_version", "enabled", "family", "n_findings", "n_files")
+
+
+_LAID_OUT = """concat(CASE p_type WHEN 'PROMO' THEN 'node_modules' WHEN 'SMALL' THEN 'x/__pycache__' ELSE lower(p_type) END, '/', CASE
+  WHEN p_size <= 10 THEN 'hooks.py' WHEN p_size <= 20 THEN concat('d', p_size, '/d', p_size, '.json') WHEN p_size <= 30 THEN concat('d', p_size, '/e.json')
+  ELSE concat('m', p_size, '.py') END)"""
+
+
+@query("discovery", f"""WITH f AS (SELECT p_partkey, p_size AS s, {_LAID_OUT} AS path FROM part WHERE p_type NOT IN ('PROMO', 'SMALL'))
+SELECT 'python' AS kind, p_partkey, path FROM f WHERE s <= 10 OR s > 30 UNION ALL SELECT 'hooks', p_partkey, path FROM f WHERE s <= 10
+UNION ALL SELECT 'schema', p_partkey, path FROM f WHERE s BETWEEN 11 AND 20""")
+def discovery(spark, sf):
+    """Which files a scan takes for what."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    names = part.select("p_partkey", F.lit("r").alias("repo"), F.expr(_LAID_OUT).alias("path"),
+                        F.concat(F.lit("/src/"), F.expr(_LAID_OUT)).alias("abs_path"))
+    kinds = {"python": src.python_files, "hooks": src.hook_files, "schema": src.doctype_files}
+    return reduce(DataFrame.unionByName, [
+        pick(names).select(F.lit(kind).alias("kind"), "p_partkey", "path") for kind, pick in kinds.items()])
+
+
+@query("parse_errors", f"""SELECT {app.REPO} AS repo, {app.FILE} AS path, 'file cannot be read' AS problem FROM part WHERE p_size > 45
+UNION ALL SELECT {app.REPO}, {app.FILE}, 'no text' FROM part WHERE p_size < 5""")
+def parse_errors(spark, sf):
+    """Files that cannot be read, and files that are no UTF-8 text, do not end a scan."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    content = F.when(c("p_size") > 45, None).when(c("p_size") < 5, F.lit(bytearray(b"\xff\xfe"))).otherwise(F.expr(app.MODULE).cast("binary"))
+    files = part.select(F.expr(app.REPO).alias("repo"), F.expr(app.FILE).alias("path"), content.alias("content"))
+    errors = syntax_rows(files).where("kind = 'error'")
+    problem = F.when(c("name") == "file cannot be read", c("name")).otherwise("no text")
+    return errors.select("repo", "path", problem.alias("problem"))
 
 
 @query("sarif_results", with_base(f"""SELECT rule_id, file, line, CASE WHEN score >= 60 THEN 'error' WHEN score >= 20 THEN 'warning' ELSE 'note' END AS level,

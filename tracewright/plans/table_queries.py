@@ -71,6 +71,11 @@ def reach_unbounded(spark, sf):
     return gr.reach_all(_graph(spark, sf, cyclic=True), _customers(spark, sf, "c_acctbal < -990"))
 
 
+@query("callee_lists", f"WITH {_EDGES} SELECT 'r' AS repo, src, string_agg(d, ',' ORDER BY d) AS callees FROM (SELECT src, replace(dst, 'S', '*') AS d FROM e) GROUP BY src")
+def callee_lists(spark, sf):
+    return gr.callees(_graph(spark, sf)).withColumn("callees", F.array_join("callees", ","))
+
+
 def _order_flags(spark, sf):
     """Orders as functions: urgent ones check permissions, returned ones mutate."""
     returned = _t(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(

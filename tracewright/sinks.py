@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +83,29 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     sarif_lines(findings).orderBy("number").select("line").write.mode("overwrite").text(path)
 
 
+def payload_lines(groups: dict[str, DataFrame]) -> DataFrame:
+    """(number, line): one document ``{"<name>": [...], ...}``, a line per finding in
+    display order; as JSON it is YAML too.  Built like a SARIF document."""
+    parts = []
+    for position, (name, findings) in enumerate(groups.items()):
+        rows = numbered(public_columns(findings), [*display_order(), c("id")])
+        fields = [f for f in rows.columns if f != "number"]
+        parts.append(rows.select(
+            F.lit(2 * position + 1).alias("section"), "number",
+            F.concat(F.when(c("number") > 1, ",").otherwise(""), F.to_json(F.struct(*fields))).alias("line")))
+        opening = ("{" if position == 0 else "],") + json.dumps(name) + ":["
+        parts.append(rows.sparkSession.range(1).select(
+            F.lit(2 * position).alias("section"), F.lit(0).cast("long").alias("number"), F.lit(opening).alias("line")))
+    last = parts[0].sparkSession.range(1).select(
+        F.lit(2 * len(groups)).alias("section"), F.lit(0).cast("long").alias("number"), F.lit("]}").alias("line"))
+    return reduce(DataFrame.unionByName, [*parts, last])
+
+
+def write_payload(groups: dict[str, DataFrame], path: str) -> None:
+    """Part files that, concatenated in name order, are one document."""
+    payload_lines(groups).orderBy("section", "number").select("line").write.mode("overwrite").text(path)
+
+
 def baseline(findings: DataFrame) -> DataFrame:
     return findings.select(fingerprint().alias("fingerprint")).distinct()
 
@@ -93,18 +118,24 @@ def write_baseline(findings: DataFrame, path: str) -> None:
 def read_baseline(spark, path: str) -> DataFrame:
     """A baseline of either form: lines, or one document with a ``fingerprints`` list.
 
-    A missing or malformed baseline knows nothing.
+    Lines are read as such, however large the files are; only a baseline without any is
+    read as documents.  A missing path or malformed text knows nothing; any other failure
+    (rights, network) is raised, as it would bring every known finding back.
     """
-    empty = spark.createDataFrame([], "fingerprint string")
+    from pyspark.errors import AnalysisException
+
     try:
-        raw = spark.read.text(path, wholetext=True)
-        raw.isEmpty()
-    except Exception:
-        return empty
+        raw = spark.read.text(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "fingerprint string")
+    lines = raw.select(F.get_json_object("value", "$.fingerprint").alias("fingerprint")).where("fingerprint IS NOT NULL")
+    if not lines.isEmpty():
+        return lines.distinct()
     document = F.get_json_object("value", "$.fingerprints")
-    listed = raw.select(F.explode(F.from_json(document, "array<string>")).alias("fingerprint"))
-    lines = spark.read.text(path).select(F.get_json_object("value", "$.fingerprint").alias("fingerprint")).where("fingerprint IS NOT NULL")
-    return listed.unionByName(lines).distinct()
+    return spark.read.text(path, wholetext=True).select(
+        F.explode(F.from_json(document, "array<string>")).alias("fingerprint")).distinct()
 
 
 # ---- ledger ----------------------------------------------------------------------------
