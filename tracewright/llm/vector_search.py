@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLANES = 6
-_TILE = 128
+#: queries and vectors estimated at once, and pairs reranked at once: they bound a task's memory
+_TILE, _SLICE, _PAIRS = 128, 2048, 1 << 13
 
 
 def usable(vector: Column) -> Column:
@@ -111,8 +112,11 @@ def _search(queries: Queries, batches: Iterator[tuple[np.ndarray, np.ndarray]],
                 low = np.where(same, -np.inf, guess - error)
                 floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
             at, of = np.nonzero((guess + error >= floor[:, None]) & ~same)
-            exact = np.einsum("ij,ij->i", queries.vectors[at + i], vectors[of])
-            found.append((at + i, own[of], exact))
+            exact = np.empty(len(at))
+            for j in range(0, len(at), _PAIRS):
+                pairs = slice(j, j + _PAIRS)
+                exact[pairs] = np.einsum("ij,ij->i", queries.vectors[at[pairs] + i], vectors[of[pairs]])
+            found.append(_best(at + i, own[of], exact, k))
         row, ids, score = _best(*(np.concatenate(x) for x in zip(*found)), k)
         counts = np.bincount(row, minlength=n)
         last = np.cumsum(counts) - 1
@@ -157,7 +161,8 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
         shared = spark.sparkContext.broadcast(Queries(mine["id"].to_numpy(), vectors, center, turn))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            data = ((b.column("id").to_numpy(), _matrix(b.column("vector"), dims)) for b in batches if b.num_rows)
+            slices = (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE))
+            data = ((b.column("id").to_numpy(), _matrix(b.column("vector"), dims)) for b in slices)
             row, ids, score = _search(shared.value, data, center, turn, k, sigmas)
             yield pa.RecordBatch.from_pydict({"query_id": shared.value.ids[row], "id": ids, "score": score})
 
