@@ -41,9 +41,9 @@ from pyspark.sql import types as T
 from . import exchange as X
 from .arrays import _B, _INV, U, covered, flat, lists, mix, powers, spans_of
 
-CHUNK_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20   # of text for each range of grams
-PIECE_BYTES = 1 << 20    # of text hashed at once
+CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20   # of text for each range of grams
+PIECE_BYTES = 1 << 19    # of text hashed at once
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
