@@ -112,7 +112,8 @@ class Anchors:
         start = np.maximum(at - (length - gram), edges[text])
         end = np.minimum(at + length, edges[text + 1])
         context = mix((sums[end] - sums[start]) * inverse[start] ^ mix(((at - start) * 1_000_003 + (end - start)).astype(U)))
-        return np.stack([(at + low).astype(U), hashes[at], context, (start + low).astype(U), (end + low).astype(U)])
+        # smallest hashes lie close together: mixed again, they spread over the ranges
+        return np.stack([(at + low).astype(U), mix(hashes[at]), context, (start + low).astype(U), (end + low).astype(U)])
 
 
 def _distinct(anchors: Anchors):
