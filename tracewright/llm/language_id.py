@@ -240,7 +240,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = {x: i for i, x in enumerate(shared.value.langs)}
         for batch in batches:
-            for part in parts(batch, "text", 1 << 20):
+            for part in parts(batch, "text", 1 << 18):
                 nats, letters = shared.value.entropies(part.column("text"))
                 own = np.array([langs.get(x, -1) for x in part.column("lang").to_pylist()])
                 ok = (own >= 0) & (letters > 0)
@@ -272,7 +272,7 @@ def identify(df: DataFrame, models: Models | None, id_col: str = "doc_id", text_
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for batch in batches:
-            for part in parts(batch, "text", 1 << 20):
+            for part in parts(batch, "text", 1 << 18):
                 if models is None:
                     n = part.num_rows
                     pred, score, best, bad = [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
