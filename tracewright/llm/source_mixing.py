@@ -134,8 +134,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     by_size = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     rates = rates.select("key", "size", "n", "rate", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(by_size), F.lit(0.0)).alias("base"))
 
-    blocked = docs.join(rates, ["key", "size"]).withColumn(
-        "block", F.pmod("order", F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
+    # written, so that the join alone deals by (key, size) and a frequent size can be split
+    blocked = checkpointed(docs.join(rates, ["key", "size"]).withColumn(
+        "block", F.pmod("order", F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")))
     blocks = blocked.groupBy("key", "size", "block").agg(F.count(F.lit(1)).alias("rows")).withColumn(
         "before", F.coalesce(F.sum("rows").over(Window.partitionBy("key", "size").orderBy("block").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
