@@ -87,6 +87,36 @@ def test_links_span_components():
     assert {frozenset(x) for x in zip(a, b)} == {frozenset((1, 3)), frozenset((0, 1)), frozenset((2, 4))} and sorted(common) == [1, 4, 5]
 
 
+def spanned(sets, percent=75):
+    """Partitions of the sets by the links found, and by all pairs."""
+    flat = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    a, b, _ = links_of(np.arange(len(sets)), flat, offsets, percent)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    out = []
+    for links in (zip(a, b), pairs):
+        group = list(range(len(sets)))
+        for i, j in links:
+            group = [group[i] if g == group[j] else g for g in group]
+        out.append({frozenset(k for k, g in enumerate(group) if g == x) for x in group})
+    return out
+
+
+def test_links_when_another_component_becomes_the_largest():
+    """Pages of a few templates that share most of their words, shortened and extended."""
+    for seed in (168, 298, 468, 515, 578, *range(100)):
+        rng, pages = random.Random(seed), []
+        for k in range(rng.randrange(2, 5)):
+            body = list(range(20, 20 + rng.randrange(20, 30))) + [k * 100 + 500 + x for x in range(rng.randrange(0, 12))]
+            for _ in range(rng.randrange(8, 20)):
+                cut = rng.randrange(12)
+                page = body[:len(body) - cut] if rng.random() < 0.5 else body + [1000 * (k + 1) + x for x in range(cut)]
+                pages.append(set(page) | {10**6 + rng.randrange(10**6) for _ in range(rng.randrange(4))})
+        rng.shuffle(pages)
+        found, want = spanned(pages)
+        assert found == want, seed
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)] + [(200, x) for x in range(201, 230)]
     found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()

@@ -190,8 +190,9 @@ def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
 def links_of(names: np.ndarray, sets: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[list, list, list]:
     """Links that span the components of the sets, by counting common shingles.
 
-    A set already reached from an earlier one is compared only if it is outside the
-    largest component, so copies of one text cost one comparison each."""
+    A set inside the largest component is put off, so copies of one text cost one comparison
+    each; those outside it in the end, as another one became larger, are compared then.  So
+    of two sets that are not in one component at least one was compared with all."""
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(sets, kind="stable")
@@ -206,29 +207,34 @@ def links_of(names: np.ndarray, sets: np.ndarray, offsets: np.ndarray, percent:
     members = np.ones(len(sizes), np.int64)
     a, b, shared = [], [], []
     big = -1
-    for i in np.argsort(-spread / np.maximum(sizes, 1), kind="stable").tolist():
-        if big >= 0 and root[i] == root[big]:
-            continue
-        own = which[offsets[i]:offsets[i + 1]]
-        own = own[counts[own] > 1]
-        if not len(own):
-            continue
-        length = counts[own]
-        at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-        common = np.bincount(holders[at], minlength=len(sizes))
-        linked = np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common))
-        for j in linked.tolist():
-            if root[j] != root[i]:
-                a.append(names[i])
-                b.append(names[j])
-                shared.append(int(common[j]))
-                keep, gone = root[i], root[j]
-                if members[keep] < members[gone]:
-                    keep, gone = gone, keep
-                root[root == gone] = keep
-                members[keep] += members[gone]
-        if big < 0 or members[root[i]] > members[root[big]]:
-            big = i
+    open_ = np.argsort(-spread / np.maximum(sizes, 1), kind="stable").tolist()
+    while open_:
+        put_off = []
+        for i in open_:
+            if big >= 0 and root[i] == root[big]:
+                put_off.append(i)
+                continue
+            own = which[offsets[i]:offsets[i + 1]]
+            own = own[counts[own] > 1]
+            if not len(own):
+                continue
+            length = counts[own]
+            at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+            common = np.bincount(holders[at], minlength=len(sizes))
+            linked = np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common))
+            for j in linked.tolist():
+                if root[j] != root[i]:
+                    a.append(names[i])
+                    b.append(names[j])
+                    shared.append(int(common[j]))
+                    keep, gone = root[i], root[j]
+                    if members[keep] < members[gone]:
+                        keep, gone = gone, keep
+                    root[root == gone] = keep
+                    members[keep] += members[gone]
+            if big < 0 or members[root[i]] > members[root[big]]:
+                big = i
+        open_ = [i for i in put_off if root[i] != root[big]]
     return a, b, shared
 
 
