@@ -71,6 +71,15 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert result(documents(spark, rows)) == brute(rows)
 
 
+def test_pairs_at_the_border_meet(spark):
+    """Pairs of similarity 0.75 exactly, which 12 keys of a side, or factors in steps, let miss each other."""
+    rows = []
+    for i, seed in enumerate((16, 220, 402, 744, 804, 900, 1156, 1190, 1227, 1296, 2003, 2010, 2111)):
+        page = [f"s{seed}w{k}" for k in range(28)]
+        rows += [(2 * i, " ".join(page)), (2 * i + 1, " ".join(page[:22]))]
+    assert result(documents(spark, rows)) == brute(rows)
+
+
 def test_one_row_stands_for_a_group(spark):
     found = near_duplicates(documents(spark, ODD)).collect()
     keepers = {r.row_key for r in found} & {r.keeper for r in found}

@@ -9,10 +9,10 @@ text is one shingle).  Two documents are linked when their sets' Jaccard similar
    equal sets become one class.
 2. Tensored banding: table (i, j) is keyed by key i of the first collection and key j of
    the second, so half * half tables cost only 2 * half * rows minhashes.  At similarity s a
-   pair meets in none with probability of at most 2 * (1 - s**rows)**half: 0.3 % at 0.75,
-   0.04 % at 0.8 with the defaults.  Classes none of whose keys another class holds stop here.
+   pair meets in none with probability of at most 2 * (1 - s**rows)**half: 0.004 % at 0.75,
+   0.00012 % at 0.8 with the defaults.  Classes none of whose keys another class holds stop here.
 3. Within a table's bucket, classes whose minhash sketches agree in ``agree`` or more (0.55 of
-   72, four standard deviations below 0.75) are joined in a spanning forest, so a bucket gives
+   120, five standard deviations below 0.75) are joined in a spanning forest, so a bucket gives
    fewer rows than members.  The components of these edges are the clusters to verify.
 4. Verification on the full sets: a cluster's sets are compared within tasks, by counting
    common shingles, so no pair becomes a row; a large cluster is cut into blocks, each task
@@ -72,8 +72,8 @@ def _minhashes(sets: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     if not len(sets):
         return out
     full = np.flatnonzero(np.diff(offsets))
-    for k in range(n):
-        factor = U((0xD6E8FEB86659FD93 * (2 * k + 1) + (k << 17)) % (1 << 64) | 1)
+    # multiples of one factor would make the same hashes small for many k
+    for k, factor in enumerate(mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)):
         out[k, full] = np.minimum.reduceat((sets ^ (sets >> U(29))) * factor, offsets[full])
     return out
 
@@ -150,31 +150,36 @@ def _in_block_pairs(rows: DataFrame) -> DataFrame:
 
 
 def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
-    """(a, b) spanning the members of each bucket whose sketches agree."""
+    """(a, b) spanning the members of each bucket whose sketches agree.
+
+    A class is sent once per key of its first collection, with its second collection: the
+    buckets (i, j) of one first key are made within the task."""
     held = _shared_keys(classes)
-    tables = held.select("class", "sketch", F.explode("first").alias("u"), "second").select(
-        "class", "sketch", "u", F.explode("second").alias("v")).select(
-        F.xxhash64("u", "v").alias("bucket"), "class", "sketch")
-    counts = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    tables = held.select("class", "sketch", F.explode("first").alias("u"), "second")
+    counts = held.select(F.explode("first").alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "u", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     n = shuffle_partitions(classes.sparkSession) * 4
-    met = (_in_block_pairs(tables.join(counts, "bucket")).withColumn("bucket", F.xxhash64("bucket", "i", "j"))
-           .select("bucket", "class", "sketch", F.pmod(F.col("bucket"), F.lit(n)).cast("int").alias("part")))
+    met = (_in_block_pairs(tables.join(counts, "u")).withColumn("bucket", F.xxhash64("u", "i", "j"))
+           .select("bucket", "class", "sketch", "second", F.pmod(F.col("bucket"), F.lit(n)).cast("int").alias("part")))
 
     def join(table: pa.Table) -> pa.Table:
-        bucket, names = table["bucket"].to_numpy(), table["class"].to_numpy()
+        second = table["second"].combine_chunks()
+        row = np.repeat(np.arange(len(second)), second.value_lengths().to_numpy())
+        first = mix(table["bucket"].to_numpy().view(U)[row])
+        bucket = mix(first + second.flatten().to_numpy().view(U))
+        names = table["class"].to_numpy()[row]
         order = np.lexsort((names, bucket))
-        bucket, names = bucket[order], names[order]
+        bucket, names, row = bucket[order], names[order], row[order]
         data, _ = flat(table["sketch"])
-        sketch = data.reshape(len(names), -1)[order]
+        sketch = data.reshape(len(second), -1)
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         sizes = np.diff(cuts)
         pairs = cuts[:-1][sizes == 2]
-        pairs = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= agree]
+        pairs = pairs[(sketch[row[pairs]] == sketch[row[pairs + 1]]).sum(axis=1) >= agree]
         a, b = [names[pairs]], [names[pairs + 1]]
         for i in np.flatnonzero(sizes > 2):
             own = slice(cuts[i], cuts[i + 1])
-            if edges := _forest(sketch[own], agree):
+            if edges := _forest(sketch[row[own]], agree):
                 x = np.array(edges)
                 a.append(names[own][x[:, 0]])
                 b.append(names[own][x[:, 1]])
@@ -260,7 +265,7 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75,
-                    half: int = 12, rows: int = 3, agree: int | None = None) -> DataFrame:
+                    half: int = 20, rows: int = 3, agree: int | None = None) -> DataFrame:
     """(row_key, id, n_shingles, n_same, component_id, keeper, kept): n_same counts rows of equal
     id and text, which share their row_key (a hash of both) and are one row here; keeper is
     the row_key of the one row that stands for its group."""
