@@ -43,6 +43,19 @@ def test_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_long_and_repeated_texts_teach(spark):
+    """A language of few long texts, and one whose most frequent text would fill the sample."""
+    rows = texts(40)
+    rows += [(2000 + i, f"zyx{chr(97 + i % 26)}wv qrs " * 4000, "long", None) for i in range(26)]
+    rows += [(3000 + i, "same old words again " * 20, "copied", None) for i in range(400)]
+    rows += [(4000 + i, t, "copied", None) for i, t in enumerate(sample_texts(5, 40, ["uno", "dos", "tres", "gato"], 30))]
+    rows += [(5000, "only one text of this one", "single", None), (5001, "12 345 " * 9000, "single", None)]
+    models = train(documents(spark, rows), train_chars=5_000)
+    assert models.langs == ["copied", "high", "long", "low", "single"]
+    got = identify(documents(spark, [(1, "gato dos tres uno dos"), (2, "zyxcwv qrs zyxhwv qrs")]), models).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "copied", 2: "long"}
+
+
 def test_labels_may_be_missing(spark):
     docs = documents(spark, [(1, "some text"), (2, None, "x", None)])
     assert train(docs) is None and train(documents(spark, [])) is None

@@ -1,7 +1,7 @@
 """Operator 4: language identification by interpolated Kneser-Ney character models.
 
-One model per language is trained on a bounded sample of labelled rows (whole texts, in
-the order of a text hash, at most ``train_chars`` characters over all languages and one
+One model per language is trained on a bounded sample of labelled rows (distinct whole texts,
+in the order of a text hash, up to ``train_chars`` characters over all languages and one
 text more for each), so the models have a bounded size and are broadcast.  A model is a sorted
 array of n-gram hashes with log probabilities and back-off weights; the arrays of all
 languages share one index.  A text gets the language of the lowest cross-entropy per
@@ -201,24 +201,57 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _sample(df: DataFrame, text_col: str, lang_col: str, teach: Column, train_chars: int) -> DataFrame:
-    """(lang, text, used): labelled texts up to the bound for each language; one in
-    ``CALIBRATING`` is not used for training."""
+def _labelled(df: DataFrame, text_col: str, lang_col: str, teach: Column) -> DataFrame:
+    """(lang, text, order) of the labelled rows that hold a letter; order is random, equal for
+    equal texts."""
     text = F.col(text_col).cast("string")
-    rows = df.filter(teach & F.col(lang_col).isNotNull() & text.isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
-    # one number per language, as the models themselves; the scan then drops rows by it
-    totals = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    bound = F.lit(train_chars / max(len(totals), 1))
-    share = F.create_map(*(F.lit(x) for lang, chars in totals.items() for x in (lang, 2.5 * train_chars / len(totals) / max(chars, 1))))
-    # a random 64-bit order; the filter keeps about twice the bound before rows are ranked
-    near = rows.withColumn("order", F.xxhash64("text"))
-    if totals:
-        near = near.filter(F.col("order") / F.lit(float(1 << 64)) + 0.5 < F.element_at(share, F.col("lang")))
-    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("order", "text")
-                                          .rowsBetween(Window.unboundedPreceding, -1))
-    return near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bound).select(
-        "lang", "text", (F.pmod("order", F.lit(CALIBRATING)) > 0).alias("used"))
+    return df.filter(teach & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
+        F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("order"))
+
+
+def _taught(rows: DataFrame, train_chars: int, order: int) -> tuple[Column, Column]:
+    """Which of the labelled rows are sampled, and which teach: those of the first distinct texts of each language in
+    their order, up to its share of ``train_chars`` and one text more, without one in
+    ``CALIBRATING``.  The first text that holds an n-gram always teaches, the first other
+    one never does.  The condition needs a few numbers per language only."""
+    from .exchange import checkpointed
+
+    # a letter and as many more characters, after one space, as an n-gram needs
+    whole = F.col("text").rlike(r"\p{L}(?:\p{L}|\P{L}++){%d}" % max(order - 2, 0))
+    unit = F.greatest(F.col("order") / F.lit(float(1 << 64)) + 0.5, F.lit(2.0 ** -60))
+    # distinct texts by their hashes; a level holds the first 2**level of all hashes
+    texts = checkpointed(rows.select("lang", "order", F.length("text").alias("n"), whole.alias("whole")).groupBy("lang", "order").agg(
+        F.max("n").alias("n"), F.max("whole").alias("whole")).withColumn("level", F.ceil(F.log2(unit)).cast("int")))
+    levels: dict[str, list] = {}
+    for r in texts.groupBy("lang", "level").agg(
+            F.sum("n").alias("n"), F.min("order").alias("least"), F.min(F.when(F.col("whole"), F.col("order"))).alias("whole")).collect():
+        levels.setdefault(r.lang, []).append(r)
+    if not levels:
+        return F.lit(False), F.lit(False)
+    bound = train_chars / len(levels)
+    reach, first = {}, {}
+    for lang, found in levels.items():
+        found.sort(key=lambda r: r.level)
+        chars = 0
+        for r in found:
+            reach[lang], chars = r.level, chars + r.n
+            if chars >= bound:
+                break
+        first[lang] = min((r.whole for r in found if r.whole is not None), default=min(r.least for r in found))
+
+    def of(values: dict) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang"))
+
+    # about twice the bound is ranked
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+    near = texts.filter(F.col("level") <= of(reach)).withColumn("before", F.coalesce(before, F.lit(0)))
+    last, second = {}, {}
+    for r in near.filter(F.col("before") < F.lit(bound)).groupBy("lang").agg(
+            F.max("order").alias("last"), F.min(F.when(F.col("order") != of(first), F.col("order"))).alias("second")).collect():
+        last[r.lang], second[r.lang] = r.last, first[r.lang] if r.second is None else r.second
+    sampled = F.coalesce(F.col("order") <= of(last), F.lit(False)) | (F.col("order") == of(first))
+    others = (F.col("order") != of(second)) & (F.pmod("order", F.lit(CALIBRATING)) > 0)
+    return sampled, sampled & ((F.col("order") == of(first)) | others)
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach: Column | None = None, order: int = 5,
@@ -226,9 +259,11 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach:
     """Models of all labels that the rows chosen by ``teach`` hold; None without any."""
     from .exchange import checkpointed
 
-    sample = checkpointed(_sample(df, text_col, lang_col, F.lit(True) if teach is None else teach, train_chars))
-    sample = sample.select("lang", F.col("text").cast("binary").alias("text"), "used")
-    rows = sample.filter("used").groupBy("lang").applyInArrow(_count(order), MODEL).toArrow().to_pylist()
+    labelled = _labelled(df, text_col, lang_col, F.lit(True) if teach is None else teach)
+    sampled, taught = _taught(labelled, train_chars, order)
+    sample = labelled.filter(taught).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    rows = sample.select("lang", F.col("text").cast("binary").alias("text")).groupBy("lang").applyInArrow(
+        _count(order), MODEL).toArrow().to_pylist()
     rows = [r for r in rows if r["n"] <= order]
     usable = {r["lang"] for r in rows if r["n"] == order and r["gram"]}
     rows = [r for r in rows if r["lang"] in usable]
@@ -248,7 +283,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang").take(pa.array(at)), pa.array(nats[at, own[at]] - margin_of(letters[at]))], ["lang", "nats"])
 
-    seen = sample.filter("not used").mapInArrow(measure, "lang string, nats double")
+    seen = labelled.filter(sampled & ~taught).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(
+        measure, "lang string, nats double")
     for row in seen.groupBy("lang").agg(F.percentile("nats", F.lit(quantile)).alias("limit")).collect():
         models.limits[models.langs.index(row.lang)] = row.limit + margin
     return models
