@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tracewright.llm.language_id import Level, held_out, identify, normalised, train
+from tracewright.llm.language_id import Level, _quantiles, held_out, identify, normalised, train
 from tracewright.llm.queries import QUERIES, table
 
 from .helpers import ODD, documents, sample_texts
@@ -51,11 +51,30 @@ def test_long_and_repeated_texts_teach(spark):
     rows += [(4000 + i, t, "copied", None) for i, t in enumerate(sample_texts(5, 40, ["uno", "dos", "tres", "gato"], 30))]
     rows += [(5000, "only one text of this one", "single", None), (5001, "12 345 " * 9000, "single", None)]
     models = train(documents(spark, rows), train_chars=5_000)
-    assert models.langs == ["copied", "high", "long", "low", "single"]
+    assert models.langs == ["copied", "high", "long", "low", "single"] and np.isfinite(models.limits).all()
     got = identify(documents(spark, [(1, "gato dos tres uno dos"), (2, "zyxcwv qrs zyxhwv qrs")]), models).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {1: "copied", 2: "long"}
 
 
+def test_limits_come_from_all_rows_that_do_not_teach(spark):
+    """So the largest value of all as the limit rejects no labelled text."""
+    low = [t for t in sample_texts(3, 300, ["abba", "bac", "cab", "acb"], 30) if t]
+    rows = [(i, t, "low", None) for i, t in enumerate(low + [f"qw{chr(97 + i)}zk xvj " * 6 for i in range(5)])]
+    docs = documents(spark, rows)
+    models = train(docs, train_chars=600, quantile=1.0, margin=1e-6)
+    assert identify(docs, models).filter("rejected").count() == 0
+    assert identify(documents(spark, [(1, "ööö üüü ßßß " * 20)]), models).first().rejected
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(lang, float(x)) for lang, n in (("a", 1), ("b", 2), ("c", 3000)) for x in np.round(rng.normal(2, 1, n), 3)]
+    found = _quantiles(spark.createDataFrame(rows, "lang string, nats double"), 0.99)
+    want = {k: np.quantile([x for lang, x in rows if lang == k], 0.99) for k in "abc"}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert _quantiles(spark.createDataFrame([], "lang string, nats double"), 0.99) == {}
+
+
 def test_labels_may_be_missing(spark):
     docs = documents(spark, [(1, "some text"), (2, None, "x", None)])
     assert train(docs) is None and train(documents(spark, [])) is None

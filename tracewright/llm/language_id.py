@@ -5,8 +5,9 @@ in the order of a text hash, up to ``train_chars`` characters over all languages
 text more for each), so the models have a bounded size and are broadcast.  A model is a sorted
 array of n-gram hashes with log probabilities and back-off weights; the arrays of all
 languages share one index.  A text gets the language of the lowest cross-entropy per
-character.  It is rejected when that exceeds what labelled texts of the language outside
-the training sample show (a quantile plus a margin that shrinks with the length).
+character.  It is rejected when that exceeds what all labelled rows of the language outside
+the training sample show (a quantile plus a margin that shrinks with the length); a
+language without such a row gets the quantile over those of all others.
 
 Texts are read as letters in lower case, with one space for anything else.  A null text,
 or one without a letter, gets ``und``, score 0, and is rejected.  Without any labelled
@@ -30,7 +31,7 @@ from .arrays import U, flat, parts, window_hashes
 UNKNOWN = "und"
 _SPACE = 0x20
 _PREFIX_BITS = 16
-#: one of so many sampled texts sets the limit of rejection instead of teaching
+#: one of so many sampled texts helps to set the limit of rejection instead of teaching
 CALIBRATING = 5
 
 
@@ -209,8 +210,8 @@ def _labelled(df: DataFrame, text_col: str, lang_col: str, teach: Column) -> Dat
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("order"))
 
 
-def _taught(rows: DataFrame, train_chars: int, order: int) -> tuple[Column, Column]:
-    """Which of the labelled rows are sampled, and which teach: those of the first distinct texts of each language in
+def _taught(rows: DataFrame, train_chars: int, order: int) -> Column:
+    """Which of the labelled rows teach: those of the first distinct texts of each language in
     their order, up to its share of ``train_chars`` and one text more, without one in
     ``CALIBRATING``.  The first text that holds an n-gram always teaches, the first other
     one never does.  The condition needs a few numbers per language only."""
@@ -227,7 +228,7 @@ def _taught(rows: DataFrame, train_chars: int, order: int) -> tuple[Column, Colu
             F.sum("n").alias("n"), F.min("order").alias("least"), F.min(F.when(F.col("whole"), F.col("order"))).alias("whole")).collect():
         levels.setdefault(r.lang, []).append(r)
     if not levels:
-        return F.lit(False), F.lit(False)
+        return F.lit(False)
     bound = train_chars / len(levels)
     reach, first = {}, {}
     for lang, found in levels.items():
@@ -249,9 +250,8 @@ def _taught(rows: DataFrame, train_chars: int, order: int) -> tuple[Column, Colu
     for r in near.filter(F.col("before") < F.lit(bound)).groupBy("lang").agg(
             F.max("order").alias("last"), F.min(F.when(F.col("order") != of(first), F.col("order"))).alias("second")).collect():
         last[r.lang], second[r.lang] = r.last, first[r.lang] if r.second is None else r.second
-    sampled = F.coalesce(F.col("order") <= of(last), F.lit(False)) | (F.col("order") == of(first))
-    others = (F.col("order") != of(second)) & (F.pmod("order", F.lit(CALIBRATING)) > 0)
-    return sampled, sampled & ((F.col("order") == of(first)) | others)
+    sampled = (F.col("order") <= of(last)) & (F.col("order") != of(second)) & (F.pmod("order", F.lit(CALIBRATING)) > 0)
+    return (F.col("order") == of(first)) | F.coalesce(sampled, F.lit(False))
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach: Column | None = None, order: int = 5,
@@ -260,7 +260,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach:
     from .exchange import checkpointed
 
     labelled = _labelled(df, text_col, lang_col, F.lit(True) if teach is None else teach)
-    sampled, taught = _taught(labelled, train_chars, order)
+    taught = _taught(labelled, train_chars, order)
     sample = labelled.filter(taught).groupBy("lang", "order").agg(F.min("text").alias("text"))
     rows = sample.select("lang", F.col("text").cast("binary").alias("text")).groupBy("lang").applyInArrow(
         _count(order), MODEL).toArrow().to_pylist()
@@ -283,13 +283,50 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", teach:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang").take(pa.array(at)), pa.array(nats[at, own[at]] - margin_of(letters[at]))], ["lang", "nats"])
 
-    seen = labelled.filter(sampled & ~taught).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(
-        measure, "lang string, nats double")
-    for row in seen.groupBy("lang").agg(F.percentile("nats", F.lit(quantile)).alias("limit")).collect():
-        models.limits[models.langs.index(row.lang)] = row.limit + margin
+    seen = checkpointed(labelled.filter(~taught).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(
+        measure, "lang string, nats double"))
+    limits = _quantiles(seen, quantile)
+    if limits:  # a language that shows nothing gets the limit of all the others together
+        pooled = limits if len(limits) == len(models.langs) else _quantiles(seen.withColumn("lang", F.lit("")), quantile)
+        models.limits = np.array([limits.get(x, pooled.get("")) for x in models.langs], float) + margin
     return models
 
 
+def _quantiles(seen: DataFrame, quantile: float) -> dict[str, float]:
+    """Exact quantile of ``nats`` for each ``lang``, as ``percentile`` gives it, from all rows: their
+    counts in narrow bins show in which bins it lies, and only the values there are ranked."""
+    binned = seen.withColumn("bin", F.floor(F.col("nats") * 256))
+    counts: dict[str, list] = {}
+    for r in binned.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.lang, []).append((r.bin, r.n))
+    wanted, places = [], {}
+    for lang, bins in counts.items():
+        bins.sort()
+        names, ends = np.array([x for x, _ in bins]), np.cumsum([n for _, n in bins])
+        place = quantile * (int(ends[-1]) - 1)
+        low, high = int(np.floor(place)), int(np.ceil(place))
+        a, b = np.searchsorted(ends, [low, high], "right")
+        before = int(ends[a - 1]) if a else 0
+        places[lang] = low - before, high - before, place - low
+        wanted.append((F.col("lang") == lang) & F.col("bin").isin(int(names[a]), int(names[b])))
+    if not wanted:
+        return {}
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("nats").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = binned.filter(_any(wanted)).groupBy("lang", "nats").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    at = [(F.col("lang") == lang) & ((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)) for lang, p in places.items() for k in p[:2]]
+    values: dict[str, list] = {}
+    for r in ranked.filter(_any(at)).select("lang", "nats").collect():
+        values.setdefault(r.lang, []).append(r.nats)
+    return {lang: min(v) + places[lang][2] * (max(v) - min(v)) for lang, v in values.items()}
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Balanced, so that many conditions make no deep tree."""
+    while len(conditions) > 1:
+        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2])] + conditions[len(conditions) // 2 * 2:]
+    return conditions[0]
+
+
 def margin_of(letters: np.ndarray) -> np.ndarray:
     """Nats that short texts may exceed a limit by."""
     return 4.0 / np.sqrt(np.maximum(letters, 1))
