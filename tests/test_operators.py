@@ -270,3 +270,13 @@ def test_snippets(spark):
     asked = spark.createDataFrame([("r", "a.py", "2"), ("r", "a.py", "x"), ("r", "none.py", "1")], "repo string, file string, line string")
     rows = vw.snippets(asked, files, before=99, after=1).orderBy("num").collect()
     assert [(r.num, r.code, r.is_error) for r in rows] == [(1, "a", False), (2, "b", True), (3, "c", False)]
+
+
+def test_each_query_builds_its_own_index(monkeypatch):
+    from tracewright.plans import catalog
+
+    built = []
+    monkeypatch.setattr(catalog.derived_app, "derived_sources", lambda spark, sf: sf)
+    monkeypatch.setattr(catalog, "build_index", lambda given: built.append(given) or object())
+    session = type("Session", (), {"sparkContext": type("Context", (), {"applicationId": "a"})})()
+    assert catalog.derived_index(session, "x") is not catalog.derived_index(session, "x") and built == ["x", "x"]

@@ -36,16 +36,9 @@ def query(name: str, sql: str | None = None):
 
 
 # ---- detectors over the derived application ---------------------------------------------
-_indexes: dict[tuple[str, str], object] = {}
-
-
 def derived_index(spark: SparkSession, sf_dir: str):
-    """The index of the derived application; its tables are shared by the detector
-    queries of one session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        _indexes[key] = build_index(derived_app.derived_sources(spark, sf_dir))
-    return _indexes[key]
+    """The index of the derived application, built by each query for itself."""
+    return build_index(derived_app.derived_sources(spark, sf_dir))
 
 
 FINDING = ("repo", "rule_id", "file", "line", "function", "code_location_hash", "fix_confidence")
