@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .exchange import checkpointed
 from .language_id import held_out, identify, train
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
@@ -13,6 +14,7 @@ from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .url_filter import domains_of, filter_urls, host_of
+from .vector_codes import codebook_text, compress, with_label_error
 from .vector_search import nearest
 
 QUERIES: dict = {}
@@ -263,3 +265,49 @@ def op3_suffix_dedup(spark, sf_dir):
     found = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _lloyd_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
+    """Codebooks b0, b1, ...; assignments a0, a1, ..., each as a table."""
+    steps = [f"""
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1024) AS DOUBLE)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (
+        SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x
+        FROM (SELECT *, unnest(range({parts})) AS part FROM v)),
+    b0 AS MATERIALIZED (
+        SELECT part, j, x FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS j, x FROM p) WHERE j < {size})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+        SELECT vec_id, part, any_value(x) AS x, min(CAST(nx - 2 * list_dot_product(x, y) + ny AS BIGINT) * {size} + j) AS m
+        FROM (SELECT *, list_dot_product(x, x) AS nx FROM p)
+        JOIN (SELECT part, j, x AS y, list_dot_product(x, x) AS ny FROM b{i}) USING (part) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""
+    b{i + 1} AS MATERIALIZED (
+        SELECT part, j, coalesce(list(floor(total / n) ORDER BY pos) FILTER (WHERE n IS NOT NULL), any_value(x)) AS x
+        FROM b{i} LEFT JOIN (
+            SELECT part, m % {size} AS j, pos, sum(x[pos]) AS total, count(*) AS n
+            FROM (SELECT *, unnest(range(1, len(x) + 1)) AS pos FROM a{i}) GROUP BY part, m % {size}, pos) USING (part, j)
+        GROUP BY part, j)""")
+    return ",".join(steps) + f""",
+    books AS (
+        SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, j, pos)) AS codebooks_sha256
+        FROM (SELECT part, j, unnest(x) AS c, unnest(range(len(x))) AS pos FROM b{rounds})),
+    coded AS (
+        SELECT vec_id, label, string_agg(lower(printf('%02x', m % {size})), '' ORDER BY part) AS code,
+               CAST(sum(m // {size}) AS BIGINT) AS error
+        FROM a{rounds} JOIN v USING (vec_id) GROUP BY vec_id, label)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM coded, books"""
+
+
+@query("op11_vector_codes", _lloyd_sql())
+def op11_vector_codes(spark, sf_dir):
+    coded, books = compress(table(spark, sf_dir, "embeddings"), keep=("label",), parts=4, size=256, rounds=4, scale=1024)
+    found = with_label_error(checkpointed(coded), "label")
+    code = F.concat_ws("", F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))))
+    return found.select("vec_id", code.alias("code"), "error", "label_error",
+                        F.sha2(F.lit(codebook_text(books)), 256).alias("codebooks_sha256"))
