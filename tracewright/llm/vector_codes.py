@@ -197,7 +197,7 @@ def _usable(vector):
 
 
 def _integers(column: pa.Array, scale: float, width: int, dims: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
     with np.errstate(over="ignore"):
         whole = np.floor(np.clip(values * scale, -LIMIT, LIMIT)).astype(np.int64)
     return np.hstack((whole, np.zeros((len(whole), width - dims), np.int64)))
