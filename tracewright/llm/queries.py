@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .secret_scan import BASE, KINDS, OWNED, scan_secrets
 from .source_mixing import mix_sources
+from .spelling import corpus_words, spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .url_filter import domains_of, filter_urls, host_of
@@ -311,3 +312,44 @@ def op11_vector_codes(spark, sf_dir):
     code = F.concat_ws("", F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))))
     return found.select("vec_id", code.alias("code"), "error", "label_error",
                         F.sha2(F.lit(codebook_text(books)), 256).alias("codebooks_sha256"))
+
+
+@query("op12_spelling_variants", r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT] || list_transform(range(8), lambda z: 0::UBIGINT),
+            lambda c, y: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+    runs AS (
+        SELECT doc_id, run, count(*) AS n, encode(CAST(doc_id AS VARCHAR) || ':' || run) AS bytes
+        FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                       'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+        GROUP BY doc_id, run),
+    hashed AS (
+        SELECT run, n, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(octet_length(bytes)),
+                   lambda i: ('0x' || substr(hex(bytes), 2 * i + 1, 2))::UBIGINT),
+                   lambda a, b: xor(t[1 + CAST(xor(a, b) & 255 AS INTEGER)], a >> 8)), 4294967295::UBIGINT) AS h FROM runs, crc_table),
+    spelled AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+               ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS MATERIALIZED (
+        SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+    near AS (
+        SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+        UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+    best AS (
+        SELECT near.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form
+        FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+    formed AS MATERIALIZED (
+        SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form,
+               CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+    follow AS (
+        SELECT word, word AS root, 0 AS depth FROM formed
+        UNION ALL SELECT follow.word, formed.form, depth + 1 FROM follow JOIN formed ON formed.word = follow.root
+        WHERE formed.form IS NOT NULL),
+    roots AS (SELECT word, arg_max(root, depth) AS root FROM follow GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""")
+def op12_spelling_variants(spark, sf_dir):
+    words = corpus_words(table(spark, sf_dir, "documents"), least_chars=5, least_count=3, misspell_one_in=97)
+    return spelling_variants(words, factor=2)
