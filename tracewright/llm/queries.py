@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import quality
 from .decontamination import decontaminate
 from .exchange import checkpointed
 from .language_id import held_out, identify, train
@@ -353,3 +354,12 @@ def op11_vector_codes(spark, sf_dir):
 def op12_spelling_variants(spark, sf_dir):
     words = corpus_words(table(spark, sf_dir, "documents"), least_chars=5, least_count=3, misspell_one_in=97)
     return spelling_variants(words, factor=2)
+
+
+@query("op13_quality")
+def op13_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), teach=~quality.held_out("doc_id"))
+    rows = docs.select(F.struct("doc_id", quality.held_out("doc_id").alias("held_out")).alias("row"), "text", "n_chars")
+    return quality.score(rows, machine, "row").select(
+        "row.*", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
