@@ -88,6 +88,21 @@ def test_suffix_dedup(spark, rows, length, gram):
     assert bag((r.doc_id, r.n_bytes, r.n_removed, len(r.starts), sha(bytes(r.kept))) for r in got) == bytes_want(rows, length)
 
 
+@pytest.mark.parametrize("rows, length, gram, report", [
+    (near_texts(2, "abcdefghijklmnop"), 24, 4, 12), (near_texts(3, "ab"), 16, 3, 9), (near_texts(4, "a\x00\x01é"), 20, 5, 6),
+    (near_texts(5, "abcdefghijklmnop"), 60, None, 20), ([(1, "x" * 500), (2, "x" * 30), (3, "xxy"), (4, None)], 12, None, 7)])
+def test_reported_repeats(spark, rows, length, gram, report):
+    """Shorter repeats are counted, not removed; the longest one is found up to the removed length."""
+    got = suffix_dedup(documents(spark, rows), length=length, gram=gram, report=report).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, len(r.starts), sha(bytes(r.kept))) for r in got) == bytes_want(rows, length)
+    texts = {d: (t or "").encode() for d, t in rows}
+    starts = {n: windows_of(list(texts.values()), n) for n in range(report, length + 1)}
+    for r in got:
+        gone = {n: sum(gone_of(texts[r.doc_id], starts[n], n)) for n in starts}
+        assert r.n_repeated == gone[report]
+        assert r.longest_repeat == max((n for n in gone if gone[n]), default=0)
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     data = np.frombuffer(np.random.default_rng(5).integers(0, 3, 5000, np.uint8).tobytes(), np.uint8)
     offsets = np.array([0, 40, 4500, 4500, 5000])
@@ -111,8 +126,9 @@ def test_repeats_between_any_two_members():
     group = np.zeros(4, np.uint64)
     right = np.array([list(b"aaaa"), list(b"aaab"), list(b"aaac"), list(b"aaad")], np.uint8)
     left = np.array([list(b"zyx"), list(b"qrs"), list(b"zyx"), list(b"mno")], np.uint8)
-    before, after = suffixes.repeats(group, right, np.full(4, 4), left, np.full(4, 3), 6)
+    before, after, longest = suffixes.repeats(group, right, np.full(4, 4), left, np.full(4, 3), 6)
     assert before.tolist() == [3, 0, 3, 0] and after.tolist() == [3, 0, 3, 0]
+    assert longest.tolist() == [6, 3, 6, 3]
 
 
 LINES = ["The end.", " the END.\t", "x", "", "  ", "é", "unique {}", "A"]

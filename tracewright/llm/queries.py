@@ -254,6 +254,11 @@ def op7_url_filter(spark, sf_dir):
     windows AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS s
                 FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
     repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+    short AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS s
+              FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+    told AS (SELECT doc_id, CAST(sum(least(200, coalesce(next - i, 200))) AS BIGINT) AS n_repeated
+             FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM short
+                   JOIN (SELECT s FROM short GROUP BY s HAVING count(*) > 1) USING (s)) GROUP BY doc_id),
     hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN repeated USING (s)),
     runs AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
     spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
@@ -261,12 +266,13 @@ def op7_url_filter(spark, sf_dir):
     kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS stop,
                     string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS t FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
-           sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
-    FROM d LEFT JOIN kept USING (doc_id)""")
+           sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256,
+           coalesce(n_repeated, 0) AS n_repeated
+    FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)""")
 def op3_suffix_dedup(spark, sf_dir):
-    found = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    found = suffix_dedup(table(spark, sf_dir, "documents"), length=400, report=200)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
-                        F.sha2("kept", 256).alias("kept_sha256"))
+                        F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def _lloyd_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:

@@ -3,10 +3,11 @@
 A suffix array of a whole corpus would be one sort of every byte.  Here the suffixes that can
 begin or hold a repeat are picked first, and their arrays are built group by group:
 
-1. In every ``length`` bytes the smallest hash of a ``gram``-byte string is an anchor (of
-   equal smallest ones, each).  Equal strings of ``length`` bytes have the same anchors, so
-   every repeat joins anchors of one gram.  An anchor's context is all that a repeat
-   through it can cover: up to ``length - gram`` bytes before it and ``length`` from it on.
+1. In every ``report`` bytes (``length`` at most) the smallest hash of a ``gram``-byte string
+   is an anchor (of equal smallest ones, each).  Equal strings of so many bytes have the same
+   anchors, so every repeat joins anchors of one gram.  An anchor's context is all that a
+   repeat of ``length`` bytes through it can cover: up to ``length - gram`` bytes before it and
+   ``length`` from it on.
 2. Anchors are counted by (gram, context) over the corpus (``exchange``).  A gram that
    occurs once ends here.  Equal contexts are one suffix with a multiplicity: their whole
    context repeats.  Of grams with several contexts, one copy of each context is sent on.
@@ -17,7 +18,9 @@ begin or hold a repeat are picked first, and their arrays are built group by gro
    all one, each class of two or more is a repeat group of its own.  All members of a
    class are occurrences, so a repeat is found between any two, not only neighbours.
 4. Documents merge the covered intervals.  Strings are judged on the input and never cross
-   documents.
+   documents.  Repeats of ``length`` bytes are removed; ``n_repeated`` counts the bytes of all
+   that have ``report`` bytes or more, and ``longest_repeat`` is the length of the longest
+   repeat, ``length`` at most (0 below ``report``).
 
 64-bit hashes stand for grams and contexts; bytes are compared only between different
 contexts of a gram.  A task holds one chunk of documents, or the distinct contexts of one
@@ -56,7 +59,7 @@ def _sliding(values: np.ndarray, width: int, choose) -> np.ndarray:
     return choose(out[:len(out) - (width - have)], out[width - have:]) if width > have else out
 
 
-def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(offsets: np.ndarray, length: int, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Spans of bytes to hash at once: (from, to, edges, first window, last window) with edges
     of the texts within.  A long text is cut so that each window and its context are whole."""
     i, n = 0, len(offsets) - 1
@@ -66,10 +69,10 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
         high = int(offsets[j])
         if j > i + 1 or high - low <= PIECE_BYTES:
             edges = offsets[i:j + 1]
-            yield low, high, edges, edges[:-1], edges[1:] - length
+            yield low, high, edges, edges[:-1], edges[1:] - window
         else:
-            for a in range(low, high - length + 1, PIECE_BYTES):
-                b = min(a + PIECE_BYTES, high - length + 1)
+            for a in range(low, high - window + 1, PIECE_BYTES):
+                b = min(a + PIECE_BYTES, high - window + 1)
                 begin, end = max(low, a - length), min(high, b + 2 * length)
                 yield begin, end, np.array([begin, end]), np.array([a]), np.array([b - 1])
         i = j
@@ -78,10 +81,11 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
 class Anchors:
     """Anchors of a chunk: place, gram hash, context hash, and context [start, end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, window: int | None = None):
         found = [np.zeros((5, 0), U)]
-        for piece in _pieces(offsets, length):
-            found.append(self._of(data, *piece, length, gram))
+        window = length if window is None else window
+        for piece in _pieces(offsets, length, window):
+            found.append(self._of(data, *piece, length, gram, window))
         place, self.gram, self.context, start, end = np.concatenate(found, axis=1)
         # a long text's neighbouring pieces may both pick an anchor
         order = np.unique(place, return_index=True)[1] if len(place) else np.zeros(0, np.int64)
@@ -89,24 +93,24 @@ class Anchors:
         self.gram, self.context = self.gram[order], self.context[order]
 
     @staticmethod
-    def _of(data, low, high, edges, first, last, length, gram) -> np.ndarray:
+    def _of(data, low, high, edges, first, last, length, gram, window) -> np.ndarray:
         size, edges = high - low, edges - low
-        if size < length:
+        if size < window:
             return np.zeros((5, 0), U)
         sums = np.zeros(size + 1, U)
         np.cumsum((data[low:high].astype(U) + U(1)) * powers(_B, size), out=sums[1:])
         inverse = powers(_INV, size + 1)
         hashes = mix((sums[gram:] - sums[:-gram]) * inverse[:size - gram + 1])
-        least = _sliding(hashes, length - gram + 1, np.minimum)  # by first byte of the window
+        least = _sliding(hashes, window - gram + 1, np.minimum)  # by first byte of the window
         ok = np.zeros(len(least) + 1, np.int64)
         begin, stop = first - low, last - low + 1
         some = stop > begin
         np.add.at(ok, begin[some], 1)
         np.add.at(ok, stop[some], -1)
         least = np.where(np.cumsum(ok[:-1]) > 0, least, U(0))
-        # windows [p - (length - gram), p] hold gram p
-        pad = np.zeros(length - gram, U)
-        most = _sliding(np.concatenate([pad, least, pad]), length - gram + 1, np.maximum)
+        # windows [p - (window - gram), p] hold gram p
+        pad = np.zeros(window - gram, U)
+        most = _sliding(np.concatenate([pad, least, pad]), window - gram + 1, np.maximum)
         at = np.flatnonzero(most == hashes)
         text = np.searchsorted(edges, at, "right") - 1
         start = np.maximum(at - (length - gram), edges[text])
@@ -184,14 +188,15 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
 
 
 def repeats(group: np.ndarray, right: np.ndarray, right_length: np.ndarray, left: np.ndarray, left_length: np.ndarray,
-            length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before and after its anchor that each context's repeats with others cover.
+            *least: int) -> tuple[np.ndarray, ...]:
+    """Bytes before and after its anchor that each context's repeats with others cover, for
+    repeats of each of the lengths ``least``; and the length of the longest.
 
     ``right`` are the bytes from the anchor on, ``left`` those before it, backwards."""
     n = len(group)
-    before, after = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    longest, *cover = (np.zeros(n, np.int32) for _ in range(2 * len(least) + 1))
     if n < 2:
-        return before, after
+        return *cover, longest
     suffixes, prefixes = Texts(group, right, right_length), Texts(group, left, left_length)
     order, common = suffixes.order, suffixes.common
     cuts = np.append(np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))), n)
@@ -205,26 +210,30 @@ def repeats(group: np.ndarray, right: np.ndarray, right_length: np.ndarray, left
         members, rank = members[by_left], rank[by_left]
         shared = prefixes.between(rank[:-1], rank[1:])
         widest = np.maximum(np.append(shared, -1), np.insert(shared, 0, -1))
-        hit = widest + depth >= length
-        at = members[hit]
-        before[at] = np.maximum(before[at], widest[hit])
-        after[at] = np.maximum(after[at], depth)
+        longest[members] = np.maximum(longest[members], widest + depth)
+        for k, length in enumerate(least):
+            hit = widest + depth >= length
+            at = members[hit]
+            cover[2 * k][at] = np.maximum(cover[2 * k][at], widest[hit])
+            cover[2 * k + 1][at] = np.maximum(cover[2 * k + 1][at], depth)
 
     # groups of two at once: one interval each
     two = cuts[:-1][sizes == 2]
     a, b, depth = order[two], order[two + 1], common[two + 1]
     ranks = prefixes.rank[a], prefixes.rank[b]
     shared = prefixes.between(np.minimum(*ranks), np.maximum(*ranks)) if len(two) else np.zeros(0, np.int32)
-    hit = shared + depth >= length
-    for x in (a[hit], b[hit]):
-        before[x], after[x] = shared[hit], depth[hit]
+    for x in (a, b):
+        longest[x] = shared + depth
+        for k, length in enumerate(least):
+            hit = shared + depth >= length
+            cover[2 * k][x[hit]], cover[2 * k + 1][x[hit]] = shared[hit], depth[hit]
     for k in np.flatnonzero(sizes > 2):
         first, last = int(cuts[k]), int(cuts[k + 1])
         own = common[first:last].tolist()
         own[0] = 0
         for depth, i, j in intervals(own):
             extend(order[first + i:first + j + 1], depth)
-    return before, after
+    return *cover, longest
 
 
 # ---- the operator ----------------------------------------------------------------------------
@@ -233,7 +242,7 @@ SENT = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("chu
 TEXTS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("chunk", T.IntegerType()),
                       *(T.StructField(x, T.BinaryType()) for x in ("grams", "which", "lefts", "sizes", "bytes"))])
 FOUND = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("range", T.IntegerType()),
-                      *(T.StructField(x, T.BinaryType()) for x in ("answer", "wanted", "which", "before", "after"))])
+                      *(T.StructField(x, T.BinaryType()) for x in ("answer", "wanted", "which", "cover"))])
 
 
 def _status(table: pa.Table) -> pa.Table:
@@ -260,21 +269,23 @@ def _status(table: pa.Table) -> pa.Table:
     packed = [[np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for bits in (whole, send)]
     none = pa.array([None] * table.num_rows, pa.binary())
     return pa.table({"chunk": table["chunk"], "range": table["range"], "answer": pa.array(packed[0], pa.binary()),
-                     "wanted": pa.array(packed[1], pa.binary()), "which": none, "before": none, "after": none})
+                     "wanted": pa.array(packed[1], pa.binary()), "which": none, "cover": none})
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                 gram: int | None = None) -> DataFrame:
-    """(id, n_bytes, n_removed, starts, ends, kept): maximal removed byte intervals
-    [start, end), and the other bytes."""
-    gram = max(1, length // 4) if gram is None else gram
+                 gram: int | None = None, report: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, starts, ends, kept, n_repeated, longest_repeat): maximal removed byte
+    intervals [start, end), and the other bytes."""
+    report = length if report is None else min(report, length)
+    gram = max(1, length // 4 if report == length else report // 2) if gram is None else gram
     total = X.text_bytes(df, text_col)
     chunks, _ = X.chunked(df, id_col, text_col, total, CHUNK_BYTES)
-    n_ranges = max(X.shuffle_partitions(df.sparkSession), -(-total // RANGE_BYTES))
+    # the shorter the reported repeats, the more anchors a byte
+    n_ranges = max(X.shuffle_partitions(df.sparkSession), -(-total * (length - gram + 1) // ((report - gram + 1) * RANGE_BYTES)))
     bounds = X.range_bounds(n_ranges)
 
     def send(table: pa.Table) -> pa.Table:
-        grams, contexts, _, _, counts = _distinct(Anchors(*flat(table["text"]), length, gram))
+        grams, contexts, _, _, counts = _distinct(Anchors(*flat(table["text"]), length, gram, report))
         cuts = _cuts(grams, bounds)
         used = np.flatnonzero(np.diff(cuts))
         cut = lambda values: pa.array([values[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary())
@@ -294,7 +305,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def texts(docs: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets = flat(docs["text"])
-        anchors = Anchors(data, offsets, length, gram)
+        anchors = Anchors(data, offsets, length, gram, report)
         grams, _, first, _, _ = _distinct(anchors)
         cuts = _cuts(grams, bounds)
         wanted = np.flatnonzero(bits_of(answers, "wanted", cuts))
@@ -325,16 +336,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             right[own] = np.where(inside, data[np.minimum((start + lefts)[own, None] + steps, len(data) - 1)], 0)
             back = steps[:left.shape[1]]
             left[own] = np.where(back < lefts[own, None], data[np.maximum((start + lefts)[own, None] - 1 - back, 0)], 0)
-        before, after = repeats(grams, right, sizes - lefts, left, lefts, length)
+        cover = np.stack(repeats(grams, right, sizes - lefts, left, lefts, length, report), axis=1)
         cuts = flat(table["grams"])[1] // 8
         which, rows = read("which", np.int64), []
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            hit = np.flatnonzero(after[a:b] > 0) + a
+            hit = np.flatnonzero(cover[a:b, -1] >= report) + a
             if len(hit):
                 rows.append({"chunk": table["chunk"][k].as_py(), "range": table["range"][k].as_py(), "which": which[hit].tobytes(),
-                             "before": before[hit].tobytes(), "after": after[hit].tobytes()})
-        kind = pa.schema([("chunk", pa.int32()), ("range", pa.int32()), *((x, pa.binary()) for x in (
-            "answer", "wanted", "which", "before", "after"))])
+                             "cover": cover[hit].tobytes()})
+        kind = pa.schema([("chunk", pa.int32()), ("range", pa.int32()), *((x, pa.binary()) for x in ("answer", "wanted", "which", "cover"))])
         return pa.Table.from_pylist(rows, schema=kind)
 
     sent = chunks.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(texts, TEXTS)
@@ -342,24 +352,33 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
-        T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
+        T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType()),
+        T.StructField("n_repeated", T.LongType()), T.StructField("longest_repeat", T.LongType())])
 
     def mark(docs: pa.Table, found: pa.Table) -> pa.Table:
         data, offsets = flat(docs["text"])
-        anchors = Anchors(data, offsets, length, gram)
+        anchors = Anchors(data, offsets, length, gram, report)
         grams, _, _, which, _ = _distinct(anchors)
         cuts = _cuts(grams, bounds)
         is_status = np.array([x is not None for x in found["answer"].to_pylist()], bool)
         whole = bits_of(found.filter(pa.array(is_status)), "answer", cuts)
-        before, after = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+        cover = np.zeros((len(grams), 5), np.int64)
         for row in found.filter(pa.array(~is_status)).to_pylist():
-            at = np.frombuffer(row["which"], np.int64)
-            before[at], after[at] = np.frombuffer(row["before"], np.int32), np.frombuffer(row["after"], np.int32)
-        all_ = whole[which]
-        start = np.where(all_, anchors.start, anchors.place - before[which])
-        end = np.where(all_, anchors.end, anchors.place + after[which])
-        hit = all_ | (after[which] > 0)
-        gone = covered(start[hit], (end - start)[hit], len(data))
+            cover[np.frombuffer(row["which"], np.int64)] = np.frombuffer(row["cover"], np.int32).reshape(-1, 5)
+        size = anchors.end - anchors.start
+        cover = cover[which]
+
+        def reached(least: int, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+            all_ = whole[which] & (size >= least)
+            start, end = np.where(all_, anchors.start, anchors.place - before), np.where(all_, anchors.end, anchors.place + after)
+            hit = all_ | (after > 0)
+            return covered(start[hit], (end - start)[hit], len(data))
+
+        gone = reached(length, cover[:, 0], cover[:, 1])
+        told = np.concatenate(([0], np.cumsum(gone if report == length else reached(report, cover[:, 2], cover[:, 3]))))
+        best = np.maximum(np.where(whole[which], size, 0), cover[:, 4])
+        longest = np.zeros(docs.num_rows, np.int64)
+        np.maximum.at(longest, np.searchsorted(offsets, anchors.place, "right") - 1, np.where(best >= report, np.minimum(best, length), 0))
         removed, n_spans, begins, stops, kept = [], [0], [], [], []
         for i in range(docs.num_rows):
             low, high = int(offsets[i]), int(offsets[i + 1])
@@ -374,6 +393,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({
             id_col: docs["id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "starts": lists(np.concatenate(begins), ends, pa.int64()), "ends": lists(np.concatenate(stops), ends, pa.int64()),
-            "kept": pa.array(kept, pa.binary())})
+            "kept": pa.array(kept, pa.binary()), "n_repeated": pa.array(np.diff(told[offsets]), pa.int64()),
+            "longest_repeat": pa.array(longest, pa.int64())})
 
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(mark, out)
