@@ -13,6 +13,7 @@ from tracewright import __main__ as cli
 from tracewright import config, sinks
 from tracewright.operators import fixes
 from tracewright.operators.ledger import ledger_rows
+from tracewright.operators.records import open_records
 from tracewright.plans.detectors import candidates
 from tracewright.plans.scan import ScanInput, build_index, call_graph
 from tracewright.sources import doctypes as dt
@@ -53,6 +54,41 @@ def paths(df):
 
 
 # ---- sources --------------------------------------------------------------------------------
+def test_listing_reports_what_it_cannot_list(spark, tmp_path, monkeypatch):
+    """A dangling link and an unreadable folder are rows, at the top and deep below."""
+    for deep in ("", "a/b/c/d/"):
+        (tmp_path / deep).mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{deep}ok.py").write_text("x = 1\n")
+        (tmp_path / f"{deep}gone.py").symlink_to(tmp_path / "nowhere.py")
+        (tmp_path / f"{deep}linked").symlink_to(tmp_path)
+        (tmp_path / f"{deep}locked").mkdir()
+        (tmp_path / f"{deep}locked/x.py").write_text("y = 1\n")
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("locked"):
+            raise PermissionError(13, "Permission denied")
+        return real(path)
+
+    found = [(os.path.relpath(p, tmp_path), problem) for p, problem in walk_with(scandir, monkeypatch, str(tmp_path))]
+    want = [(f"{d}{n}", p) for d in ("", "a/b/c/d/") for n, p in (
+        ("ok.py", None), ("gone.py", "link leads nowhere"), ("locked", "folder cannot be listed: Permission denied"))]
+    assert sorted(found) == sorted(want)
+    entries = src.list_entries(spark, {"r": str(tmp_path)}).collect()
+    assert sorted(r.path for r in entries if r.problem) == ["a/b/c/d/gone.py", "gone.py"]
+    assert paths(src.list_files(spark, {"r": str(tmp_path)}, "*.py")) == sorted(f"{d}{n}" for d in ("", "a/b/c/d/") for n in ("ok.py", "locked/x.py"))
+    errors = build_index(ScanInput.of_folders(spark, {"r": str(tmp_path)})).facts.parse_errors.collect()
+    assert sorted(r.path for r in errors) == ["a/b/c/d/gone.py", "gone.py"]
+
+
+def walk_with(scandir, monkeypatch, root):
+    monkeypatch.setattr(os, "scandir", scandir)
+    try:
+        return list(src._walk(root, ()))
+    finally:
+        monkeypatch.undo()
+
+
 def test_discovery(spark, folder):
     names = src.list_files(spark, {"r": folder})
     assert paths(src.python_files(names)) == ["shop/__init__.py", "shop/api.py", "shop/x.py"]
@@ -171,6 +207,11 @@ def test_tables_and_ledger_folder(spark, found, tmp_path):
     assert cli.main(["report", target]) == 0 and cli.main(["fp-report", target]) == 0
 
 
+def whole(target):
+    """The document that part files make when read in the order of their names."""
+    return json.loads("\n".join(p.read_text() for p in sorted(target.glob("part-*"))))
+
+
 # ---- fixes -------------------------------------------------------------------------------------------
 def test_fix_previews_and_rechecks(spark, folder, found):
     names = src.python_files(src.list_files(spark, {"local": folder}))
@@ -266,6 +307,20 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["scan", folder, "--rule", "FR-HOOK-007", "--output", str(tmp_path / "out")]) == 1
     assert "shop/__init__.py:1 f" in capsys.readouterr().out
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+    book, more = str(tmp_path / "book"), ["--rule", "FR-HOOK-007"]
+    assert cli.main(["scan", folder, *more, "--ledger", book, "--records", str(tmp_path / "records")]) == 1
+    assert cli.main(["scan", folder, *more, "--ledger", book, "--ledger-version", "0"]) == 2  # someone has written since
+    assert cli.main(["scan", folder, *more, "--ledger", book, "--ledger-version", "1", "--ledger-files", str(tmp_path / "files")]) == 1
+    assert cli.main(["report", book]) == 0 and cli.main(["fp-report", book]) == 0 and len(list((tmp_path / "files").iterdir())) == 1
+    store = open_records(spark, str(tmp_path / "records"))
+    assert store.scans.read().first().status == "done" and store.findings.read().count() == 1
+    assert cli.main(["scan", folder, *more, "--format", "payload", "--output", str(tmp_path / "one")]) == 1
+    assert list(whole(tmp_path / "one")) == ["candidates"]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "y.py").write_text("def g(a=[]):\n    pass\ndef h(a={}):\n    pass\n")
+    assert cli.main(["scan", folder, str(tmp_path / "other"), str(tmp_path / "empty"), *more, "--format", "payload", "--output", str(tmp_path / "all")]) == 1
+    results = whole(tmp_path / "all")["results"]
+    assert {k: len(v) for k, v in results.items()} == {os.path.basename(folder): 1, "other": 2, "empty": 0}
     assert cli.main(["fix", folder, "--rule", "FR-PERM-001", "--output", str(tmp_path / "patches")]) == 0
     assert spark.read.json(str(tmp_path / "patches")).count() == 1
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +36,14 @@ class ScanInput:
 
     @staticmethod
     def of_folders(spark: SparkSession, repos: dict[str, str]) -> ScanInput:
-        """Names are listed once; only the wanted files are opened."""
-        names = src.list_files(spark, repos)
-        return ScanInput(*(src.read_contents(pick(names)) for pick in (src.python_files, src.doctype_files, src.hook_files)))
+        """Names are listed once, into a table; only the wanted files are opened.  Folders that could not be
+        listed and links that lead nowhere become rows of the Python files, without content, so that
+        they show among the parse errors."""
+        entries = materialise(src.list_entries(spark, repos), "listing")
+        names = entries.where("problem IS NULL").drop("problem")
+        missing = entries.where("problem IS NOT NULL").select("repo", "path", "abs_path", F.lit(None).cast("binary").alias("content"))
+        given = ScanInput(*(src.read_contents(pick(names)) for pick in (src.python_files, src.doctype_files, src.hook_files)))
+        return replace(given, python=given.python.unionByName(missing))
 
 
 def build_index(given: ScanInput, *, app_order: list[str] | None = None, strict_schema: bool = False) -> Index:

@@ -6,6 +6,8 @@ documents as ledger rows, document text as source text, parts as hook handlers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -13,8 +15,10 @@ from ..operators import findings as fd
 from ..operators import graph as gr
 from ..operators import ledger as lg
 from ..operators import mentions as mn
+from ..operators import records as rc
 from ..operators import reports as rp
 from ..operators import view as vw
+from ..session import work_dir
 from ..sources import hooks as hk
 from .catalog import query
 from .derived_app import FILE
@@ -576,6 +580,54 @@ def scan_stats(spark, sf):
     return rp.scan_stats(_scan_findings(spark, sf))
 
 
+# ---- the same as stored tables: written in two batches, proofs on top --------------------------------------
+def _stored_records(spark, sf):
+    """Orders are findings: the first batch has those before 1997, the second all of urgent priority and
+    those since 1996; every item of an order with three or more is a proof.  Customers are scans."""
+    store = rc.open_records(spark, f"{work_dir(spark)}/records-{uuid.uuid4().hex}", parts=16)
+    customers = _t(spark, sf, "customer").select(
+        c("c_custkey").cast("string").alias("scan_id"), c("c_name").alias("repo_path"), c("c_acctbal").alias("started_at"))
+    rc.start_scans(store, customers)
+    orders = _t(spark, sf, "orders").withColumns({"id": c("o_orderkey").cast("string"), "rule_id": F.expr(_RULE), "file": c("o_orderstatus")})
+    rows = lambda df, batch: rc.finding_rows(df.withColumn("line", F.lit(batch)), c("o_custkey").cast("string"), batch)
+    rc.record_findings(store, rows(orders.where("o_orderdate < '1997-01-01'"), 1))
+    rc.record_findings(store, rows(orders.where("o_orderdate >= '1996-01-01' OR o_orderpriority = '1-URGENT'"), 2))
+    proofs = _t(spark, sf, "lineitem").where("l_linenumber >= 3").select(
+        c("l_orderkey").cast("string").alias("finding_id"), c("l_linenumber").alias("exit_code"),
+        *[F.lit(None).alias(n) for n in ("stdout", "stderr", "reproducer_path", "reproducer_source", "error_message", "duration_seconds")],
+        F.expr("CASE WHEN l_linenumber % 3 = 0 THEN 'PASSED' WHEN l_linenumber % 3 = 1 THEN 'FAILED' ELSE 'SKIPPED' END").alias("proof_status"),
+        (c("l_linenumber") % 4).cast("int").alias("proof_tier"), c("l_linenumber").cast("double").alias("proved_at"))
+    rc.record_proofs(store, proofs)
+    rc.finish_scans(store, customers.where("started_at > 0").select("scan_id", (c("started_at") + 1).alias("finished_at"), F.lit("done").alias("status")))
+    return store
+
+
+_STORED_SQL = f"""o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS scan_id, {_RULE} AS rule_id, o_orderstatus AS file,
+    CASE WHEN o_orderdate >= DATE '1996-01-01' OR o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS line FROM orders),
+  p AS (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1),
+  stored AS (SELECT CAST(o.k AS VARCHAR) AS finding_id, scan_id, rule_id, file, line, CASE WHEN n IS NULL THEN 'candidate' WHEN n % 3 = 0 THEN 'proven'
+    WHEN n % 3 = 1 THEN 'refuted' ELSE 'skipped' END AS status, CASE n % 3 WHEN 0 THEN 'PASSED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'SKIPPED' END AS proof_status,
+    n % 4 AS proof_tier FROM o LEFT JOIN p USING (k))"""
+
+
+@query("stored_findings", f"WITH {_STORED_SQL} SELECT finding_id, scan_id, rule_id, file, line, status, proof_status, CAST(proof_tier AS INT) AS proof_tier FROM stored")
+def stored_findings(spark, sf):
+    """The findings table after two overlapping batches and the proofs."""
+    return _stored_records(spark, sf).findings.read().select(
+        "finding_id", "scan_id", "rule_id", "file", "line", "status", "proof_status", "proof_tier")
+
+
+@query("stored_scans", f"""WITH {_STORED_SQL} SELECT CAST(c_custkey AS VARCHAR) AS scan_id, c_name AS repo_path, CAST(c_acctbal AS DOUBLE) AS started_at,
+  CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DOUBLE) + 1 END AS finished_at, CASE WHEN c_acctbal > 0 THEN 'done' ELSE 'running' END AS status,
+  count(finding_id) AS finding_count, count(*) FILTER (stored.status = 'proven') AS proven_count, count(*) FILTER (stored.status = 'refuted') AS refuted_count,
+  count(*) FILTER (stored.status = 'skipped') AS skipped_count, count(*) FILTER (stored.status = 'candidate') AS candidate_count
+  FROM customer LEFT JOIN stored ON scan_id = CAST(c_custkey AS VARCHAR) GROUP BY c_custkey, c_name, c_acctbal""")
+def stored_scans(spark, sf):
+    """The list of scans, from the stored tables."""
+    store = _stored_records(spark, sf)
+    return rp.scan_list(store.scans.read(), store.findings.read())
+
+
 @query("latest_scan", "SELECT arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS scan_id FROM orders WHERE o_orderstatus = 'F'")
 def latest_scan(spark, sf):
     return rp.latest_scan(_t(spark, sf, "orders").select(

@@ -61,6 +61,22 @@ PROOF_RESULTS = """
     error_message string, reproducer_hash string
 """
 
+SCAN_RECORDS = "scan_id string, repo_path string, started_at double, finished_at double, status string"
+
+FINDING_RECORDS = """
+    finding_id string, scan_id string, rule_id string, rule_version string, taxonomy_id string,
+    file string, line int, function string, code_location_hash string, evidence string,
+    description string, remediation string, proof_recipe string, proof_tier int, status string,
+    proof_status string, fix_confidence string, target_arg string, severity_score double,
+    severity_json string, created_at double
+"""
+
+PROOF_RECORDS = """
+    finding_id string, exit_code int, stdout string, stderr string, reproducer_path string,
+    reproducer_source string, error_message string, duration_seconds double,
+    proof_status string, proof_tier int, proved_at double
+"""
+
 FIX_PATCHES = """
     finding_id string, rule_id string, file string, start_line int, end_line int,
     modified_source string, diff string, description string, is_valid boolean

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions.scoring import band, report_level
 from .operators.findings import display_order, fingerprint, keep_first
+from .operators.ledger import apply_results
 from .operators.view import numbered
 from .schemas import LEDGER
+from .tables import Table, is_table
 
 c = F.col
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -101,9 +103,43 @@ def payload_lines(groups: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [*parts, last])
 
 
+def payload_by_repo(findings: DataFrame, repos: list[str]) -> DataFrame:
+    """(section, number, line): one document ``{"results": {"<repo>": [...], ...}}`` with a list for each
+    repository, also for one without findings.
+
+    A line that is not a repository's first one begins with a comma, so rows are numbered within their repository: a
+    running number less the number of rows in the repositories before (as many counts as repositories).
+    """
+    names = sorted(repos)
+    order = [c("repo"), *display_order(), c("id")]
+    rows = numbered(public_columns(findings), [*order], "_row")
+    before, starts = 0, []
+    counts = {r.repo: r["count"] for r in findings.groupBy("repo").count().collect()}
+    for name in names:
+        starts.append((name, names.index(name), before))
+        before += counts.get(name, 0)
+    place = findings.sparkSession.createDataFrame(starts, "repo string, section int, before long")
+    fields = [f for f in rows.columns if f != "_row"]
+    number = c("_row") - c("before")
+    body = rows.join(F.broadcast(place), ["repo"]).select(
+        (2 * c("section") + 1).alias("section"), number.alias("number"),
+        F.concat(F.when(number > 1, ",").otherwise(""), F.to_json(F.struct(*fields))).alias("line"))
+    heads = [(2 * i, 0, ('{"results":{' if i == 0 else "],") + json.dumps(name) + ":[") for i, name in enumerate(names)]
+    heads.append((2 * len(names), 0, "]}}" if names else '{"results":{}}'))
+    return body.unionByName(findings.sparkSession.createDataFrame(heads, "section int, number long, line string"))
+
+
 def write_payload(groups: dict[str, DataFrame], path: str) -> None:
     """Part files that, concatenated in name order, are one document."""
-    payload_lines(groups).orderBy("section", "number").select("line").write.mode("overwrite").text(path)
+    _write_lines(payload_lines(groups), path)
+
+
+def write_payload_by_repo(findings: DataFrame, repos: list[str], path: str) -> None:
+    _write_lines(payload_by_repo(findings, repos), path)
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    lines.orderBy("section", "number").select("line").write.mode("overwrite").text(path)
 
 
 def baseline(findings: DataFrame) -> DataFrame:
@@ -139,14 +175,42 @@ def read_baseline(spark, path: str) -> DataFrame:
 
 
 # ---- ledger ----------------------------------------------------------------------------
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """A ledger version as a table of its own; readers use the newest complete one."""
-    ledger.write.mode("errorifexists").parquet(path)
+def ledger_table(spark, path: str, parts: int = 64) -> Table:
+    """The ledger as a table in versions (see ``tables``)."""
+    return Table(spark, path, LEDGER, ["id"], parts)
 
 
-def read_ledger_folder(spark, folder: str) -> DataFrame:
-    """Ledger kept as one YAML file per finding (also in sibling ``findings_latest_*``
-    folders), read inside tasks; files that are no mapping are left out."""
+def write_ledger(ledger: DataFrame, path: str, base: int | None = None) -> int:
+    """Add the rows whose id the ledger does not have, as a new version; its number.
+
+    ``base``: the version that the rows were derived from; if another writer has committed since,
+    nothing is written and ``StaleVersion`` raised."""
+    return ledger_table(ledger.sparkSession, path).insert_absent(ledger, base=base)
+
+
+def write_results(spark, path: str, results: DataFrame, today: str, base: int | None = None) -> int:
+    """Record proof results in the ledger, as a new version; only the parts that hold their findings
+    are written."""
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return apply_results(old, new.withColumnRenamed("id", "finding_id"), today)
+
+    return ledger_table(spark, path).merge(results.withColumnRenamed("finding_id", "id"), change, base)
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The newest version of a ledger table, or the entries of a folder of YAML files."""
+    if is_table(spark, path):
+        return ledger_table(spark, path).read()
+    return read_ledger_folder(spark, path)
+
+
+_ENTRY = f"{LEDGER}, source string, problem string"
+
+
+def ledger_entries(spark, folder: str) -> DataFrame:
+    """Ledger kept as one YAML file per finding (also in sibling ``findings_latest_*`` folders), read
+    inside tasks: the entry's columns, the file's path, and what is wrong with the file, if
+    it could not be read as an entry."""
     import pyarrow as pa
 
     from .schemas import arrow_schema
@@ -155,33 +219,59 @@ def read_ledger_folder(spark, folder: str) -> DataFrame:
     parent = os.path.dirname(os.path.abspath(folder))
     siblings = sorted(n for n in os.listdir(parent) if n.startswith("findings_latest_")) if os.path.isdir(parent) else []
     folders = {"ledger": folder, **{n: os.path.join(parent, n) for n in siblings if os.path.join(parent, n) != os.path.abspath(folder)}}
-    schema = arrow_schema(LEDGER)
-    types = {f.name: f.type for f in schema}
+    schema = arrow_schema(_ENTRY)
+    types = {f.name: f.type for f in schema if f.name not in ("source", "problem")}
+
+    def history(value):
+        if not isinstance(value, list):
+            return []
+        return [{k: None if v is None else (v if isinstance(v, int) else None) if k == "proof_tier" else str(v) for k, v in entry.items()
+                 if k in ("date", "status", "proof_tier", "reproducer_hash")} for entry in value if isinstance(entry, dict)]
 
     def fit(name, value):
         kind = types[name]
-        if value is None or name == "status_history":
-            return [{k: None if v is None else (int(v) if k == "proof_tier" else str(v)) for k, v in entry.items()
-                     if k in ("date", "status", "proof_tier", "reproducer_hash")} for entry in value or []] if name == "status_history" else None
+        if name == "status_history":
+            return history(value)
+        if value is None:
+            return None
         if kind == pa.int32():
-            return value if isinstance(value, int) else None
+            return value if isinstance(value, int) and abs(value) < 1 << 31 else None
         return bool(value) if kind == pa.bool_() else str(value)
 
-    def parse(batches):
+    def entry_of(content):
+        """(columns, problem)"""
         import yaml
 
+        if content is None:
+            return {}, "file cannot be read"
+        try:
+            entry = yaml.safe_load(content)
+        except (yaml.YAMLError, UnicodeDecodeError, ValueError, RecursionError) as problem:
+            return {}, f"no YAML: {str(problem).splitlines()[0][:200] if str(problem) else type(problem).__name__}"
+        if not isinstance(entry, dict):
+            return {}, "no mapping"
+        return {name: fit(name, entry.get(name)) for name in types}, None
+
+    def parse(batches):
         for batch in batches:
             rows = []
-            for content in batch.column("content").to_pylist():
-                try:
-                    entry = yaml.safe_load(content)
-                except yaml.YAMLError:
-                    continue
-                if isinstance(entry, dict):
-                    rows.append({name: fit(name, entry.get(name)) for name in types})
+            for path, content in zip(batch.column("abs_path").to_pylist(), batch.column("content").to_pylist()):
+                entry, problem = entry_of(content)
+                rows.append({**entry, "source": path, "problem": problem})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return read_contents(list_files(spark, folders, "*.yaml")).mapInArrow(parse, LEDGER)
+    files = read_contents(list_files(spark, folders, "*.yaml"))
+    return files.mapInArrow(parse, _ENTRY)
+
+
+def read_ledger_folder(spark, folder: str) -> DataFrame:
+    """The entries of a folder of YAML files; ``ledger_problems`` has the files that are none."""
+    return ledger_entries(spark, folder).where("problem IS NULL").drop("source", "problem")
+
+
+def ledger_problems(spark, folder: str) -> DataFrame:
+    """(source, problem): files of a ledger folder that cannot be read or are no entry."""
+    return ledger_entries(spark, folder).where("problem IS NOT NULL").select("source", "problem")
 
 
 def write_ledger_folder(ledger: DataFrame, folder: str) -> None:

@@ -23,8 +23,8 @@ from ..functions.framework import SKIPPED_DIRS, SKIPPED_SCHEMA_DIRS
 from ..session import ship_package
 from ..schemas import SOURCE_FILES, arrow_schema
 
-LISTING = "repo string, path string, abs_path string"
-START = "repo string, root string, start string"
+LISTING = "repo string, path string, abs_path string, problem string"
+START = "repo string, root string, start string, problem string"
 # folders no selection of a scan wants; they are not entered at all
 PRUNED = tuple(sorted(set(SKIPPED_DIRS) & set(SKIPPED_SCHEMA_DIRS)))
 
@@ -49,11 +49,12 @@ def pack(files: DataFrame, target: str) -> None:
     files.withColumn("kind", kind).write.partitionBy("kind").mode("errorifexists").parquet(target)
 
 
-def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*", pruned=PRUNED) -> DataFrame:
-    """Names of all files below the given roots, walked inside tasks.
+def list_entries(spark: SparkSession, repos: dict[str, str], pattern: str = "*", pruned=PRUNED) -> DataFrame:
+    """(repo, path, abs_path, problem) of all files below the given roots, walked inside tasks.
 
-    The folders of the first two levels are dealt out again before they are walked, so a
-    repository with one large folder is not walked by one task.
+    A folder that cannot be listed, and a link that leads nowhere, is a row with a problem.  Links to
+    folders are not followed (a root may be one).  The folders of the first two levels are dealt
+    out again before they are walked, so a repository with one large folder is not walked by one task.
     """
     starts = [item for repo, root in repos.items() for item in _first_level(repo, os.path.abspath(root), pruned)]
     listing, start_schema = arrow_schema(LISTING), arrow_schema(START)
@@ -62,51 +63,81 @@ def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*", p
 
     def deeper(batches):
         for batch in batches:
-            rows = [{"repo": repo, "root": root, "start": path}
-                    for repo, root, start in zip(*(batch.column(i).to_pylist() for i in range(3)))
-                    for path in ([start] if os.path.isfile(start) else _entries(start, pruned))]
+            rows = []
+            for row in batch.to_pylist():
+                found = [(row["start"], row["problem"])] if row["problem"] or not _is_folder(row["start"]) else _entries(row["start"], pruned)
+                rows += [{**row, "start": path, "problem": problem} for path, problem in found]
             yield pa.RecordBatch.from_pylist(rows, schema=start_schema)
 
     def walk(batches):
         for batch in batches:
-            for repo, root, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row in batch.to_pylist():
                 block = []
-                for path in _walk(start, pruned):
-                    if fnmatch.fnmatchcase(os.path.basename(path), pattern):
-                        relative = os.path.relpath(path, root).replace(os.sep, "/")
-                        block.append({"repo": repo, "path": relative, "abs_path": path})
+                for path, problem in [(row["start"], row["problem"])] if row["problem"] else _walk(row["start"], pruned):
+                    if problem or fnmatch.fnmatchcase(os.path.basename(path), pattern):
+                        relative = os.path.relpath(path, row["root"]).replace(os.sep, "/")
+                        block.append({"repo": row["repo"], "path": relative, "abs_path": path, "problem": problem})
                     if len(block) >= 10000:
                         yield pa.RecordBatch.from_pylist(block, schema=listing)
                         block = []
                 if block:
                     yield pa.RecordBatch.from_pylist(block, schema=listing)
 
-    entries = spark.createDataFrame(starts or [("", "", "")], START).where("start <> ''")
+    entries = spark.createDataFrame(starts or [("", "", "", None)], START).where("start <> ''")
     for _ in range(2):
         entries = entries.repartition(max(1, min(tasks, len(starts) * 16))).mapInArrow(deeper, START)
     return entries.repartition(tasks, "start").mapInArrow(walk, LISTING)
 
 
+def list_files(spark: SparkSession, repos: dict[str, str], pattern: str = "*", pruned=PRUNED) -> DataFrame:
+    """(repo, path, abs_path) of the files that ``list_entries`` finds."""
+    return list_entries(spark, repos, pattern, pruned).where("problem IS NULL").drop("problem")
+
+
 def _first_level(repo, root, pruned):
-    if os.path.isfile(root):
-        return [(repo, os.path.dirname(root), root)]
-    if not os.path.isdir(root):
-        return []
-    return [(repo, root, path) for path in _entries(root, pruned)]
+    if not _is_folder(root):
+        return [(repo, os.path.dirname(root), root, None)] if os.path.isfile(root) else []
+    return [(repo, root, path, problem) for path, problem in _entries(root, pruned)]
+
+
+def _is_folder(path):
+    return os.path.isdir(path)
 
 
 def _entries(folder, pruned):
-    return [os.path.join(folder, name) for name in sorted(os.listdir(folder))
-            if name not in pruned or os.path.isfile(os.path.join(folder, name))]
+    """(path, problem) of what a folder holds, without links to folders."""
+    try:
+        with os.scandir(folder) as found:
+            entries = sorted(found, key=lambda e: e.name)
+    except OSError as problem:
+        return [(folder, f"folder cannot be listed: {problem.strerror or type(problem).__name__}")]
+    out = []
+    for entry in entries:
+        try:
+            if entry.is_dir():
+                if entry.name not in pruned and not entry.is_symlink():
+                    out.append((entry.path, None))
+            elif entry.is_file():
+                out.append((entry.path, None))
+            elif entry.is_symlink():
+                out.append((entry.path, "link leads nowhere"))
+        except OSError as problem:
+            out.append((entry.path, f"cannot be looked at: {problem.strerror or type(problem).__name__}"))
+    return out
 
 
 def _walk(start, pruned):
-    if os.path.isfile(start):
-        yield start
-    for folder, folders, names in os.walk(start):
-        folders[:] = [name for name in folders if name not in pruned]
-        for name in names:
-            yield os.path.join(folder, name)
+    """(path, problem) of all files below a folder, or of a file itself."""
+    if not _is_folder(start):
+        yield start, None
+        return
+    waiting = [start]
+    while waiting:
+        for path, problem in _entries(waiting.pop(), pruned):
+            if problem is None and _is_folder(path):
+                waiting.append(path)
+            else:
+                yield path, problem
 
 
 def without_folders(files: DataFrame, skipped=SKIPPED_DIRS) -> DataFrame:
