@@ -21,7 +21,7 @@ def spark():
 def packed(spark):
     """Files given as {repo: {path: text}} -> packed table."""
     def build(repos):
-        rows = [(repo, path, bytearray(text if isinstance(text, bytes) else text.encode()))
+        rows = [(repo, path, None if text is None else bytearray(text if isinstance(text, bytes) else text.encode()))
                 for repo, files in repos.items() for path, text in files.items()]
         return spark.createDataFrame(rows, "repo string, path string, content binary").repartition(8)
     return build

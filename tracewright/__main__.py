@@ -33,6 +33,7 @@ def _arguments(argv):
     scan.add_argument("--ledger", help="ledger table that gets the new findings, as a new version")
     scan.add_argument("--ledger-version", type=int, help="refuse to write if the ledger has a newer version than this")
     scan.add_argument("--ledger-files", help="folder that gets a YAML file per new finding")
+    scan.add_argument("--modules", help="folder of modules parsed by earlier scans; only new contents are parsed")
     scan.add_argument("--records", help="folder of the tables of scans and findings, which this scan is added to")
     for name, text in (("report", "track record"), ("fp-report", "false-positive rates")):
         commands.add_parser(name, help=text).add_argument("ledger")
@@ -55,6 +56,7 @@ def main(argv=None) -> int:
 def _scan(spark, args) -> int:
     from . import config, scan_multi, sinks
     from .session import materialise, work_tables
+    from .sources.parsed import ParsedModules
 
     named = [(os.path.basename(os.path.abspath(p)), p) for p in args.path]
     if args.config:
@@ -71,6 +73,8 @@ def _scan(spark, args) -> int:
         options["changed"] = config.changed_in(spark, repos, args.diff)
     if args.baseline:
         options["baseline"] = sinks.read_baseline(spark, args.baseline)
+    if args.modules:
+        options["modules"] = ParsedModules(spark, args.modules)
     with work_tables(spark):
         started = time.time()
         found = materialise(scan_multi(spark, repos, fp_log=args.fp_log, **options), "findings")

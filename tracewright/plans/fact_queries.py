@@ -3,6 +3,7 @@ graph, schema documents, hooks, fixes, re-checks, reports of the scan."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from ..operators import fixes, ledger as lg
 from ..operators import rules as rl
 from ..sources import doctypes as dt
 from ..sources import files as src
+from ..session import materialise, work_dir
+from ..sources.parsed import ParsedModules
 from ..sources.python_source import syntax_rows
 from . import derived_app as app
 from .catalog import _ENABLED, derived_index, query
@@ -149,13 +152,15 @@ _RECHECKED = [r for r in _ENABLED if r in fixes.RECHECKED]
   FROM ({union_sql([*_RECHECKED, 'FR-SQLI-001'])}) LEFT JOIN (SELECT {app.REPO} AS repo, {app.FILE} AS file, p_retailprice FROM part) USING (repo, file)"""))
 def recheck_findings(spark, sf):
     """Findings against current sources, in which the modules of expensive parts are empty."""
-    found = findings(derived_index(spark, sf), rules=[*_RECHECKED, "FR-SQLI-001"])
     given = app.derived_sources(spark, sf)
+    # the second index parses what the first has not: one content
+    modules = ParsedModules(spark, f"{work_dir(spark)}/modules-{uuid.uuid4().hex}", parts=16)
+    found = materialise(findings(build_index(given, modules=modules), rules=[*_RECHECKED, "FR-SQLI-001"]), "findings")
     emptied = spark.read.parquet(f"{sf}/part.parquet").where("p_retailprice > 1200").select(
         F.expr(app.REPO).alias("repo"), F.expr(app.FILE).alias("path"), F.lit(True).alias("_gone"))
     current = given.python.join(emptied, ["repo", "path"], "left").withColumn(
         "content", F.when(c("_gone"), F.lit("").cast("binary")).otherwise(c("content"))).drop("_gone")
-    again = candidates(build_index(ScanInput(current, given.schema, given.hooks)), rules=_RECHECKED)
+    again = candidates(build_index(ScanInput(current, given.schema, given.hooks), modules=modules), rules=_RECHECKED)
     checked = fixes.recheck(found, again).select(c("finding_id").alias("id"), c("status").alias("outcome"))
     return found.join(checked, ["id"]).select("rule_id", "function", "file", "line", "repo", c("outcome").alias("status"))
 

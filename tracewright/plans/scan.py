@@ -16,6 +16,7 @@ from ..session import materialise
 from ..sources import doctypes as dt
 from ..sources import files as src
 from ..sources import hooks as hk
+from ..sources.parsed import ParsedModules, parsed_rows
 from ..sources.python_source import syntax_rows
 from .detectors import Index, candidates
 
@@ -46,14 +47,17 @@ class ScanInput:
         return replace(given, python=given.python.unionByName(missing))
 
 
-def build_index(given: ScanInput, *, app_order: list[str] | None = None, strict_schema: bool = False) -> Index:
+def build_index(given: ScanInput, *, app_order: list[str] | None = None, strict_schema: bool = False,
+                modules: ParsedModules | None = None) -> Index:
     """Parse once, write the relations the detectors share, derive the function flags.
 
+    With ``modules`` only contents that these do not have yet are parsed (and added to them).
+
     Parsing is the expensive stage and feeds every detector, so its rows are written as
     a table.  Each task sorts its rows by kind, which lets readers skip the pages of
     other kinds without a shuffle and without a file per task and kind.
     """
-    rows = fact_table(syntax_rows(given.python))
+    rows = fact_table(syntax_rows(given.python) if modules is None else parsed_rows(given.python, modules))
     facts = Facts(materialise(rows.sortWithinPartitions("kind"), "facts"))
     types = materialise(dt.doctypes(given.schema, strict=strict_schema), "doctypes")
     leaves = materialise(hk.hook_leaves(given.hooks), "hooks")
@@ -104,10 +108,10 @@ def findings(ix: Index, *, rules: list[str] | None = None, directive: str = fd.D
     return fd.only_changed(scored, changed) if changed is not None else scored
 
 
-def scan_folders(spark: SparkSession, repos: dict[str, str], **options) -> DataFrame:
-    return findings(build_index(ScanInput.of_folders(spark, repos)), **options)
+def scan_folders(spark: SparkSession, repos: dict[str, str], modules: ParsedModules | None = None, **options) -> DataFrame:
+    return findings(build_index(ScanInput.of_folders(spark, repos), modules=modules), **options)
 
 
-def scan_files(files: DataFrame, **options) -> DataFrame:
+def scan_files(files: DataFrame, modules: ParsedModules | None = None, **options) -> DataFrame:
     """Scan files given as a table ``(repo, path, abs_path, content)``."""
-    return findings(build_index(ScanInput.of_files(files)), **options)
+    return findings(build_index(ScanInput.of_files(files), modules=modules), **options)

@@ -105,7 +105,7 @@ class Table:
     # ---- reading -------------------------------------------------------------------------------
     def folders(self, version: int | None = None, parts: set[int] | None = None) -> list[str]:
         folders = self._entry(self.version() if version is None else version)["folders"]
-        return [f"{self.path}/{folder}" for part, folder in sorted(folders.items()) if parts is None or int(part) in parts]
+        return [f"{self.path}/{folder}" for part, own in sorted(folders.items()) if parts is None or int(part) in parts for folder in own]
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.folders(version))
@@ -149,7 +149,7 @@ class Table:
         entry = self._entry(version)
         touched = self._touched(incoming, entry["parts"])
         changed = change(self._read(self.folders(version, touched)), incoming)
-        kept = {part: folder for part, folder in entry["folders"].items() if int(part) not in touched}
+        kept = {part: own for part, own in entry["folders"].items() if int(part) not in touched}
         return self._commit(changed, version, entry["parts"], kept)
 
     def upsert(self, rows: DataFrame, order: str | None = None, base: int | None = None) -> int:
@@ -167,31 +167,48 @@ class Table:
 
         return self.merge(rows, change, base)
 
+    def append(self, rows: DataFrame, base: int, most_folders: int = 32) -> int:
+        """Rows of keys that the version ``base`` does not have, beside what is there; no part is rewritten but
+        those that consist of ``most_folders`` already.  A newer version than ``base`` is refused, as it
+        may have these keys."""
+        if self.version() != base:
+            raise StaleVersion(f"{self.path}: version {self.version()} is newer than {base}")
+        entry = self._entry(base)
+        full = {part for part, own in entry["folders"].items() if len(own) >= most_folders}
+        again = self._read(self.folders(base, {int(p) for p in full})) if full else None
+        kept = {part: own for part, own in entry["folders"].items() if part not in full}
+        return self._commit(rows if again is None else rows.unionByName(again), base, entry["parts"], kept)
+
     def replace(self, rows: DataFrame, base: int | None = None) -> int:
         """All rows anew, as a version of their own."""
         version = self.version() if base is None else base
         return self._commit(rows, version, self._entry(version)["parts"], {})
 
-    def _commit(self, rows: DataFrame, version: int, parts: int, kept: dict[str, str]) -> int:
+    def _commit(self, rows: DataFrame, version: int, parts: int, kept: dict[str, list[str]]) -> int:
         number = version + 1
         folder = f"data/{number}-{uuid.uuid4().hex}"
         dealt = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema), self._part(parts).alias(_PART))
         # a part goes to one task, a large one to several
         dealt.hint("rebalance", F.col(_PART)).write.partitionBy(_PART).parquet(f"{self.path}/{folder}")
-        written = {n.removeprefix(f"{_PART}="): f"{folder}/{n}" for n in self._files.names(f"{self.path}/{folder}") if n.startswith(_PART)}
+        folders = dict(kept)
+        for name in self._files.names(f"{self.path}/{folder}"):
+            if name.startswith(f"{_PART}="):
+                part = name.removeprefix(f"{_PART}=")
+                folders[part] = [*folders.get(part, []), f"{folder}/{name}"]
         marker = f"{self.path}/versions/{number}"
         if self.version() != version or not self._files.create(f"{marker}.claim"):
             self._files.delete(f"{self.path}/{folder}")
             raise StaleVersion(f"{self.path}: version {number} belongs to another writer")
-        self._files.create(f"{marker}.tmp", json.dumps({"parts": parts, "folders": kept | written}))
+        self._files.create(f"{marker}.tmp", json.dumps({"parts": parts, "folders": folders}))
         self._files.rename(f"{marker}.tmp", f"{marker}.json")
         return number
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove all but the newest ``keep`` versions and the folders that only they name; how many folders went."""
         versions = self.versions()
-        needed = {folder for v in versions[-keep:] for folder in self._entry(v)["folders"].values()}
-        old = {folder for v in versions[:-keep] for folder in self._entry(v)["folders"].values()} - needed
+        used = lambda some: {folder for v in some for own in self._entry(v)["folders"].values() for folder in own}
+        needed = used(versions[-keep:])
+        old = used(versions[:-keep]) - needed
         for v in versions[:-keep]:
             self._files.delete(f"{self.path}/versions/{v}.json")
         return sum(self._files.delete(f"{self.path}/{folder}") for folder in old)
