@@ -252,9 +252,51 @@ def test_fix_previews_and_rechecks(spark, folder, found):
 def test_edits(rule, line, before, after):
     from tracewright.sources import source_edits as edits
 
-    edit, = edits.edits_of(before, [(rule, line)])
+    text = edits.read(before)
+    edit, = edits.edits_of(text, [(rule, line)]) if text else [None]
     assert (edit and edits.apply_edits(before, [edit])) == after
-    assert after is None or edits.is_sound(before, after)
+    assert after is None or edits.is_sound(text, after)
+    if edit:
+        assert patched(before, edits.insertion_diff("x.py", text, edit)) == after
+
+
+def patched(before, diff):
+    """The text after a diff of one hunk, read by its numbers."""
+    import re
+
+    head = re.search(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@\n", diff)
+    start, n_old, n_new = int(head[1]), int(head[2] or 1), int(head[4] or 1)
+    hunk = re.split(r"(?<=\n)(?=[ +-])", diff[head.end():].replace("\n\\ No newline at end of file\n", "\0\n"))
+    hunk = [x.replace("\0\n", "") for x in hunk]
+    old, new = [x[1:] for x in hunk if x[0] != "+"], [x[1:] for x in hunk if x[0] != "-"]
+    lines = before.splitlines(keepends=True)
+    at = start - (n_old > 0)
+    assert lines[at:at + n_old] == old and (len(old), len(new)) == (n_old, n_new)
+    return "".join(lines[:at] + new + lines[at + n_old:])
+
+
+def test_diffs_of_insertions_anywhere():
+    import random
+
+    from tracewright.sources import source_edits as edits
+
+    rng = random.Random(3)
+    for _ in range(500):
+        before = "".join(rng.choice(["a = 1\n", "b = 2\n", "\n", "é = 3\n"]) for _ in range(rng.randrange(9))) + rng.choice(["", "z = 9"])
+        edit = edits.Edit(rng.randrange(len(before) + 1), rng.choice(["x", "x\n", "\nx", "a = 1\n", "\n", "p\nq\n", "\n\nb = 2"]), "")
+        after = edits.apply_edits(before, [edit])
+        text = edits.Source("")
+        text.source = before
+        diff = edits.insertion_diff("x.py", text, edit)
+        assert patched(before, diff) == after, (before, edit)
+
+
+def test_a_comment_is_no_fix():
+    from tracewright.sources import source_edits as edits
+
+    text = edits.Source("def f():\n    return 1\n")
+    assert not edits.is_sound(text, "# more\ndef f():\n    # even more\n    return 1\n")
+    assert edits.is_sound(text, "def f():\n    return 2\n") and not edits.is_sound(text, "def f(:\n")
 
 
 def test_one_bad_file_does_not_end_the_job(spark, packed):

@@ -168,28 +168,31 @@ def recheck_findings(spark, sf):
 _LINE_BREAK = "chr(10)"
 
 
-def _fixed_module(rule: str) -> str:
-    """SQL of the module's text after the fix of a rule."""
-    lines = {n: v for n, v in app.LINES.items()}
+def _fixed_module(rule: str, line: int = 32) -> str:
+    """SQL of the module's text after the fix of a rule (at the function of a line)."""
+    lines = dict(app.LINES)
+
+    def add(after: int, *new: str) -> None:
+        lines[after] = "concat(" + f", {_LINE_BREAK}, ".join([lines[after], *(f"'{x}'" for x in new)]) + ")"
+
     if rule == "FR-PERM-001":
-        lines = lines | {32: f"concat({lines[32]}, {_LINE_BREAK}, '    frappe.only_for(''System Manager'')')"}
+        add(line, "    frappe.only_for(''System Manager'')")
+    if rule == "FR-HOOK-001":
+        add(29, "", "    def on_cancel(self):", "        # undo what on_submit does", "        pass")
     if rule == "FR-HOOK-004":
-        lines = lines | {26: f"concat(substr({lines[26]}, 1, length({lines[26]}) - 1), ', deduplicate=True)')"}
-    text = f"concat_ws({_LINE_BREAK}, " + ", ".join(lines[n] for n in sorted(lines)) + ")"
-    return text
+        lines[26] = f"concat(substr({lines[26]}, 1, length({lines[26]}) - 1), ', deduplicate=True)')"
+    return f"concat_ws({_LINE_BREAK}, " + ", ".join(lines[n] for n in sorted(lines)) + ")"
 
 
-@query("fix_previews", with_base(f"""SELECT f.rule_id, f.file, f.line, true AS is_valid, CASE WHEN f.rule_id = 'FR-HOOK-001' THEN NULL
-    WHEN f.rule_id = 'FR-HOOK-004' THEN sha256({_fixed_module('FR-HOOK-004')})
-    WHEN f.line = 31 OR f.line = 32 THEN sha256({_fixed_module('FR-PERM-001')}) END AS new_text
+@query("fix_previews", with_base(f"""SELECT f.rule_id, f.file, f.line, true AS is_valid, sha256(CASE WHEN f.rule_id = 'FR-HOOK-001' THEN {_fixed_module('FR-HOOK-001')}
+    WHEN f.rule_id = 'FR-HOOK-004' THEN {_fixed_module('FR-HOOK-004')} WHEN f.line < 10 THEN {_fixed_module('FR-PERM-001', 6)}
+    ELSE {_fixed_module('FR-PERM-001')} END) AS new_text
   FROM ({union_sql(['FR-HOOK-001', 'FR-HOOK-004', 'FR-PERM-001'])}) f LEFT JOIN part ON {app.REPO} = f.repo AND {app.FILE} = f.file"""))
 def fix_previews(spark, sf):
-    """Patches of all fixable findings (a handler that names its exception needs none)."""
+    """Patches of all fixable findings, with the whole text of each (a handler that names its exception needs none)."""
     found = findings(derived_index(spark, sf), rules=["FR-HOOK-001", "FR-HOOK-004", "FR-HOOK-006", "FR-PERM-001"])
-    patches = fixes.fix_previews(found, app.derived_sources(spark, sf).python).join(
-        found.select(c("id").alias("finding_id"), "line"), ["finding_id"])
-    known = (c("rule_id") == "FR-HOOK-004") | ((c("rule_id") == "FR-PERM-001") & c("line").isin(31, 32))
-    return patches.select("rule_id", "file", "line", "is_valid", F.when(known, F.sha2("modified_source", 256)).alias("new_text"))
+    patches = fixes.fix_previews(found, app.derived_sources(spark, sf).python)
+    return patches.select("rule_id", "file", "line", "is_valid", F.sha2("modified_source", 256).alias("new_text"))
 
 
 _RULES = ", ".join(f"('{d.rule_id}', '{d.version}', {str(d.enabled).lower()})" for d in DETECTORS)

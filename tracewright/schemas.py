@@ -78,7 +78,7 @@ PROOF_RECORDS = """
 """
 
 FIX_PATCHES = """
-    finding_id string, rule_id string, file string, start_line int, end_line int,
+    finding_id string, rule_id string, file string, line int, start_line int, end_line int,
     modified_source string, diff string, description string, is_valid boolean
 """
 
