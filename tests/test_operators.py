@@ -183,6 +183,73 @@ def test_reachability(spark):
     assert set(column(gr.reach_all(graph, seed), "symbol_id")) == hops[4]
 
 
+def plain_reach(edges, members, seeds):
+    found, waiting = set(seeds), list(seeds)
+    while waiting:
+        x = waiting.pop()
+        for s, d in edges:
+            if s == x:
+                for t in [m for h, m in members if h == d] if d.startswith("*") else [d]:
+                    if t not in found:
+                        found.add(t)
+                        waiting.append(t)
+    return found
+
+
+def graph_of(spark, edges, members):
+    rows = lambda pairs, ddl: spark.createDataFrame([("r", *p) for p in pairs], f"repo string, {ddl}")
+    return gr.CallGraph(rows(edges, "src string, dst string"), rows(members, "hub string, member string"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_by_chains_against_a_plain_walk(spark, seed):
+    """Chains, rings, hubs and branches, and seeds in the middle of all of them."""
+    import random
+
+    rng = random.Random(seed)
+    edges, n = set(), 0
+    for _ in range(12):
+        size, kind = rng.randrange(1, 9), rng.choice(["chain", "ring", "star", "loop"])
+        nodes = [f"n{n + i}" for i in range(size)]
+        edges |= set(zip(nodes, nodes[1:]))
+        if kind == "ring" and size > 1:
+            edges.add((nodes[-1], nodes[0]))
+        if kind == "loop":
+            edges.add((nodes[0], nodes[0]))
+        if kind == "star" and n:
+            edges |= {(nodes[-1], f"n{rng.randrange(n)}"), (f"n{rng.randrange(n)}", nodes[rng.randrange(size)])}
+        if rng.random() < 0.4:
+            edges.add((nodes[-1], f"*h{rng.randrange(3)}"))
+        n += size
+    members = {(f"*h{h}", f"n{rng.randrange(n)}") for h in range(4) for _ in range(2)}
+    seeds = [f"n{rng.randrange(n)}" for _ in range(2)]
+    want = plain_reach(edges, members, seeds)
+    graph = gr.stored(graph_of(spark, edges, members), hub_rows=1)
+    start = spark.createDataFrame([("r", x) for x in {*seeds}], "repo string, symbol_id string")
+    for hops in (0, 1, 3):
+        got = column(gr.reach_all(graph, start, plain_hops=hops), "symbol_id")
+        assert sorted(got) == sorted(want), hops
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    real = gr.materialise
+    monkeypatch.setattr(gr, "materialise", lambda df, name: made.append(name) or real(df, name))
+    at = spark.range(10_000).select(F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("src"), F.concat(F.lit("f"), F.col("id") + 1).alias("dst"))
+    graph = gr.CallGraph(at, spark.createDataFrame([], "repo string, hub string, member string"))
+    seed = spark.createDataFrame([("r", "f20")], "repo string, symbol_id string")
+    assert gr.reach_all(graph, seed).count() == 9981
+    rounds = sum(name in ("reach", "chains") for name in made)
+    assert rounds <= 20, made
+
+
+def test_members_of_uncalled_names_are_left_out(spark):
+    graph = small_graph(spark)
+    kept = gr.stored(graph, hub_rows=1)
+    assert {(r.hub, r.member) for r in kept.members.collect()} == {("*run", "e"), ("*run", "f")}
+    assert {(r.hub, r.parts) for r in kept.hubs.collect()} == {("*run", 2)} and {r.part for r in kept.members.collect()} <= {0, 1}
+
+
 def test_flags_within_one_hop(spark):
     flags = spark.createDataFrame([("r", s, s in "fy", s == "b") for s in "abcdefgxy"], "repo string, symbol_id string, check boolean, write boolean")
     starts = spark.createDataFrame([("r", s) for s in "acdx"], "repo string, symbol_id string")

@@ -9,7 +9,7 @@ so hop counts are those of the plain graph.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class CallGraph:
     members: DataFrame
     unresolved: DataFrame | None = None
     is_stored: bool = False
+    hubs: DataFrame | None = None
 
     @property
     def adjacency(self) -> DataFrame:
@@ -139,13 +140,37 @@ def build_call_graph(facts: Facts, handlers: DataFrame | None = None) -> CallGra
     return CallGraph(edges, members, unresolved)
 
 
-def stored(graph: CallGraph) -> CallGraph:
-    """The graph with its distinct edges and members written once: a traversal joins
-    them in every hop, and should neither plan nor compute them again each time."""
+#: members of a hub that one task joins; larger hubs are dealt into parts
+HUB_ROWS = 20_000
+
+
+def called_members(graph: CallGraph) -> DataFrame:
+    """Members of the hubs that some call leads to; nobody asks for those of other names."""
+    called = graph.adjacency.where(c("dst").startswith("*")).select("repo", c("dst").alias("hub")).distinct()
+    return graph.members.join(called, ["repo", "hub"], "left_semi")
+
+
+def hub_parts(members: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """(repo, hub, parts): into how many parts each hub is dealt, by its size."""
+    return members.groupBy("repo", "hub").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("parts"))
+
+
+def dealt(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members with the part of their hub they belong to: a popular method name may
+    hold a large share of all functions and must not be joined in one task."""
+    return members.join(hubs, ["repo", "hub"]).select(
+        "repo", "hub", "member", F.pmod(F.xxhash64("member"), c("parts")).cast("int").alias("part"))
+
+
+def stored(graph: CallGraph, hub_rows: int = HUB_ROWS) -> CallGraph:
+    """The graph with its distinct edges and the members that calls can lead to written once: a
+    traversal joins them in every hop, and should neither plan nor compute them again each time."""
     if graph.is_stored:
         return graph
     adjacency = materialise(graph.adjacency, "adjacency")
-    return CallGraph(adjacency, materialise(graph.members, "members"), graph.unresolved, True)
+    members = materialise(called_members(replace(graph, edges=adjacency)), "members")
+    hubs = materialise(hub_parts(members, hub_rows), "hubs")
+    return CallGraph(adjacency, materialise(dealt(members, hubs), "members"), graph.unresolved, True, hubs)
 
 
 def callees(graph: CallGraph) -> DataFrame:
@@ -158,23 +183,23 @@ def _labelled(edges: DataFrame, kind: str) -> DataFrame:
 
 
 # ---- traversal ---------------------------------------------------------------------
-HUB_PARTS = 32
 FOUND_PARTS = 4
+#: hops that are walked one by one before what is left is contracted
+PLAIN_HOPS = 8
 
 
-def _salted(members: DataFrame) -> DataFrame:
-    """Members with the part of their hub they belong to: a popular method name may
-    hold a large share of all functions and must not be joined in one task."""
-    return members.withColumn("part", F.pmod(F.hash("member"), F.lit(HUB_PARTS)))
-
-
-def _through_hubs(nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _through_hubs(nodes: DataFrame, graph: CallGraph) -> DataFrame:
     """Nodes (repo, hub) with hubs replaced by their members; plain nodes stay.
 
-    Every hub is asked once per part; plain nodes have a single copy."""
-    is_hub = c("hub").startswith("*")
-    parts = F.when(is_hub, F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    asked = nodes.withColumn("part", F.explode(parts))
+    A hub is asked once for each of its parts; plain nodes have a single copy."""
+    if graph.hubs is None:
+        members = called_members(graph)
+        hubs = hub_parts(members)
+        members = dealt(members, hubs)
+    else:
+        members, hubs = graph.members, graph.hubs
+    asked = nodes.join(hubs, ["repo", "hub"], "left").select(
+        "repo", "hub", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     through = asked.join(members, ["repo", "hub", "part"], "left")
     return through.select("repo", F.coalesce("member", "hub").alias("src")).where(~c("src").startswith("*")).distinct()
 
@@ -185,39 +210,122 @@ def reach(graph: CallGraph, seeds: DataFrame, max_hops: int) -> DataFrame:
     A chain of joins whose length is the hop bound: every step carries the nodes
     found so far along, so no step's plan appears twice.
     """
-    adjacency, members = graph.adjacency, _salted(graph.members)
     found = seeds.select("repo", c("symbol_id").alias("src")).distinct()
     for _ in range(max_hops):
         hop = (
-            found.join(adjacency, ["repo", "src"], "left")
+            found.join(graph.adjacency, ["repo", "src"], "left")
             .select("repo", F.explode(F.array("src", "dst")).alias("hub"))
             .where(c("hub").isNotNull()).distinct()
         )
-        found = _through_hubs(hop, members)
+        found = _through_hubs(hop, graph)
     return found.select("repo", c("src").alias("symbol_id"))
 
 
-def reach_all(graph: CallGraph, seeds: DataFrame) -> DataFrame:
+def reach_all(graph: CallGraph, seeds: DataFrame, plain_hops: int = PLAIN_HOPS) -> DataFrame:
     """Everything reachable from the seeds (seeds included), cycles allowed.
 
-    Semi-naive: each round joins only the nodes found last, and every round's new
-    nodes are written once.  What was found is kept in at most ``FOUND_PARTS`` tables, merged
-    when there are more, so neither the plan nor the files to read grow with the rounds.
+    The first hops are walked one by one: semi-naive, so each joins only the nodes found last.  Most call graphs
+    end there.  What is left of a deeper one is contracted: a chain of functions that only call,
+    and are only called by, one other becomes one node (``chains``), in a number of rounds that
+    follows the logarithm of its length, and the walk goes on from chain to chain.
     """
     graph = stored(graph)
-    adjacency, members = graph.adjacency, _salted(graph.members)
-    frontier = materialise(seeds.select("repo", c("symbol_id").alias("src")).distinct(), "reach")
-    found = [frontier]
-    while True:
-        known = found[0]
-        for part in found[1:]:
-            known = known.unionByName(part)
-        hop = frontier.join(adjacency, ["repo", "src"]).select("repo", c("dst").alias("hub")).distinct()
-        new = materialise(_through_hubs(hop, members).join(known, ["repo", "src"], "left_anti"), "reach")
+    found, frontier = _walk(
+        lambda nodes: _through_hubs(nodes.join(graph.adjacency, ["repo", "src"]).select("repo", c("dst").alias("hub")).distinct(), graph),
+        materialise(seeds.select("repo", c("symbol_id").alias("src")).distinct(), "reach"), plain_hops)
+    if frontier is not None:
+        found = _by_chains(graph, found, frontier)
+    return found.select("repo", c("src").alias("symbol_id"))
+
+
+def _walk(step, start: DataFrame, hops: int | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes (repo, src) found by repeated steps from ``start``, which ``known`` must not hold, and the last
+    ones if ``hops`` did not suffice.
+
+    Every round's new nodes are written once.  What was found is kept in at most ``FOUND_PARTS`` tables,
+    merged when there are more, so neither the plan nor the files to read grow with the rounds.
+    """
+    found, frontier, done = [start], start, 0
+    while hops is None or done < hops:
+        new = step(frontier).join(_all(found if known is None else [known, *found]), ["repo", "src"], "left_anti")
+        new = materialise(new, "reach")
         if new.isEmpty():
-            return known.select("repo", c("src").alias("symbol_id"))
-        found = [*found, new] if len(found) < FOUND_PARTS else [materialise(known.unionByName(new), "reach")]
-        frontier = new
+            return _all(found), None
+        found = [*found, new] if len(found) < FOUND_PARTS else [materialise(_all([*found, new]), "reach")]
+        frontier, done = new, done + 1
+    return _all(found), frontier
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """(repo, node, chain, place) of all nodes that are not the first of their chain.
+
+    ``links``: distinct (repo, src, dst).  A link is inner if nothing else leaves its source and nothing else
+    enters its target; the links of a chain are inner, so a chain is entered at its first node and
+    left at its last one, and only there.  It bears the name of its first node.  Every node points
+    at the one before it, and each round makes pointers four times as long, until they meet a
+    first node.  Nodes whose pointers never do form rings, which nothing enters or leaves: all
+    of a ring's nodes bear the name of the smallest one, at place 0.
+    """
+    single_out = links.groupBy("repo", "src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1 AND src <> dst")
+    single_in = links.groupBy("repo", "dst").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    inner = single_out.join(single_in.select("repo", "dst"), ["repo", "dst"], "left_semi")
+    points = materialise(inner.select(
+        "repo", c("dst").alias("node"), c("src").alias("chain"), F.lit(1).cast("long").alias("place"), c("src").alias("least"),
+        F.lit(False).alias("ends")), "chains")
+    total, reached = points.count(), 1
+    left = total
+    while left and reached <= 4 * total:  # a round more than the longest chain needs, to see that it ends
+        here = points
+        for _ in range(3):  # the pointer's target points further, or is a first node
+            ahead = points.select("repo", c("node").alias("chain"), c("chain").alias("further"), c("place").alias("more"), c("least").alias("low"))
+            joined = here.join(ahead, ["repo", "chain"], "left")
+            here = joined.select(
+                "repo", "node", F.coalesce("further", "chain").alias("chain"), (c("place") + F.coalesce("more", F.lit(0))).alias("place"),
+                F.least("least", "low").alias("least"), c("further").isNull().alias("ends"))
+        points = materialise(here, "chains")
+        left, reached = points.where("NOT ends").count(), reached * 4
+    return points.select("repo", "node", F.when(c("ends"), c("chain")).otherwise(c("least")).alias("chain"),
+                         F.when(c("ends"), c("place")).otherwise(0).alias("place"))
+
+
+def _by_chains(graph: CallGraph, found: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``found`` and all that the frontier reaches, chain by chain.
+
+    Functions that call nothing are left out of the chains and added at the end: calls to them would
+    cut a chain at each of its nodes."""
+    members = graph.members.select("repo", c("hub").alias("src"), c("member").alias("dst"))
+    whole_graph = materialise(graph.adjacency.unionByName(members), "links")
+    callers = whole_graph.select("repo", c("src").alias("dst")).distinct()
+    links = materialise(whole_graph.join(callers, ["repo", "dst"], "left_semi"), "links")
+    last = whole_graph.join(callers, ["repo", "dst"], "left_anti")
+    placed = materialise(chains(links), "placed")
+    inner = placed.select("repo", c("node").alias("src"), "chain", "place")
+    # a link to a node that has no place enters a chain at its first node
+    entering = links.join(placed.select("repo", c("node").alias("dst")), ["repo", "dst"], "left_anti")
+    between = materialise(entering.join(inner, ["repo", "src"], "left").select(
+        "repo", F.coalesce("chain", "src").alias("src"), "dst").distinct(), "between")
+
+    def step(nodes: DataFrame) -> DataFrame:
+        return nodes.join(between, ["repo", "src"]).select("repo", c("dst").alias("src")).distinct()
+
+    # of the chains that the frontier stands in, the nodes from there on
+    begun = frontier.join(inner, ["repo", "src"], "left").groupBy("repo", F.coalesce("chain", "src").alias("chain")).agg(
+        F.min(F.coalesce("place", F.lit(0))).alias("from"))
+    begun = materialise(begun, "begun")
+    onward = placed.join(begun, ["repo", "chain"]).where(c("place") >= c("from")).select("repo", c("node").alias("src"))
+    first = step(begun.select("repo", c("chain").alias("src"))).join(found, ["repo", "src"], "left_anti")
+    entered, _ = _walk(step, materialise(first, "entered"), known=found)
+    whole = placed.join(entered.select("repo", c("src").alias("chain")), ["repo", "chain"], "left_semi").select("repo", c("node").alias("src"))
+    reached = materialise(_all([frontier, onward, entered, whole]).distinct(), "reached")
+    ends = reached.join(last, ["repo", "src"]).select("repo", c("dst").alias("src"))
+    return _all([found, reached, ends]).where(~c("src").startswith("*")).distinct()
 
 
 def within_one_hop(graph: CallGraph, starts: DataFrame, flags: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -75,6 +75,21 @@ def reach_unbounded(spark, sf):
     return gr.reach_all(_graph(spark, sf, cyclic=True), _customers(spark, sf, "c_acctbal < -990"))
 
 
+@query("reach_chain", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS cust, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders)
+SELECT 'r' AS repo, 'O' || k AS symbol_id FROM o WHERE k >= (SELECT min(k) FROM o WHERE cust % 100 = 7)
+UNION SELECT 'r', 'C' || cust FROM o WHERE k >= (SELECT min(k) FROM o WHERE cust % 100 = 7)""")
+def reach_chain(spark, sf):
+    """Every order calls the next one, and some their customer: one chain through the whole table."""
+    orders = vw.numbered(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), [c("o_orderkey")])
+    node = lambda prefix, column: F.concat(F.lit(prefix), column)
+    following = orders.select(c("o_orderkey").alias("following"), (c("number") - 1).alias("number"))
+    edges = orders.join(following, ["number"]).select(F.lit("r").alias("repo"), node("O", "o_orderkey").alias("src"), node("O", "following").alias("dst"))
+    last = orders.select(F.lit("r").alias("repo"), node("O", "o_orderkey").alias("src"), node("C", "o_custkey").alias("dst"))
+    none = spark.createDataFrame([], "repo string, hub string, member string")
+    seeds = orders.where("o_custkey % 100 = 7").select(F.lit("r").alias("repo"), node("O", "o_orderkey").alias("symbol_id"))
+    return gr.reach_all(gr.CallGraph(edges.unionByName(last), none), seeds)
+
+
 @query("callee_lists", f"WITH {_EDGES} SELECT 'r' AS repo, src, string_agg(d, ',' ORDER BY d) AS callees FROM (SELECT src, replace(dst, 'S', '*') AS d FROM e) GROUP BY src")
 def callee_lists(spark, sf):
     return gr.callees(_graph(spark, sf)).withColumn("callees", F.array_join("callees", ","))
