@@ -70,4 +70,4 @@ def scan_findings(spark, sf_dir):
     return found.select(*FINDING, c("severity.score").alias("score"), "id", band("severity.score").alias("band"))
 
 
-from . import fact_queries, table_queries  # noqa: E402,F401  (both register their queries)
+from . import fact_queries, supplier_app, table_queries  # noqa: E402,F401  (they register their queries)
