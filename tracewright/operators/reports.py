@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import IMPACT, band
 from ..functions.text import rule_family
+from ..session import materialise
 from .ledger import CONFIRMED, STATUSES
 
 c = F.col
@@ -79,9 +80,13 @@ def status_counts(ledger: DataFrame) -> DataFrame:
 
 def family_coverage(ledger: DataFrame) -> DataFrame:
     """Findings per family; a family counts every family name it is a prefix of."""
-    counts = ledger.where(c("taxonomy_id").isNotNull()).groupBy(rule_family("taxonomy_id").alias("found")).agg(
-        F.count("*").alias("n"))
-    families = ledger.sparkSession.createDataFrame(
+    return _covered(ledger.sparkSession, ledger.where(c("taxonomy_id").isNotNull()).groupBy(rule_family("taxonomy_id").alias("found")).agg(
+        F.count("*").alias("n")))
+
+
+def _covered(spark, counts: DataFrame) -> DataFrame:
+    """(position, family, title, n) of all families; ``counts``: (found, n)."""
+    families = spark.createDataFrame(
         [(i, k, v) for i, (k, v) in enumerate(FAMILIES.items())], "position int, family string, title string")
     # both sides are per-family totals (tens of rows); prefixes are exploded to keep an equi-join
     prefixes = counts.select("n", F.explode(F.transform(
@@ -147,10 +152,38 @@ def proof_summary(findings: DataFrame) -> DataFrame:
     return counts.withColumn("proven_pct", F.coalesce(ratio(c("proven") * 100, c("total")), F.lit(0.0)))
 
 
+CUBE = ("status", "rule", "family", "repo", "impact_class")
+_COUNTED = ("candidate", "proven", "merged", "false_positive")
+
+
+def report_cube(ledger: DataFrame) -> DataFrame:
+    """All totals of the track record in one pass: (dimension, status, rule_id, rule_version, family, repo,
+    impact_class, n, n_judged, confirmed, and a count for each of ``_COUNTED``).
+
+    Grouping sets: every row is counted once for each dimension, and combined before the shuffle.
+    """
+    sets = (("status",), ("rule_id", "rule_version"), ("family",), ("repo",), ("impact_class",))
+    columns = [x for names in sets for x in names]
+    rows = ledger.select("status", "rule_id", "rule_version", rule_family("taxonomy_id").alias("family"), "repo", "impact_class", c("status").alias("_s"))
+    # grouping_id has a bit for each column that a row is not grouped by
+    full = (1 << len(columns)) - 1
+    of = {full - sum(1 << (len(columns) - 1 - columns.index(x)) for x in names): name for names, name in zip(sets, CUBE)}
+    dimension_of = F.lit(None)
+    for number, name in of.items():
+        dimension_of = F.when(c("_g") == number, name).otherwise(dimension_of)
+    return rows.groupingSets([[c(x) for x in names] for names in sets], *[c(x) for x in columns]).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.count("_s").alias("n_judged"),
+        F.count_if(c("_s").isin(*CONFIRMED)).alias("confirmed"), *[F.count_if(c("_s") == x).alias(x) for x in _COUNTED],
+    ).select(dimension_of.alias("dimension"), *columns, "n", "n_judged", "confirmed", *_COUNTED)
+
+
 def track_record(ledger: DataFrame) -> DataFrame:
     """The track record as lines of Markdown: (section, position, line), to be read in
-    that order.  Every section is an aggregate and stays distributed until written."""
+    that order.  The ledger is read once for all totals, and once for the list of merged
+    findings, which stays distributed until written."""
     spark = ledger.sparkSession
+    cube = materialise(report_cube(ledger), "report-cube")
+    of = lambda name: cube.where(c("dimension") == name)
     parts: list[DataFrame] = []
 
     def fixed(section: int, *lines: str) -> None:
@@ -164,19 +197,24 @@ def track_record(ledger: DataFrame) -> DataFrame:
         line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell.cast("string") for cell in cells]), F.lit(" |"))
         parts.append(rows.select(F.lit(section + 2).alias("section"), position.cast("string").alias("position"), line.alias("line")))
 
-    precision = F.when(c("precision").isNull(), "N/A").otherwise(F.concat(F.bround(c("precision") * 100).cast("int"), F.lit("%")))
+    place = F.lpad(c("position").cast("string"), 3, "0")
     fixed(0, "# Track Record")
-    table(10, "Evidence Status", ["Status", "Count"], status_counts(ledger), F.lpad(c("position").cast("string"), 3, "0"), c("status"), c("n"))
-    table(20, "Rule Precision", ["Rule", "Proven", "False Positives", "Precision"], precision_by_rule(ledger),
-          F.concat_ws("\u0001", "rule_id", "rule_version"), F.concat(c("rule_id"), F.lit(" v"), c("rule_version")), c("proven"), c("false_positives"), precision)
-    table(30, "Rule Coverage", ["Family", "Category", "Findings"], family_coverage(ledger), F.lpad(c("position").cast("string"), 3, "0"),
-          c("family"), c("title"), c("n"))
-    if ledger.select("repo").where("repo IS NOT NULL").distinct().limit(2).count() > 1:
-        table(40, "Per-Repo Breakdown", ["Repo", "Candidates", "Proven", "Merged", "FP"], by_repo(ledger), c("repo"),
+    states = dimension(ledger, STATUSES, "status").join(of("status").select("status", "n"), ["status"], "left").na.fill(0, ["n"])
+    table(10, "Evidence Status", ["Status", "Count"], states, place, c("status"), c("n"))
+    rules = of("rule").where("rule_id IS NOT NULL AND rule_version IS NOT NULL AND n_judged > 0")
+    rate = ratio(c("confirmed"), c("confirmed") + c("false_positive"))
+    precision = F.when(rate.isNull(), "N/A").otherwise(F.concat(F.bround(rate * 100).cast("int"), F.lit("%")))
+    table(20, "Rule Precision", ["Rule", "Proven", "False Positives", "Precision"], rules,
+          F.concat_ws("\u0001", "rule_id", "rule_version"), F.concat(c("rule_id"), F.lit(" v"), c("rule_version")), c("confirmed"), c("false_positive"), precision)
+    table(30, "Rule Coverage", ["Family", "Category", "Findings"], _covered(spark, of("family").where("family IS NOT NULL").select(
+        c("family").alias("found"), "n")), place, c("family"), c("title"), c("n"))
+    repos = of("repo").where("repo IS NOT NULL")
+    if repos.limit(2).count() > 1:
+        table(40, "Per-Repo Breakdown", ["Repo", "Candidates", "Proven", "Merged", "FP"], repos, c("repo"),
               c("repo"), c("candidate"), c("proven"), c("merged"), c("false_positive"))
-    impacts = impact_distribution(ledger)
+    impacts = dimension(ledger, IMPACT_ORDER, "impact_class").join(of("impact_class").select("impact_class", "n"), ["impact_class"])
     if not impacts.isEmpty():
-        table(50, "Severity Distribution", ["Impact Class", "Count"], impacts, F.lpad(c("position").cast("string"), 3, "0"), c("impact_class"), c("n"))
+        table(50, "Severity Distribution", ["Impact Class", "Count"], impacts, place, c("impact_class"), c("n"))
     fixed(60, "", "## Upstream History", "")
     merged = merged_upstream(ledger)
     if merged.isEmpty():

@@ -485,6 +485,40 @@ def impact_distribution(spark, sf):
     return rp.impact_distribution(_ledger(spark, sf)).select("impact_class", "n")
 
 
+def _heading(section: int, title: str, columns: str) -> str:
+    n = columns.count("|") + 1
+    lines = [(section, 0, ""), (section, 1, f"## {title}"), (section, 2, ""), (section + 1, 0, f"| {columns} |"),
+             (section + 1, 1, "| --- |" + " ---: |" * (n - 1))]
+    return " UNION ALL ".join(f"SELECT {s} AS section, '{p:06d}' AS position, '{x}' AS line" for s, p, x in lines)
+
+
+_STATES = "['candidate', 'proven', 'merged', 'patched', 'false_positive', 'regressed']"
+_TITLES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(rp.FAMILIES.items()))
+_IMPACTS = ", ".join(f"({i}, '{k}')" for i, k in enumerate(rp.IMPACT_ORDER))
+
+
+@query("track_record", f"""WITH {_LEDGER_SQL}, pr AS (SELECT rule_id, rule_version, count(*) FILTER (status IN ('proven', 'merged')) AS p, count(*) FILTER (status = 'false_positive') AS f FROM led GROUP BY 1, 2)
+SELECT 0 AS section, '000000' AS position, '# Track Record' AS line UNION ALL {_heading(10, 'Evidence Status', 'Status | Count')}
+UNION ALL SELECT 12, lpad(CAST(i - 1 AS VARCHAR), 3, '0'), '| ' || s || ' | ' || (SELECT count(*) FROM led WHERE status = s) || ' |' FROM (SELECT unnest({_STATES}) AS s, unnest(range(1, 7)) AS i)
+UNION ALL {_heading(20, 'Rule Precision', 'Rule | Proven | False Positives | Precision')}
+UNION ALL SELECT 22, rule_id || chr(1) || rule_version, '| ' || rule_id || ' v' || rule_version || ' | ' || p || ' | ' || f || ' | ' ||
+  CASE WHEN p + f = 0 THEN 'N/A' ELSE CAST(round_even(p::DOUBLE / (p + f)::DOUBLE * 100, 0) AS INT) || '%' END || ' |' FROM pr
+UNION ALL {_heading(30, 'Rule Coverage', 'Family | Category | Findings')}
+UNION ALL SELECT 32, lpad(CAST(i AS VARCHAR), 3, '0'), '| ' || k || ' | ' || t || ' | ' || (SELECT count(*) FROM led WHERE starts_with(regexp_replace(taxonomy_id, '-[^-]*$', ''), k)) || ' |'
+  FROM (VALUES {_TITLES}) v(i, k, t)
+UNION ALL {_heading(40, 'Per-Repo Breakdown', 'Repo | Candidates | Proven | Merged | FP')}
+UNION ALL SELECT 42, repo, '| ' || repo || ' | ' || count(*) FILTER (status = 'candidate') || ' | ' || count(*) FILTER (status = 'proven') || ' | ' || count(*) FILTER (status = 'merged') || ' | '
+  || count(*) FILTER (status = 'false_positive') || ' |' FROM led GROUP BY repo
+UNION ALL {_heading(50, 'Severity Distribution', 'Impact Class | Count')}
+UNION ALL SELECT 52, lpad(CAST(i AS VARCHAR), 3, '0'), '| ' || k || ' | ' || count(*) || ' |' FROM (VALUES {_IMPACTS}) v(i, k) JOIN led ON impact_class = k GROUP BY i, k
+UNION ALL SELECT 60, '000000', '' UNION ALL SELECT 60, '000001', '## Upstream History' UNION ALL SELECT 60, '000002', ''
+UNION ALL SELECT 61, id, '- ' || id || ': merged upstream at pr/' || id FROM led WHERE status = 'merged' AND n_chars > 1000""")
+def track_record(spark, sf):
+    """The whole document, line by line."""
+    upstream = F.when(c("n_chars") > 1000, F.concat(F.lit("pr/"), "id"))
+    return rp.track_record(_ledger(spark, sf).withColumn("upstream_pr", upstream))
+
+
 def _results(spark, sf):
     """Proof results of the documents longer than 500 characters."""
     return _ledger(spark, sf).where("n_chars > 500").selectExpr(
