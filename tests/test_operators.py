@@ -9,6 +9,7 @@ from tracewright.operators import graph as gr
 from tracewright.operators import ledger as lg
 from tracewright.operators import mentions as mn
 from tracewright.operators import reports as rp
+from tracewright.operators import rules as rl
 from tracewright.operators import view as vw
 
 CANDIDATE = "repo string, rule_id string, taxonomy_id string, rule_version string, file string, line int, function string, code_location_hash string"
@@ -166,6 +167,59 @@ def test_mentions_against_brute_force(spark):
     assert {(r.k, r.n) for r in mn.exact_mentions(t, n, ["k"], "t", "n", on=[]).collect()} == exact
 
 
+def test_a_second_page_sorts_and_writes_nothing(spark, monkeypatch):
+    written = []
+    real = vw.materialise
+    monkeypatch.setattr(vw, "materialise", lambda df, name: written.append(name) or real(df, name))
+    rows = spark.range(1, 1001).select(((F.col("id") * 7919) % 1009).alias("key"), "id")
+    want = sorted((r.key, r.id) for r in rows.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        check_pages(rows, want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written == ["numbered"] and vw.paged(rows.limit(0), [F.col("id")]).page(1).collect() == []
+
+
+def check_pages(rows, want):
+    pages = vw.paged(rows, [F.col("key"), F.col("id")])
+    assert pages.total == 1000 and pages.count(30) == 34 and len(pages.ranges.sizes) > 2
+    for number, first in ((1, 0), (2, 30), (17, 480), (34, 990), (99, 990), (-3, 0)):
+        shown = pages.page(number, 30)
+        assert [tuple(r) for r in shown.collect()] == want[first:first + 30]
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "PushedFilters: [" in plan and "_part" in plan
+    whole = [tuple(r) for n in range(1, 35) for r in pages.page(n, 30).collect()]
+    assert whole == want
+
+
+# ---- rules ------------------------------------------------------------------------------------------------
+def test_rules_as_of_versions(spark):
+    rules = spark.createDataFrame([("A", "1.2.0", "old"), ("A", "1.10.0", "new"), ("A", "1.10.0", "new again"), ("B", "2.0", "b"), ("C", "x", "c")],
+                                  "rule_id string, rule_version string, recipe string")
+    found = spark.createDataFrame([(1, "A", "1.9.9"), (2, "A", "1.10.0"), (3, "A", "1.1.0"), (4, "A", "2.0.0"), (5, "B", "2.0"), (6, "D", "1.0.0"), (7, None, "1"),
+                                   (8, "A", None), (9, "C", "0.1"), (2, "A", "1.10.0")], "n int, rule_id string, rule_version string")
+    got = sorted((r.n, r.recipe) for r in rl.as_of(found, rules, "recipe").collect())
+    assert [(n, {"new again": "new"}.get(x, x)) for n, x in got] == [
+        (1, "old"), (2, "new"), (2, "new"), (3, None), (4, "new"), (5, "b"), (6, None), (7, None), (8, None), (9, "c")]
+
+
+def test_registry(spark, tmp_path):
+    rows = {r.entry: r for r in rl.taxonomy(spark).collect()}
+    assert rows["FR-HOOK"].tier == "core" and (rows["FR-HOOK"].first, rows["FR-HOOK"].last) == (1, 7) and not any(r.is_open for r in rows.values())
+    # every detector has its place
+    ids = rl.rule_table(spark).withColumnRenamed("rule_id", "taxonomy_id")
+    assert rl.placed(ids, rl.taxonomy(spark)).where("problem IS NOT NULL").collect() == []
+    path = tmp_path / "registry.yaml"
+    path.write_text("core: {FR-A: {range: 001-002}}\nadditional: {FR-B: {range: x, name: TBD}, FR-C: }\nextensions: {FR-A-009: {status: renamed}}\n")
+    own = rl.taxonomy(spark, str(path))
+    assert {r.entry: r.is_open for r in own.collect()} == {"FR-A": False, "FR-B": True, "FR-C": False, "FR-A-009": False}
+    asked = spark.createDataFrame([(x,) for x in ("FR-A-001", "FR-A-003", "FR-A-009", "FR-Z-001", "FR-B-001", None)], "taxonomy_id string")
+    assert {r.taxonomy_id: (r.entry, r.problem) for r in rl.placed(asked, own).collect()} == {
+        "FR-A-001": ("FR-A", None), "FR-A-003": ("FR-A", "number"), "FR-A-009": ("FR-A-009", None), "FR-Z-001": (None, "unknown"),
+        "FR-B-001": ("FR-B", None), None: (None, "unknown")}
+
+
 # ---- graph ------------------------------------------------------------------------------------------------
 def small_graph(spark):
     edges = spark.createDataFrame([("r", s, d) for s, d in

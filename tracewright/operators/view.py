@@ -46,16 +46,41 @@ def top(findings: DataFrame, order: list[Column], k: int = 0) -> DataFrame:
 
 
 def page(findings: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page, 1-based; a number out of range is moved to the nearest page.
+    """One page, 1-based; a number out of range is moved to the nearest page.  ``order`` must be total.
 
-    The list is put in order and numbered once, in ranges; its length and the page both
-    come from that table.  ``order`` must be total.
-    """
-    ranges = _in_ranges(findings, order)
-    pages = max(1, math.ceil(ranges.total / size))
-    first = (min(max(1, number), pages) - 1) * size
-    shown = ranges.with_numbers("_number").where(c("_number").between(first + 1, first + size))
-    return shown.orderBy("_number").drop("_number")
+    For more than one page of a list keep what ``paged`` returns."""
+    return paged(findings, order).page(number, size)
+
+
+def paged(findings: DataFrame, order: list[Column]) -> Pages:
+    """The list put in order once, for any number of pages.  ``order`` must be total."""
+    return Pages(_in_ranges(findings, order))
+
+
+@dataclass(frozen=True)
+class Pages:
+    """An ordered list, written in ranges, with the sizes of the ranges as its index: a page reads the
+    range or ranges it lies in (Spark skips the files of the others) and sorts nothing but itself."""
+
+    ranges: _Ranges
+
+    @property
+    def total(self) -> int:
+        return self.ranges.total
+
+    def count(self, size: int = PAGE_SIZE) -> int:
+        return max(1, math.ceil(self.total / size))
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        first = (min(max(1, number), self.count(size)) - 1) * size
+        before, wanted = 0, F.lit(False)
+        for part, n in self.ranges.sizes:
+            low, high = max(first - before, 0), min(first + size - before, n)  # places within this range
+            if low < high:
+                wanted = wanted | ((c("_part") == part) & c("_in").between(low + 1, high))
+            before += n
+        # a page is small: one task puts its rows in order
+        return self.ranges.rows.where(wanted).coalesce(1).sortWithinPartitions("_part", "_in").drop("_part", "_in")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import ledger as lg
 from ..operators import mentions as mn
 from ..operators import records as rc
 from ..operators import reports as rp
+from ..operators import rules as rl
 from ..operators import view as vw
 from ..session import work_dir
 from ..sources import hooks as hk
@@ -417,6 +418,22 @@ def page_n(spark, sf):
     return vw.page(_scored(spark, sf), _score_order(), 3).select("l_orderkey", "l_linenumber", "rule_id")
 
 
+_LAST_PAGE = f"(SELECT greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) FROM ({_SCORE_SQL}))"
+
+
+@query("list_pages", f"""SELECT CAST((number - 1) // 25 + 1 AS INT) AS page, l_orderkey, l_linenumber, rule_id FROM ({_SCORE_RANK})
+WHERE (number - 1) // 25 + 1 IN (1, 2, 40, {_LAST_PAGE} - 1, {_LAST_PAGE})""")
+def list_pages(spark, sf):
+    """Several pages of a list that is put in order once."""
+    pages = vw.paged(_scored(spark, sf), _score_order())
+    shown = [pages.page(n).select(F.lit(n).alias("page"), "l_orderkey", "l_linenumber", "rule_id")
+             for n in sorted({1, 2, 40, pages.count() - 1, pages.count()})]
+    rows = shown[0]
+    for more in shown[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
 @query("display_numbers", f"SELECT l_orderkey, l_linenumber, number FROM ({_SCORE_RANK})")
 def display_numbers(spark, sf):
     flat = _scored(spark, sf).select("l_orderkey", "l_linenumber", "rule_id", c("severity.score").alias("score"))
@@ -604,6 +621,46 @@ def taxonomy_drift(spark, sf):
     return lg.taxonomy_drift(ledger, registry)
 
 
+_REGISTERED = ", ".join(f"('{e}', '{t}', {a if a is not None else 'NULL'}, {b if b is not None else 'NULL'})" for e, t, a, b in rl.registry_ranges())
+
+
+@query("registry_coverage", f"""WITH reg AS (SELECT * FROM (VALUES {_REGISTERED}) v(entry, tier, f, l) WHERE tier <> 'extensions'), x AS (SELECT {_FAMILY} AS id FROM orders),
+g AS (SELECT regexp_replace(id, '-[^-]*$', '') AS entry, count(*) AS n_findings, count(DISTINCT id) AS n_rules FROM x GROUP BY 1)
+SELECT reg.entry, tier, CAST(l - f + 1 AS INT) AS n_given, CAST(coalesce(n_findings, 0) AS BIGINT) AS n_findings, coalesce(n_rules, 0) AS n_rules FROM reg LEFT JOIN g USING (entry)""")
+def registry_coverage(spark, sf):
+    """Findings of every family of the registry."""
+    found = _t(spark, sf, "orders").select(F.expr(_FAMILY).alias("taxonomy_id"))
+    return rl.coverage(found, rl.taxonomy(spark)).drop("name")
+
+
+_NUMBERED = "CASE o_orderstatus WHEN 'F' THEN 'FR-PERM-' WHEN 'O' THEN 'FR-NONE-' ELSE 'FR-CORR-' END || lpad(CAST(o_custkey % 9 + 1 AS VARCHAR), 3, '0')"
+
+
+@query("registry_drift", f"""WITH reg AS (SELECT * FROM (VALUES {_REGISTERED}) v(entry, tier, f, l)), x AS (SELECT DISTINCT {_NUMBERED} AS id FROM orders),
+y AS (SELECT id, CAST(substr(id, 9) AS INT) AS n, e.entry AS e, fam.entry AS fam, fam.f, fam.l FROM x LEFT JOIN reg e ON e.entry = id LEFT JOIN reg fam ON fam.entry = substr(id, 1, 7))
+SELECT id AS taxonomy_id, coalesce(e, fam) AS entry, CASE WHEN e IS NULL AND fam IS NULL THEN 'unknown' WHEN e IS NULL AND n NOT BETWEEN f AND l THEN 'number' END AS problem FROM y""")
+def registry_drift(spark, sf):
+    """Ids that the registry does not know, or whose family has not given out their number."""
+    found = _t(spark, sf, "orders").select(F.expr(_NUMBERED.replace("CAST(o_custkey % 9 + 1 AS VARCHAR)", "CAST(o_custkey % 9 + 1 AS STRING)")).alias("taxonomy_id"))
+    return rl.placed(found, rl.taxonomy(spark)).select("taxonomy_id", "entry", "problem")
+
+
+@query("rules_as_of", """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q FROM lineitem),
+d AS (SELECT p_partkey % 6 + 1 AS r, p_size AS v, max(p_name) AS recipe FROM part WHERE p_size % 4 = 0 GROUP BY 1, 2),
+m AS (SELECT l_linenumber, q, max(v) AS v FROM (SELECT DISTINCT l_linenumber, q FROM x) JOIN d ON r = l_linenumber AND v <= q GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, q AS quantity, CASE WHEN m.v IS NOT NULL THEN '1.' || m.v || '.0' END AS dimension_version, recipe
+FROM x LEFT JOIN m USING (l_linenumber, q) LEFT JOIN d ON d.r = l_linenumber AND d.v = m.v""")
+def rules_as_of(spark, sf):
+    """Items as findings, and what their rule said in the version they name (1.10.0 comes after 1.9.0)."""
+    name = lambda number: F.concat(F.lit("FR-R"), number, F.lit("-001"))
+    version = lambda number: F.concat(F.lit("1."), number.cast("string"), F.lit(".0"))
+    found = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").cast("int").alias("quantity"),
+                                             name(c("l_linenumber")).alias("rule_id"), version(c("l_quantity").cast("int")).alias("rule_version"))
+    rules = _t(spark, sf, "part").where("p_size % 4 = 0").groupBy(name(c("p_partkey") % 6 + 1).alias("rule_id"), version(c("p_size")).alias("rule_version")).agg(
+        F.max("p_name").alias("recipe"))
+    return rl.as_of(found, rules, "recipe").select("l_orderkey", "l_linenumber", "quantity", "dimension_version", "recipe")
+
+
 # ---- scans and proofs: customers and their orders --------------------------------------------------------
 _STATE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'proven' WHEN '2-HIGH' THEN 'refuted' WHEN '3-MEDIUM' THEN 'skipped' WHEN '5-LOW' THEN 'error' ELSE 'candidate' END"
 
