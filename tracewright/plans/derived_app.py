@@ -125,6 +125,30 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> ScanInput:
         return made.select(F.expr(REPO).alias("repo"), F.expr(path).alias("path"),
                            F.expr(f"concat('/src/', {REPO}, '/', {path})").alias("abs_path"), "content")
 
+    return _with_others(modules, grouped)
+
+
+def long_sources(spark: SparkSession, sf_dir: str, per_file: int = 6) -> ScanInput:
+    """The same application with about ``per_file`` modules in each file (240 lines with six)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size")
+    groups = part.select("p_brand", "p_type").distinct().count()
+    files = max(1, part.count() // (groups * per_file))
+    texts = part.groupBy("p_brand", "p_type", (F.col("p_partkey") % files).alias("file")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(MODULE).alias("text")))), lambda x: x["text"]), "\n\n").alias("text"))
+    path = F.concat(F.expr(FOLDER), F.lit("/all_"), "file", F.lit(".py"))
+    modules = texts.select(F.expr(REPO).alias("repo"), path.alias("path"), F.concat_ws("/", F.lit("/src"), F.expr(REPO), path).alias("abs_path"),
+                           F.col("text").cast("binary").alias("content")).repartition(spark.sparkContext.defaultParallelism * 2, "path")
+
+    def grouped(path: str, content: str, *by: str) -> DataFrame:
+        made = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(*by).agg(F.expr(content).cast("binary").alias("content"))
+        return made.select(F.expr(REPO).alias("repo"), F.expr(path).alias("path"),
+                           F.expr(f"concat('/src/', {REPO}, '/', {path})").alias("abs_path"), "content")
+
+    return _with_others(modules, grouped)
+
+
+def _with_others(modules: DataFrame, grouped) -> ScanInput:
+    """With the shared helpers, schema documents and hook files."""
     shared = grouped("'shared.py'", SHARED, "p_brand")
     schema = grouped(f"concat('doc/', {DOC_FOLDER}, '/', {DOC_FOLDER}, '.json')", SCHEMA, "p_brand", "p_type")
     hooks = grouped("concat(lower(p_type), '/hooks.py')", HOOKS, "p_brand", "p_type")
