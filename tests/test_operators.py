@@ -163,10 +163,33 @@ def test_mentions_against_brute_force(spark):
     n = spark.createDataFrame([(x,) for x in names], "n string")
     want = {(i, x) for i, s in enumerate(texts) for x in names if re.search(rf"(?<![A-Za-z0-9_])`?{re.escape(x)}`?(?![A-Za-z0-9_])", s, re.I)}
     assert {(r.k, r.n) for r in mn.mentions(t, n, ["k"], "t", "n", on=[]).collect()} == want
+    assert brute_mentions(texts, names) == want
     exact = {(i, x) for i, s in enumerate(texts) for x in names if x in set(re.findall("[A-Za-z0-9_]+", s))}
     assert {(r.k, r.n) for r in mn.exact_mentions(t, n, ["k"], "t", "n", on=[]).collect()} == exact
 
 
+def brute_mentions(texts, names):
+    import re
+
+    return {(i, x) for i, s in enumerate(texts) for x in names if re.search(rf"(?<![A-Za-z0-9_])`?{re.escape(x)}`?(?![A-Za-z0-9_])", s, re.I)}
+
+
+def test_names_of_any_form_against_brute_force(spark):
+    """Names that begin or end with anything, of any number of words, and of no word at all."""
+    import random
+
+    rng = random.Random(5)
+    piece = lambda n: "".join(rng.choice(["a", "B", "ab", "a_1", " ", "-", "--", ".", "`", "é", ", "]) for _ in range(rng.randrange(1, n)))
+    texts = sorted({piece(14) for _ in range(160)}) + ["", "a", "--", "`--`", "a--b", "-- a", "a b c d", "(a b c d)"]
+    names = sorted({piece(6) for _ in range(220)} | {"a b c d", "--", "-", "é", ".a", "a.", ".a.b-", "`a`"})
+    names = [x for i, x in enumerate(names) if x.lower() not in {y.lower() for y in names[:i]}]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    n = spark.createDataFrame([(x,) for x in names], "n string")
+    got = [(r.k, r.n) for r in mn.mentions(t, n, ["k"], "t", "n", on=[]).collect()]
+    want = brute_mentions(texts, names)
+    assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_a_second_page_sorts_and_writes_nothing(spark, monkeypatch):
     written = []
     real = vw.materialise
