@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tracewright.llm import near_dedup
@@ -88,6 +89,16 @@ def test_one_row_stands_for_a_group(spark):
     assert sorted((r.doc_id or 0, r.n_same) for r in same) == [(0, 2), (7, 2)] and len({r.keeper for r in same}) == 1
 
 
+def test_equal_hashes_of_rows_lose_no_row(spark, monkeypatch):
+    """Were the names of all rows the same, rows of other ids would still be rows, and sets that differ no class."""
+    monkeypatch.setattr(near_dedup, "row_key", lambda *columns: F.lit("same"))
+    rows = [(i, f"w{i} x{i} y{i} z{i} q{i} r{i}") for i in range(40)] + [(100, "w0 x0 y0 z0 q0 r0"), (101, "")]
+    found = near_duplicates(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, _ in rows) and all(r.n_same == 1 for r in found)
+    groups = {r.doc_id: r.component_id for r in found}
+    assert groups.pop(100) == 0 and groups == {i: i for i in groups}
+
+
 def test_links_span_components():
     sets = [[1, 2, 3, 4], [1, 2, 3, 4, 5], [9], [1, 2, 3, 4, 5, 6], [9]]
     flat = np.array([x for s in sets for x in s], np.uint64)

@@ -81,7 +81,7 @@ def _minhashes(sets: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 def signatures(docs: DataFrame, shingle: int, half: int, rows: int) -> DataFrame:
     """Set size, set sums, the two key collections and the sketch of every (row_key, id, text)."""
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    kinds = {"row_key": long, "id": docs.schema["id"].dataType, "n": long, "sum_a": long, "sum_b": long, "first": longs,
+    kinds = {"row_key": T.StringType(), "id": docs.schema["id"].dataType, "n": long, "sum_a": long, "sum_b": long, "first": longs,
              "second": longs, "sketch": T.BinaryType()}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +260,10 @@ def verified_links(clusters: DataFrame, sizes: DataFrame, sets: DataFrame, perce
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Names a row by its id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    """Names a row by its id and text: 128 bits, as two hashes of both in hex digits."""
+    parts_ = [F.col(id_col), F.col(text_col).cast("string")]
+    hashes = F.xxhash64(*parts_), F.xxhash64(F.lit(1), *reversed(parts_))
+    return F.concat(*(F.lpad(F.hex(h), 16, "0") for h in hashes))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75,
@@ -275,11 +277,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), text.cast("binary").alias("text"))
     made = signatures(docs, shingle, half, rows)
     # small rows only; the texts are read again for the classes that must be verified
-    signed = checkpointed(made.withColumn("class", F.xxhash64("n", "sum_a", "sum_b")))
-    filled = signed.filter("n > 0")
-    classes = filled.groupBy("class").agg(
-        F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"),
-        F.first("sketch").alias("sketch"))
+    signed = checkpointed(made)
+    # rows of equal sets are a class: equal sizes and two 64-bit sums.  Its number is unique
+    same = ("n", "sum_a", "sum_b")
+    classes = checkpointed(signed.filter("n > 0").groupBy(*same).agg(
+        F.min("row_key").alias("row_key"), F.first("first").alias("first"), F.first("second").alias("second"),
+        F.first("sketch").alias("sketch")).withColumn("class", F.monotonically_increasing_id()))
     clusters = checkpointed(connected_components(candidate_edges(classes, agree)).select(
         F.col("node").alias("class"), F.col("component").alias("cluster")))
 
@@ -300,13 +303,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = checkpointed(verified_links(clusters, classes.select("class", "n"), sets, percent))
     groups = connected_components(links.select("a", "b")).select(F.col("node").alias("class"), "component")
 
-    rows_ = signed.select("row_key", "id", "n", "class").groupBy("row_key").agg(
-        F.first("id").alias("id"), F.first("n").alias("n_shingles"), F.first("class").alias("class"),
-        F.count(F.lit(1)).alias("n_same")).join(groups, "class", "left")
+    rows_ = signed.groupBy("row_key", "id", *same).agg(F.count(F.lit(1)).alias("n_same"))
+    rows_ = rows_.join(classes.select(*same, "class"), [*same], "left").withColumnRenamed("n", "n_shingles").drop("sum_a", "sum_b").join(
+        groups, "class", "left")
     empty = F.col("n_shingles") == 0
     # an empty set is a group of its own row
     rows_ = rows_.withColumn("group", F.when(empty, F.struct(F.lit(0).alias("kind"), F.col("row_key").alias("key"))).otherwise(
-        F.struct(F.lit(1).alias("kind"), F.coalesce("component", "class").alias("key"))))
+        F.struct(F.lit(1).alias("kind"), F.coalesce("component", "class").cast("string").alias("key"))))
     least = rows_.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("least")).select(
         "group", F.col("least.id").alias("component_id"), F.col("least.row_key").alias("keeper"))
     return rows_.join(least, "group").select(
