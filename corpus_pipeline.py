@@ -7,7 +7,7 @@ but the last return the columns of the documents, in their order.
 1. language: documents whose language model rejects them go (see ``language_id``).
 2. lines: lines of ten documents or more go; ``n_chars`` follows the new text.
 3. near duplicates: one row of each group stays, the one of the smallest id (rows without
-   id after all others; of equal rows one).
+   id after all others; of rows of equal id and text the one whose other columns come first as JSON).
 4. decontamination: documents that hold a benchmark window go.
 5. mix: size, target, copies and taken words of every document that is left.
 
@@ -56,8 +56,10 @@ def lines(spark, docs, sf_dir):
 
 def near_copies(spark, docs, sf_dir):
     keepers = near_duplicates(docs).filter("row_key = keeper").select(F.col("row_key").alias("key"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"))
-    return keyed.join(keepers, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    others = F.to_json(F.struct(*(docs[c] for c in docs.columns if c != "text")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"), others.alias("others"))
+    kept = keyed.join(keepers, "key", "left_semi").groupBy("key").agg(F.min_by("row", "others").alias("row"))
+    return kept.select("row.*")
 
 
 def contaminated(spark, docs, sf_dir):
