@@ -43,6 +43,8 @@ from .exchange import checkpointed, shuffle_partitions
 BLOCK_SHINGLES = 2 << 20
 #: members of a bucket's block
 BLOCK_MEMBERS = 1 << 15
+#: rows of a task that makes buckets
+PART_ROWS = 1 << 17
 
 
 def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +114,19 @@ def signatures(docs: DataFrame, shingle: int, half: int, rows: int) -> DataFrame
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
-    """(class, first, second): of each class, the keys that another class holds as well."""
-    half_keys = classes.select("class", F.explode(F.concat("first", "second")).alias("key"))
-    shared = half_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    own = half_keys.join(shared, "key").groupBy("class").agg(F.collect_list("key").alias("keys"))
-    return (classes.select("class", "first", "second", "sketch").join(own, "class")
-            .select("class", "sketch", F.array_intersect("first", "keys").alias("first"),
-                    F.array_intersect("second", "keys").alias("second"))
+    """(class, sketch, first, second): of each class, the keys that another class holds as well;
+    those of the first collection (u) with the number of blocks of their bucket.
+
+    The holders are counted on narrow rows, so the wide rows that are made of ``first`` are
+    shuffled once, to their bucket."""
+    half_keys = classes.select("class", F.posexplode(F.concat("first", "second")).alias("at", "key"), F.size("first").alias("half"))
+    shared = half_keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"),
+                                          F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    is_first = F.col("at") < F.col("half")
+    own = half_keys.join(shared, "key").groupBy("class").agg(
+        F.collect_list(F.when(is_first, F.struct(F.col("key").alias("u"), "blocks"))).alias("first"),
+        F.collect_list(F.when(~is_first, F.col("key"))).alias("second"))
+    return (classes.select("class", "sketch").join(own, "class")
             .filter((F.size("first") > 0) & (F.size("second") > 0)))
 
 
@@ -154,12 +162,10 @@ def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
 
     A class is sent once per key of its first collection, with its second collection: the
     buckets (i, j) of one first key are made within the task."""
-    held = _shared_keys(classes)
-    tables = held.select("class", "sketch", F.explode("first").alias("u"), "second")
-    counts = held.select(F.explode("first").alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "u", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    n = shuffle_partitions(classes.sparkSession) * 4
-    met = (_in_block_pairs(tables.join(counts, "u")).withColumn("bucket", F.xxhash64("u", "i", "j"))
+    tables = _shared_keys(classes).select("class", "sketch", F.inline("first"), "second")
+    most = classes.agg(F.sum(F.size("first"))).first()[0] or 0
+    n = max(shuffle_partitions(classes.sparkSession) * 4, -(-most // PART_ROWS))
+    met = (_in_block_pairs(tables).withColumn("bucket", F.xxhash64("u", "i", "j"))
            .select("bucket", "class", "sketch", "second", F.pmod(F.col("bucket"), F.lit(n)).cast("int").alias("part")))
 
     def join(table: pa.Table) -> pa.Table:
@@ -243,13 +249,11 @@ def links_of(names: np.ndarray, sets: np.ndarray, offsets: np.ndarray, percent:
     return a, b, shared
 
 
-def verified_links(clusters: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, common): links that span the components of each cluster's classes.
 
-    ``clusters`` is (class, cluster), ``sizes`` (class, n), ``sets`` (class, shingles)."""
-    blocks = clusters.join(sizes, "class").groupBy("cluster").agg(
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    tasks = _in_block_pairs(clusters.join(blocks, "cluster").join(sets, "class")).select("cluster", "i", "j", "class", "shingles")
+    ``sets`` is (class, cluster, blocks, shingles), blocks being the number of the cluster's blocks."""
+    tasks = _in_block_pairs(sets).select("cluster", "i", "j", "class", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         data, offsets = flat(table["shingles"])
@@ -286,21 +290,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clusters = checkpointed(connected_components(candidate_edges(classes, agree)).select(
         F.col("node").alias("class"), F.col("component").alias("cluster")))
 
-    wanted = classes.select("class", "row_key").join(clusters.select("class"), "class", "left_semi")
-    chosen = docs.select("row_key", "text").join(wanted, "row_key")
+    wanted = classes.select("class", "row_key", "n").join(clusters, "class")
+    blocks = wanted.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # the sets are shuffled once, to the blocks that compare them
+    chosen = docs.select("row_key", "text").join(wanted.join(blocks, "cluster").drop("n"), "row_key")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text", 1 << 19):
                 sets, offsets = shingle_sets(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("class"),
+                    *(part.column(c) for c in ("class", "cluster", "blocks")),
                     pa.array([sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
-                    ["class", "shingles"])
+                    ["class", "cluster", "blocks", "shingles"])
 
     # equal rows have one row_key: their class appears once per row, which adds no link
-    sets = chosen.select("class", "text").mapInArrow(sets_of, "class long, shingles binary")
-    links = checkpointed(verified_links(clusters, classes.select("class", "n"), sets, percent))
+    sets = chosen.select("class", "cluster", "blocks", "text").mapInArrow(
+        sets_of, "class long, cluster long, blocks int, shingles binary")
+    links = checkpointed(verified_links(sets, percent))
     groups = connected_components(links.select("a", "b")).select(F.col("node").alias("class"), "component")
 
     rows_ = signed.groupBy("row_key", "id", *same).agg(F.count(F.lit(1)).alias("n_same"))
