@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,5 +48,25 @@ def test_ownership(spark):
     assert verdict[7] == verdict[8] == []  # two owners hold it: no span is added
 
 
+def test_repositories(spark):
+    rows = [(i, "token=Zx9Qw8Er7Ty6Ui5Op4", lang, "a") for i, lang in enumerate(("en", "de", "fr"))]
+    for most, verdict in ((None, "live"), (3, "live"), (2, "example")):
+        got = scan_secrets(documents(spark, rows), repository=F.col("lang"), owner=F.col("source"), max_repositories=most).collect()
+        assert {(x.verdict, x.repositories, x.owners) for r in got for x in r.spans} == {(verdict, 3, 1)}
+
+
+def test_many_values_in_one_text(spark):
+    rng = random.Random(7)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=24)) for _ in range(32_000)]
+    tokens = ["".join(rng.choices("ABCDEFGHJKLMNOPqrstuvwxyz0123456789", k=32)) + "zZ9" for _ in range(2_000)]
+    text = " ".join(x for pair in zip(hexes, tokens + [""] * 30_000) for x in pair)
+    begin = time.monotonic()
+    r, = scan_secrets(documents(spark, [(1, text)])).collect()
+    assert time.monotonic() - begin < 30
+    assert [s for s in spans_of(r) if s[0] != "owned"] == base(text)
+    assert all(text[s:e] in tokens for kind, s, e in spans_of(r) if kind == "owned")
+    assert sum(kind == "owned" for kind, *_ in spans_of(r)) > 1_900
+
+
 def test_empty_table(spark):
     assert scan_secrets(documents(spark, [])).collect() == []

@@ -8,7 +8,7 @@ of capital and small letters and digits, as keys have them, which overlap no bas
 look random, and stay with one owner.
 
 Everything is DataFrame operations.  A text's matches of a kind come from one regular
-expression that also takes the text before each match, so lengths give the places;
+expression that also takes the text before each match, so running sums of lengths give the places;
 ``\\G`` makes each match start where the last one ended, so a text is read once.
 
 Null or empty text: no spans.  Places are code points, ends exclusive.  A null repository
@@ -18,7 +18,7 @@ be null or equal.  Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import checkpointed
@@ -33,30 +33,22 @@ BASE = (
 #: found faster, and by every text in which the kind occurs
 HINTS = {"assign": r"(?i:passw(?:or)?d|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}",
          "owned": "[A-Za-z0-9_-]{24}"}
+#: the same matches but for those whose value is too short: both are maximal runs of a class of
+#: characters from their first possible start, so a short one hides no other
+RUNS = {"access": "(AKIA[A-Z0-9]{16,})", "hex": "([0-9a-f]{24,})"}
 OWNED = ("owned", r"([A-Za-z0-9_-]{24,})", 24)
 KINDS = [k for k, *_ in BASE] + ["owned"]
 
 
-def _matches(text: Column, kind: str, pattern: str, least: int) -> Column:
-    """array<struct<start, end, value>> of the matches whose value has ``least`` characters."""
-    whole = r"(?s)\G(.*?)(" + pattern + ")"
-    before = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    found = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    value = F.regexp_extract_all(text, F.lit(whole), F.lit(3))
-    rows = F.arrays_zip(before.alias("before"), found.alias("found"), value.alias("value"))
-    empty = F.lit(0)
-    kept = F.aggregate(
-        rows,
-        F.struct(empty.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["before"]) + F.length(x["found"])).alias("at"),
-            F.when(F.length(x["value"]) >= least, F.array_append(acc["spans"], F.struct(
-                (acc["at"] + F.length(x["before"])).alias("start"),
-                (acc["at"] + F.length(x["before"]) + F.length(x["found"])).alias("end"), x["value"].alias("value"))))
-            .otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(HINTS[kind]), kept).otherwise(none)
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """array<struct<before, found, value>>: of each match the code points since the match before it,
+    its own, and its value."""
+    whole = F.lit(r"(?s)\G(.*?)(" + RUNS.get(kind, pattern) + ")")
+    before, found, value = (F.regexp_extract_all(text, whole, F.lit(i)) for i in (1, 2, 3))
+    rows = F.transform(F.arrays_zip(before.alias("before"), found.alias("found"), value.alias("value")), lambda x: F.struct(
+        F.length(x["before"]).alias("before"), F.length(x["found"]).alias("found"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<before:int,found:int,value:string>>")
+    return F.when(text.rlike(HINTS[kind]), rows).otherwise(none)
 
 
 def _random_looking(value: Column) -> Column:
@@ -65,52 +57,73 @@ def _random_looking(value: Column) -> Column:
     return value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9]") & (distinct * 3 >= F.length(value))
 
 
-def find_candidates(df: DataFrame, id_col: str, text_col: str, repository: Column, owner: Column) -> DataFrame:
-    """(row, id, repository, owner, candidates): candidates of all kinds by start, then kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def find_matches(df: DataFrame, id_col: str, text_col: str, repository: Column, owner: Column) -> DataFrame:
+    """(row, id, repository, owner, matches): matches of all kinds in the order of kind and place."""
     read = df.select(F.col(id_col).alias("id"), repository.cast("string").alias("repository"),
-                     owner.cast("string").alias("owner"), text.alias("text"))
-    for kind, pattern, least in (*BASE, OWNED):
-        read = read.withColumn(kind, _matches(F.col("text"), kind, pattern, least))
-    base = F.concat(*(F.col(k) for k, *_ in BASE))
-    clear = F.filter(F.col("owned"), lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-                     & _random_looking(x["value"]))
-    def tagged(nr: int, kind: str) -> Column:
-        return F.transform(clear if kind == "owned" else F.col(kind), lambda x: F.struct(
-            x["start"].alias("start"), F.lit(nr).alias("nr"), x["end"].alias("end"), F.lit(kind).alias("kind"),
-            F.xxhash64(x["value"]).alias("hash"),
-            (_random_looking(x["value"]) | F.lit(kind in ("access", "hex"))).alias("random")))
-
-    return read.select(F.monotonically_increasing_id().alias("row"), "id", "repository", "owner",
-                       F.array_sort(F.concat(*(tagged(i, k) for i, k in enumerate(KINDS)))).alias("candidates"))
+                     owner.cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    def tagged(nr: int, kind: str, pattern: str, least: int) -> Column:
+        return F.transform(_matches(F.col("text"), kind, pattern), lambda x, i: F.struct(
+            F.lit(nr).alias("nr"), i.alias("at"), x["before"].alias("before"), x["found"].alias("found"),
+            (F.length(x["value"]) >= least).alias("fits"), F.xxhash64(x["value"]).alias("hash"),
+            _random_looking(x["value"]).alias("random")))
 
-def ownership(found: DataFrame) -> DataFrame:
+    return read.select(F.monotonically_increasing_id().alias("row"), "id", "repository", "owner",
+                       F.concat(*(tagged(i, *kind) for i, kind in enumerate((*BASE, OWNED)))).alias("matches"))
+
+
+def place_candidates(found: DataFrame) -> DataFrame:
+    """(row, repository, owner, nr, start, end, hash, random), a row per candidate.
+
+    Running sums and extremes over a text's matches, each in one sort: a text of many matches
+    takes time by their number, not by its square."""
+    by_kind = Window.partitionBy("row", "nr").orderBy("at")
+    up = Window.partitionBy("row").orderBy("start", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("nr")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.col("nr") < len(BASE)
+    # one shuffle by text serves all three windows
+    placed = (found.select("row", "repository", "owner", F.inline("matches")).repartition("row")
+              .withColumn("end", F.sum(F.col("before") + F.col("found")).over(by_kind).cast("int"))
+              .withColumn("start", F.col("end") - F.col("found")).filter("fits"))
+    # base spans that begin at or before a token (of equal starts base spans come first), and after it
+    judged = placed.withColumns({"last_end": F.max(F.when(base, F.col("end"))).over(up),
+                                 "next_start": F.min(F.when(base, F.col("start"))).over(down)})
+    overlap = F.coalesce(F.col("last_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next_start") < F.col("end"), F.lit(False))
+    shaped = F.array(*(F.lit(kind in ("access", "hex")) for kind in KINDS))[F.col("nr")]
+    return judged.filter(base | (~overlap & F.col("random"))).select(
+        "row", "repository", "owner", "nr", "start", "end", "hash", (F.col("random") | shaped).alias("random"))
+
+
+def ownership(candidates: DataFrame) -> DataFrame:
     """(hash, repositories, owners): counted in two steps, so that a value that all hold
     is one row per repository before it meets itself."""
-    each = (found.select("repository", "owner", F.explode("candidates.hash").alias("hash"))
-            .groupBy("hash", "repository", "owner").agg(F.lit(1).alias("one")))
+    each = candidates.groupBy("hash", "repository", "owner").agg(F.lit(1).alias("one"))
     return each.groupBy("hash").agg(
         (F.count_distinct("repository") + F.max(F.col("repository").isNull().cast("int"))).alias("repositories"),
         (F.count_distinct("owner") + F.max(F.col("owner").isNull().cast("int"))).alias("owners"))
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None,
-                 owner: Column | None = None, max_owners: int = 1) -> DataFrame:
+                 owner: Column | None = None, max_owners: int = 1, max_repositories: int | None = None) -> DataFrame:
     """(id, spans): spans are structs of kind, start, end, repositories, owners and
     verdict (``live``, ``example`` or ``plain``), by start, then kind.
 
-    ``live``: at most ``max_owners`` owners, and random to look at; ``example``: more owners."""
-    found = checkpointed(find_candidates(
+    ``live``: at most ``max_owners`` owners and ``max_repositories`` repositories (None: any number, as
+    one owner may use one credential in all of its own), and random to look at; ``example``: more."""
+    found = checkpointed(find_matches(
         df, id_col, text_col, F.lit(None) if repository is None else repository, F.lit(None) if owner is None else owner))
-    spread = ownership(found)
-    single = found.select("row", F.posexplode("candidates").alias("nr", "c")).withColumn("hash", F.col("c.hash"))
-    verdict = (F.when(F.col("owners") > max_owners, "example").when(F.col("c.random"), "live").otherwise("plain"))
-    judged = single.join(spread, "hash").withColumn("verdict", verdict).filter(
-        (F.col("c.kind") != "owned") | (F.col("verdict") == "live"))
-    spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
-        "nr", F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), "repositories",
-        "owners", "verdict"))).alias("spans"))
+    candidates = checkpointed(place_candidates(found))
+    widely = F.col("owners") > max_owners
+    if max_repositories is not None:
+        widely |= F.col("repositories") > max_repositories
+    verdict = F.when(widely, "example").when(F.col("random"), "live").otherwise("plain")
+    kind = F.array(*map(F.lit, KINDS))[F.col("nr")]
+    judged = candidates.join(ownership(candidates), "hash").withColumn("verdict", verdict).filter(
+        (F.col("nr") < len(BASE)) | (F.col("verdict") == "live"))
+    ordered = F.array_sort(F.collect_list(F.struct(
+        "start", "nr", kind.alias("kind"), "end", "repositories", "owners", "verdict")))
+    spans = judged.groupBy("row").agg(F.transform(ordered, lambda x: F.struct(
+        *(x[c].alias(c) for c in ("kind", "start", "end", "repositories", "owners", "verdict")))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return found.select("row", "id").join(spans, "row", "left").select(
         F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
