@@ -5,7 +5,9 @@ import re
 
 import pytest
 
+from tracewright.llm import decontamination
 from tracewright.llm.decontamination import decontaminate
+from tracewright.llm.exchange import checkpointed
 
 from .helpers import ODD, bag, documents, sample_texts
 
@@ -57,6 +59,31 @@ def test_shared_passages(spark):
     assert all(sum(e - s for s, e in zip(r.starts, r.ends)) == r.n_hit for r in got)
 
 
+def test_a_gram_of_all_items(spark):
+    """A gram that all documents and items hold makes no pairs of them; a shared window lists all its items."""
+    rng = random.Random(5)
+    gram, passage = "which of the following is", "one two three four five six seven eight nine ten"
+
+    def tail(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    items = [(i, f"{gram} {tail(12)}") for i in range(2_000)] + [(2_000 + i, f"{passage} eleven {tail(3)}") for i in range(40)]
+    rows = [(i, f"{tail(5)} {gram} {tail(20)} {passage if i % 10 == 0 else ''} {items[i * 7][1] if i % 3 == 0 else ''}") for i in range(200)]
+    seen = {}
+
+    def watched(df):
+        out = checkpointed(df)
+        seen[tuple(out.columns)] = out.count()
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontamination, "checkpointed", watched)
+        got = decontaminate(documents(spark, rows), items_table(spark, items)).collect()
+    assert bag((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == brute(rows, items, 10)
+    # 67 documents hold the 8 windows of an item, 20 the one of the passage
+    assert sum(v for k, v in seen.items() if "like" in k) == 67 * 8 + 20
+
+
 def test_empty_tables(spark):
     assert decontaminate(documents(spark, []), items_table(spark, ITEMS)).collect() == []
     got = decontaminate(documents(spark, ODD), items_table(spark, [])).collect()
