@@ -113,12 +113,21 @@ def _files(df: DataFrame, path: str, content: str) -> DataFrame:
     )
 
 
+#: rows of ``part`` whose modules one task parses (about a minute)
+TASK_ROWS = 20_000
+
+
+def spread(part: DataFrame) -> DataFrame:
+    """The columns that modules are made of.  The table is one small file; parsing its modules is the work,
+    so its rows are spread, over more tasks the more there are."""
+    tasks = max(part.sparkSession.sparkContext.defaultParallelism * 2, part.count() // TASK_ROWS)
+    columns = ["p_partkey", "p_brand", "p_type", "p_size"]
+    return part.select(*columns).repartition(tasks, *columns)
+
+
 def derived_sources(spark: SparkSession, sf_dir: str) -> ScanInput:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    # the table is one small file; parsing its modules is the work, so spread the rows
-    spread = part.select("p_partkey", "p_brand", "p_type", "p_size").repartition(
-        spark.sparkContext.defaultParallelism * 2, "p_partkey")
-    modules = _files(spread, FILE, MODULE)
+    modules = _files(spread(part), FILE, MODULE)
 
     def grouped(path: str, content: str, *by: str) -> DataFrame:
         made = part.groupBy(*by).agg(F.expr(content).cast("binary").alias("content"))

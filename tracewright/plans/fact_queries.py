@@ -228,7 +228,7 @@ def discovery(spark, sf):
 UNION ALL SELECT {app.REPO}, {app.FILE}, 'no text' FROM part WHERE p_size < 5""")
 def parse_errors(spark, sf):
     """Files that cannot be read, and files that are no UTF-8 text, do not end a scan."""
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = app.spread(spark.read.parquet(f"{sf}/part.parquet"))
     content = F.when(c("p_size") > 45, None).when(c("p_size") < 5, F.lit(bytearray(b"\xff\xfe"))).otherwise(F.expr(app.MODULE).cast("binary"))
     files = part.select(F.expr(app.REPO).alias("repo"), F.expr(app.FILE).alias("path"), content.alias("content"))
     errors = syntax_rows(files).where("kind = 'error'")
