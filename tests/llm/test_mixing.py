@@ -1,10 +1,12 @@
 """Operator 10: targets against a plain version, totals against targets."""
 
+import math
 from collections import defaultdict
 
 import pytest
 
 from tracewright.llm.queries import QUERIES
+from tracewright.llm import source_mixing
 from tracewright.llm.source_mixing import mix_sources
 
 from .helpers import ODD, bag, documents, sample_texts, words
@@ -78,3 +80,28 @@ def test_query(spark):
     for r in got:
         taken[r.source] += r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 20 for s in want)
+
+
+def test_rates_agree_to_the_last_bit(spark):
+    """Whatever the partitions: the sizes of a source are added up in their order."""
+    texts = sample_texts(11, 300, ["a", "bb", "ccc"], 200)
+    docs = documents(spark, [(i, t, "en", "ab"[i % 3 > 1]) for i, t in enumerate(texts)])
+    rates, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (1, 5, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rates.append(bag((r.doc_id, r.rate, r.copies) for r in mix_sources(docs.repartition(partitions)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rates[0] == rates[1] == rates[2] and len(rates[0]) == 300
+
+
+def test_newton_steps_start_no_jobs(spark, monkeypatch):
+    """Jobs of each step (57 shuffles in the pipeline's check) took the driver's memory; now it is one plan."""
+    targets = spark.createDataFrame([("=a", 40, 10, 30.0), ("=b", 10, 5, 20.0)],
+                                    "key string, source_size long, documents long, target double")
+    counts = spark.createDataFrame([("=a", 4, 5), ("=a", 5, 4), ("=a", 0, 1), ("=b", 2, 5)], "key string, size long, n long")
+    monkeypatch.setattr(source_mixing, "checkpointed", None)
+    tilt = {r.key: r.tilt for r in source_mixing.tilts(counts, targets).collect()}
+    words = sum(n * size * min(2, math.exp(tilt["=a"] * size / 4)) for size, n in ((4, 5), (5, 4)))
+    assert words == pytest.approx(30, rel=1e-8) and tilt["=b"] is None

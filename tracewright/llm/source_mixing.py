@@ -5,15 +5,14 @@ at ``cap`` times a source's size, the excess shared again by weight.  Among all
 sum(rate * size) = target and rate <= cap in each source, entropy balancing takes the
 one closest to "every document once" in relative entropy.  It is an exponential tilt,
 rate = min(cap, exp(lambda * size / mean size)), and Newton steps on the convex dual
-find every source's lambda: each step is one distributed aggregation over the number of
-documents of each source and size.
+find every source's lambda, from the number of documents of each size.
 
 Rates become whole copies by systematic rounding in the order of size: the k-th document
 takes floor(R + 1/2) of the rates' running sum R, less what the ones before took.  Since
 sizes only grow in that order, a source's words miss its target by one document's size at
 most.  Then single copies are added or taken away where that brings a source nearer.
 
-Everything is DataFrame operations.  Windows run over the sizes of one source (bounded by
+Everything is DataFrame operations.  Newton steps and windows run over the sizes of one source (bounded by
 the longest text), and over blocks of documents of one source and size.
 
 Null text: size 0.  A null source is a source of its own, after all others.  Equal rows are
@@ -77,38 +76,59 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return named.withColumn("target", F.least(F.col("weight") * F.lit(level), (cap * F.col("source_size")).cast("double")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tilts(counts: DataFrame, targets: DataFrame, cap: int = 2, tolerance: float = 1e-9) -> DataFrame:
     """(key, tilt): lambda of each source, null where every document is taken ``cap`` times.
 
     ``counts`` is (key, size, n).  Newton on log(words taken) = log(target), kept within
-    the bracket of the steps before."""
+    the bracket of the steps before.  A source's sizes are added up in their order, so reruns agree to the last bit."""
     scale = targets.select("key", "target", (F.col("source_size") / F.col("documents")).alias("mean"),
                            (F.col("target") >= cap * F.col("source_size")).alias("full"))
-    points = checkpointed(counts.filter("size > 0").join(scale.filter("not full").select("key", "mean"), "key").select(
-        "key", "size", "n", (F.col("size") / F.col("mean")).alias("x")))
+    points = counts.filter("size > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("points"))
     none = F.lit(None).cast("double")
-    state = scale.filter("not full").select("key", "target", F.lit(0.0).alias("tilt"), none.alias("low"), none.alias("high"))
-    rate = F.least(F.lit(float(cap)), F.exp(F.col("tilt") * F.col("x")))
-    for _ in range(MAX_STEPS):
-        taken = points.join(state.select("key", "tilt"), "key").groupBy("key").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("words"),
-            F.sum(F.when(rate < cap, F.col("n") * F.col("size") * F.col("x") * rate).otherwise(0.0)).alias("slope"))
-        moved = state.join(taken, "key").withColumn("gap", F.log(F.col("target") / F.col("words")))
-        moved = moved.withColumns({"low": F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("low")),
-                                   "high": F.when(F.col("gap") <= 0, F.col("tilt")).otherwise(F.col("high"))})
-        step = F.when(F.col("slope") > 0, F.col("tilt") + F.col("gap") * F.col("words") / F.col("slope"))
-        inside = step.isNotNull() & (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
-        aside = (F.when(F.col("low").isNull(), 2 * F.least(F.col("high"), F.lit(-1.0)))
-                 .when(F.col("high").isNull(), 2 * F.greatest(F.col("low"), F.lit(1.0)))
-                 .otherwise((F.col("low") + F.col("high")) / 2))
-        done = F.abs("gap") <= tolerance
-        state = checkpointed(moved.select(
-            "key", "target", F.when(done, F.col("tilt")).when(inside, step).otherwise(aside).alias("tilt"), "low", "high",
-            done.alias("done")))
-        if not state.filter("not done").limit(1).count():
-            break
-        state = state.drop("done")
-    return scale.select("key").join(state.select("key", "tilt"), "key", "left")
+
+    def added(sums: Column, point: Column, tilt: Column) -> Column:
+        x, here = point["size"] / F.col("mean"), point["n"] * point["size"]
+        return _let(F.least(F.lit(float(cap)), F.exp(tilt * x)), lambda rate: F.struct(
+            (sums["words"] + here * rate).alias("words"),
+            (sums["slope"] + F.when(rate < cap, here * x * rate).otherwise(0.0)).alias("slope")))
+
+    def moved(state: Column, sums: Column, gap: Column) -> Column:
+        done = F.abs(gap) <= tolerance
+        return _let(F.struct(F.when(gap > 0, state["tilt"]).otherwise(state["low"]).alias("low"),
+                             F.when(gap <= 0, state["tilt"]).otherwise(state["high"]).alias("high"),
+                             F.when(sums["slope"] > 0, state["tilt"] + gap * sums["words"] / sums["slope"]).alias("step")),
+                    lambda to: F.struct(
+                        F.when(done, state["tilt"]).when(_inside(to), to["step"]).otherwise(_aside(to)).alias("tilt"),
+                        to["low"].alias("low"), to["high"].alias("high"), done.alias("done")))
+
+    def step(state: Column, _) -> Column:
+        sums = F.aggregate("points", F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("slope")),
+                           lambda sums, point: added(sums, point, state["tilt"]))
+        return F.when(state["done"], state).otherwise(
+            _let(sums, lambda sums: _let(F.log(F.col("target") / sums["words"]), lambda gap: moved(state, sums, gap))))
+
+    start = F.struct(F.lit(0.0).alias("tilt"), none.alias("low"), none.alias("high"), F.lit(False).alias("done"))
+    found = scale.filter("not full").join(points, "key").select("key", F.aggregate(
+        F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda state: state["tilt"]).alias("tilt"))
+    return scale.select("key").join(found, "key", "left")
+
+
+def _inside(to: Column) -> Column:
+    """Whether a step stays within its bracket."""
+    return (to["step"].isNotNull() & (to["low"].isNull() | (to["step"] > to["low"]))
+            & (to["high"].isNull() | (to["step"] < to["high"])))
+
+
+def _aside(to: Column) -> Column:
+    """A step that widens the bracket, or halves it."""
+    return (F.when(to["low"].isNull(), 2 * F.least(to["high"], F.lit(-1.0)))
+            .when(to["high"].isNull(), 2 * F.greatest(to["low"], F.lit(1.0)))
+            .otherwise((to["low"] + to["high"]) / 2))
 
 
 def _with_source(rows: DataFrame, totals: DataFrame) -> DataFrame:
