@@ -444,6 +444,25 @@ def test_contents_are_parsed_once(spark, packed, tmp_path):
     assert syntax_of(missing, modules) == syntax_of(missing, None)
 
 
+def test_known_contents_are_read_once(spark, packed, tmp_path):
+    from tracewright.sources.parsed import ParsedModules, parsed_rows
+
+    app = {f"m{i}.py": f"def f{i}(a=[]):\n    pass\n" for i in range(20)}
+    given = src.from_table(packed({"r": app}))
+    modules = ParsedModules(spark, str(tmp_path / "modules"), parts=4)
+    assert modules.add(given) == 20 and modules.add(given) == 0
+    reads = spark.sparkContext.accumulator(0)
+
+    def content_of(content):
+        reads.add(1)
+        return content
+
+    counted = given.withColumn("content", F.udf(content_of, "binary").asNondeterministic()("content"))
+    rows = parsed_rows(counted, modules)
+    assert reads.value == 20 and modules.table.version() == 1
+    assert rows.where("kind = 'def'").count() == 20
+
+
 def syntax_of(files, modules):
     from tracewright.sources.parsed import parsed_rows
     from tracewright.sources.python_source import syntax_rows

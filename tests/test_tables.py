@@ -111,6 +111,21 @@ def test_lost_writers(spark, table, tmp_path):
     assert content(table.read()) == [("a", 2, "y")]
 
 
+def test_dealt_rows_are_appended_as_they_are(spark, table):
+    some = rows(spark, *((f"k{i}", i, "v") for i in range(400)), (None, 1, "n"))
+    for tasks, most in ((5, 4), (16, 1), (40, 1)):  # of 16 parts
+        dealt = table.dealt(some, 0, tasks)
+        held = dealt.select(F.spark_partition_id().alias("task"), table._part(16).alias("part")).distinct().collect()
+        assert tasks <= dealt.rdd.getNumPartitions() <= 3 * 16 and {r.part for r in held} == set(range(16))
+        assert max(sum(r.task == task for r in held) for task in {r.task for r in held}) == most
+    assert table.append(table.dealt(some, 0, 40), 0, are_dealt=True) == 1 and content(table.read().where("id > ''")) == content(some.where("id > ''"))
+    assert table.read().count() == 401 and len(table.folders()) == 16
+    # a part of many folders is written anew with what comes
+    more = rows(spark, *((f"l{i}", i, "v") for i in range(50)))
+    assert table.append(table.dealt(more, 1, 8), 1, most_folders=1, are_dealt=True) == 2
+    assert table.read().count() == 451 and len(table.folders()) == 16
+
+
 def test_vacuum(spark, table):
     for i in range(4):
         table.upsert(rows(spark, (f"k{i}", i, "v")))
